@@ -11,8 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, packing, quality
-from .common import id_bucket, stage, table
+from . import chat, decontam, langid, licenses, linerules, neardup, packing, pagetext, quality, toxicity
+from .common import id_bucket, table
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"select -1L conv_id, i turn, element_at(array('user', 'assistant'), cast(i as int) + 1) role, '{said}' text from range(2) t(i)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    return chat.digest(chat.format_conversations(rows))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,11 +39,32 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op5_toxicity_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), lambda c: ~id_bucket(c, 3).isin(1, -1))
+    return toxicity.score(docs, model).select(
+        "doc_id", (id_bucket("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_hits"
+    )
+
+
+def op6_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pagetext.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_decontamination_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.where("contaminated")
 
 
+def op8_license_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linerules.apply_rules(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op10_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
