@@ -33,7 +33,7 @@ from .common import map_batches, stage, utf8
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 500_000
+CACHE_WORDS = 700_000
 CACHED_BYTES = 48
 _SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 _MARKS = b".,!?;:*$%&#|"
@@ -61,6 +61,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.pieces: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
 
@@ -74,13 +76,36 @@ class Encoder:
         if len(self.stems) + len(unknown) > CACHE_WORDS:
             self.stems.clear()
             unknown = list({x for _, stem, tail in cuts for x in (stem, tail) if x})
-        for i in range(0, len(unknown), 4096):
-            part = unknown[i : i + 4096]
-            got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)
-            self.stems.update((p, array("I", e.ids).tobytes()) for p, e in zip(part, got))
+        self.learn(unknown)
         stems = self.stems
         self.pieces.update((p, stems[stem] + stems[tail] if tail else stems[stem]) for p, stem, tail in cuts)
 
+    def learn(self, unknown: list[bytes]) -> None:
+        """Encode stems and keep their ids. Words of letters alone go many to a
+        call: each ends in one token with the end-of-word suffix, which cuts
+        the ids apart again; if the number of ends is not that of the words
+        (a letter that normalisation takes apart), they go one by one."""
+        texts = [p.decode("utf-8", "replace") for p in unknown]
+        single = [i for i, t in enumerate(texts) if not t.isalpha()]
+        letters = [i for i, t in enumerate(texts) if t.isalpha()]
+        for k in range(0, len(letters), 512 * 64):
+            groups = [letters[g : g + 512] for g in range(k, min(k + 512 * 64, len(letters)), 512)]
+            got = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)
+            for g, e in zip(groups, got):
+                ids = np.array(e.ids, "<u4")
+                cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+                if len(cuts) != len(g):
+                    single += g
+                    continue
+                raw, start = ids.tobytes(), 0
+                for i, stop in zip(g, cuts.tolist()):
+                    self.stems[unknown[i]] = raw[start:stop]
+                    start = stop
+        for k in range(0, len(single), 4096):
+            part = single[k : k + 4096]
+            got = self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)
+            self.stems.update((unknown[i], array("I", e.ids).tobytes()) for i, e in zip(part, got))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = []
         for t in texts:
