@@ -13,12 +13,9 @@ How it runs:
    rank by rank (SuperMinHash); the draw stops when every place holds a
    value of a lower rank than any to come.
 2. Texts with equal sets are one class, kept by its smallest id.
-3. Classes that share a band key form a bucket. In each round a bucket's leader
-   is compared with the bucket's other members (a star, not all pairs); what
-   it links leaves the bucket, the rest go on under a new leader; a rest of up
-   to ``SMALL`` members is compared in pairs. As Jaccard distance is a metric,
-   a member that left can link with one that stayed only if the two
-   distances to the leader allow it; those pairs are compared too.
+3. Classes that share a band key form a bucket. A bucket's leader is compared
+   with its other members (a star, not all pairs); members that the leader does
+   not link are then compared in blocks, see ``class_links``.
 4. Verified links go through union-find inside each partition and then
    alternating star contraction across partitions until nothing changes.
 
@@ -34,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop_staged, map_batches, stage, utf8
@@ -43,8 +40,9 @@ WIDTH = 5
 BANDS = 24
 ROWS = 5
 PLACES = BANDS * ROWS
-SMALL = 24
-CACHE_WORDS = 1 << 19
+#: Members of a family in a block.
+BLOCK = 128
+CACHE_WORDS = 1 << 18
 U64 = np.uint64
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                   0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U64)
@@ -151,54 +149,84 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_batches(docs.join(wanted, "rep", "left_semi").select("rep", "text"), run, "rep long, elems binary")
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, inter, total for the ``pairs`` (a, b), from whole sets."""
-    left = sets.select(F.col("rep").alias("a"), F.col("elems").alias("ea"))
-    right = sets.select(F.col("rep").alias("b"), F.col("elems").alias("eb"))
+def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """lead, rep, inter, total for the ``pairs`` (lead, rep, wide), from whole
+    sets; where ``wide``, also ``apart``: the elements that only one of the two
+    has, packed."""
+    left = sets.select(F.col("rep").alias("lead"), F.col("elems").alias("ea"))
+    right = sets.select("rep", F.col("elems").alias("eb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in cut(whole):
-                ea, eb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                inter, total = [], []
-                for x, y in zip(ea, eb):
+                inter, total, apart = [], [], []
+                for x, y, wide in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
                     p, q = np.frombuffer(x, U64), np.frombuffer(y, U64)
                     at = np.searchsorted(p, q)
                     both = int((p[np.minimum(at, len(p) - 1)] == q).sum())
                     inter.append(both)
                     total.append(len(p) + len(q) - both)
+                    apart.append(np.setxor1d(p, q, assume_unique=True).tobytes() if wide else None)
                 yield pa.record_batch(
-                    [batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "inter", "total"]
+                    [batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(total, pa.int64()), pa.array(apart, pa.binary())],
+                    ["lead", "rep", "inter", "total", "apart"],
                 )
 
-    joined = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    return joined.select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long, inter long, total long")
+    joined = pairs.join(right.hint("merge"), "rep").join(left.hint("merge"), "lead")
+    return joined.select("lead", "rep", "ea", "eb", "wide").mapInArrow(run, "lead long, rep long, inter long, total long, apart binary")
+
+
+def union_find(links) -> list[tuple[int, int]]:
+    """(node, root) of every node that is not its component's smallest."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (p := up.setdefault(top, top)) != top:
+            top = p
+        while up[x] != top:
+            up[x], x = top, up[x]
+        return top
+
+    for a, b in links:
+        ra, rb = root(a), root(b)
+        if ra != rb:
+            up[max(ra, rb)] = min(ra, rb)
+    return [(x, r) for x in up if (r := root(x)) != x]
+
+
+def block_links(left: list, right: list, percent: int) -> list[tuple[int, int]]:
+    """Links between two blocks of one family, joined up by union-find.
+
+    A member is (rep, n, the elements that only it or only the leader has). The
+    leader cancels out of the symmetric difference of two members, so its size is
+    |d| + |d'| - 2k with k of these elements in common.
+    """
+    pack = lambda block: (np.concatenate([np.frombuffer(m["apart"], U64) for m in block]), np.repeat(np.arange(len(block)), [len(m["apart"]) // 8 for m in block]))
+    (ex, ox), (ey, oy) = pack(left), pack(right)
+    order = np.argsort(ey, kind="stable")
+    ey, oy = ey[order], oy[order]
+    lo, hi = np.searchsorted(ey, ex, "left"), np.searchsorted(ey, ex, "right")
+    times = hi - lo
+    at = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum()) if len(ex) else np.zeros(0, int)
+    k = np.bincount(np.repeat(ox, times) * len(right) + oy[at], minlength=len(left) * len(right)).reshape(len(left), len(right))
+    size = lambda block: (np.array([m["n"] for m in block]), np.array([len(m["apart"]) // 8 for m in block]))
+    (nx, dx), (ny, dy) = size(left), size(right)
+    # |x ^ y| = |dx ^ dy| = |dx| + |dy| - 2k, and 2 |x & y| = |x| + |y| - |x ^ y|
+    twice = nx[:, None] + ny[None, :] - (dx[:, None] + dy[None, :] - 2 * k)
+    union2 = 2 * (nx[:, None] + ny[None, :]) - twice
+    found = np.argwhere(twice * 100 >= union2 * percent)
+    return union_find((left[i]["rep"], right[j]["rep"]) for i, j in found.tolist() if left[i]["rep"] != right[j]["rep"])
 
 
 def forest(edges: DataFrame) -> DataFrame:
-    """Union-find over each partition's edges: one edge to the root for each
-    node, so at most as many rows as before."""
+    """Union-find over each partition's edges: at most one edge for a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            top = x
-            while (p := up.setdefault(top, top)) != top:
-                top = p
-            while up[x] != top:
-                up[x], x = top, up[x]
-            return top
-
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ra, rb = root(a), root(b)
-                if ra != rb:
-                    up[max(ra, rb)] = min(ra, rb)
-        nodes = [x for x in up if root(x) != x]
+        nodes = union_find(uv for b in batches for uv in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         for i in range(0, len(nodes), 10000):
             part = nodes[i : i + 10000]
-            yield pa.record_batch([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["u", "v"])
+            yield pa.record_batch([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], ["u", "v"])
 
     return edges.select("u", "v").mapInArrow(run, "u long, v long")
 
@@ -231,65 +259,58 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _fits(x: str, y: str, percent: int) -> Column:
-    return F.least(F.col(x), F.col(y)) * 100 >= F.greatest(F.col(x), F.col(y)) * percent
-
+def class_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) among the members (rep, n, bucket, size) of all buckets,
+    enough of them to join all that are linked.
 
-def _ordered(x: str, y: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    Every bucket's most connected member leads it and is compared with the others:
+    a star, not all pairs. Those it links are joined. A member that it does not
+    link may still be linked with another one; for these, and only these, the
+    members compared with the leader are gone through in blocks, by what sets
+    them apart from the leader (a few elements each instead of whole sets); a
+    block pair gives back joined-up links, never its pairs.
+    """
+    ties = members.groupBy("rep").agg(F.sum("size").alias("ties"))
+    now = members.join(ties, "rep")
+    tops = now.groupBy("bucket").agg(F.max_by(F.struct("rep", "n"), F.struct("ties", -F.col("rep"))).alias("top"))
+    pairs = now.join(tops, "bucket").where("rep <> top.rep").groupBy(F.col("top.rep").alias("lead"), "rep").agg(
+        F.bool_or(F.col("size") > 2).alias("wide"), F.first("n").alias("n"), F.first("top.n").alias("lead_n")
+    )
+    pairs = pairs.where(F.col("wide") | (F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent))
+    pairs = stage(pairs, "pairs")
+    found = stage(compare(pairs.select("lead", "rep", "wide"), sets).join(pairs.select("lead", "rep", "n"), ["lead", "rep"]), "stars")
+    linked = F.col("inter") * 100 >= F.col("total") * percent
+    links = found.where(linked).select(F.col("lead").alias("u"), F.col("rep").alias("v"))
+
+    rows = found.where("apart is not null").withColumn("loose", ~linked)
+    counts = rows.groupBy("lead").agg(F.count_if("loose").alias("n_loose"), F.count_if(~F.col("loose")).alias("n_tied"))
+    counts = counts.where("n_loose > 0 and n_loose + n_tied > 1")
+    blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
+    counts = counts.select("lead", blocks("n_loose").alias("b_loose"), F.when(F.col("n_tied") > 0, blocks("n_tied")).otherwise(0).alias("b_tied"))
+    rows = rows.join(counts, "lead")
+    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("loose"), F.col("b_loose")).otherwise(F.col("b_tied"))).cast("int")
+    packed = rows.groupBy("lead", "loose", mine.alias("block")).agg(
+        F.collect_list(F.struct("rep", "n", "apart")).alias("people"), F.first("b_loose").alias("b_loose"), F.first("b_tied").alias("b_tied")
+    )
+    packed = stage(packed, "blocks")
+    other = F.concat(
+        F.transform(F.sequence(F.col("block"), F.col("b_loose") - 1), lambda i: F.struct(F.lit(True).alias("loose"), i.alias("block"))),
+        F.when(F.col("b_tied") > 0, F.transform(F.sequence(F.lit(0), F.col("b_tied") - 1), lambda i: F.struct(F.lit(False).alias("loose"), i.alias("block")))).otherwise(
+            F.array().cast("array<struct<loose:boolean,block:int>>")
+        ),
+    )
+    asks = packed.where("loose").select("lead", F.col("people").alias("askers"), F.explode(other).alias("o")).select("lead", "askers", "o.*")
+    both = asks.join(packed.select("lead", "loose", "block", "people"), ["lead", "loose", "block"]).select("askers", "people")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(whole.num_rows):
+                row = whole.slice(i, 1)
+                got = block_links(row.column(0).to_pylist()[0], row.column(1).to_pylist()[0], percent)
+                if got:
+                    yield pa.record_batch([pa.array([x for x, _ in got], pa.int64()), pa.array([r for _, r in got], pa.int64())], ["u", "v"])
 
-def class_links(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(u, v) links among the members (rep, n, bucket) of all buckets, and the
-    node and component columns they lead to."""
-    goal = percent / 100.0
-    spark = members.sparkSession
-    tested = spark.createDataFrame([], "a long, b long, inter long, total long")
-    linked = lambda t: t.where(F.col("inter") * 100 >= F.col("total") * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    left, rounds = members, []
-    while True:
-        first = not rounds
-        pick = F.col("rep") if first else F.xxhash64("rep", F.lit(len(rounds)))
-        sizes = left.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("size"), F.min_by("rep", pick).alias("lead"), F.min_by("n", pick).alias("lead_n")
-        )
-        now = stage(left.join(sizes.where("size > 1"), "bucket"), "round")
-        if now.isEmpty():
-            break
-        stars = now.where("rep <> lead") if first else now.where(f"size > {SMALL} and rep <> lead")
-        pairs = stars.where(_fits("n", "lead_n", percent)).select(*_ordered("rep", "lead"))
-        if not first:
-            few = now.where(f"size <= {SMALL}").select("bucket", "rep", "n")
-            other = few.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"))
-            inner = few.join(other, "bucket").where("rep < rep2").where(_fits("n", "n2", percent))
-            pairs = pairs.union(inner.select(*_ordered("rep", "rep2")))
-        fresh = pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        tested = tested.union(stage(overlaps(fresh, sets), "overlaps"))
-        known = tested.select("a", "b", (F.col("inter") / F.col("total")).alias("j"))
-        bound = F.least("n", "lead_n") / F.greatest("n", "lead_n")
-        stars = stars.select("bucket", "rep", "n", "lead", bound.alias("bound"), *_ordered("rep", "lead")).join(known, ["a", "b"], "left")
-        stars = stage(stars.select("bucket", "rep", "n", "lead", F.coalesce("j", "bound").alias("j")), "stars")
-        rounds.append(stars)
-        left = stars.where(F.col("j") < goal).select("rep", "n", "bucket")
-
-    edges = linked(tested)
-    found = components(edges)
-    rims = None
-    for stars in rounds:
-        # d(leader, stayed) <= d(leader, gone) + d(gone, stayed): only a rim of
-        # those that left can meet one that stayed outside the leader's component
-        at = found.select(F.col("node").alias("rep"), F.col("component").alias("c"))
-        top = found.select(F.col("node").alias("lead"), F.col("component").alias("lead_c"))
-        far = stars.where((F.col("j") < goal) & (F.col("j") >= 2 * goal - 1)).join(at, "rep", "left").join(top, "lead", "left")
-        far = far.where(~F.coalesce("c", "rep").eqNullSafe(F.coalesce("lead_c", "lead")))
-        far = far.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("j").alias("j2"))
-        rim = stars.where((F.col("j") >= goal) & (F.col("j") < 1)).join(far, "bucket")
-        rim = rim.where(F.col("j2") - F.col("j") + 1 >= goal - 1e-9).where(_fits("n", "n2", percent)).select(*_ordered("rep", "rep2"))
-        rims = rim if rims is None else rims.union(rim)
-    if rims is not None:
-        more = stage(overlaps(rims.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets), "rim")
-        edges = found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(linked(more))
-    return edges, found
+    return links.union(both.mapInArrow(run, "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -300,14 +321,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = stage(reps, "classes")
 
     members = reps.select("rep", "n", F.posexplode("bands").alias("band", "key")).select("rep", "n", F.xxhash64("band", "key").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
-    members = stage(members.join(shared, "bucket", "left_semi"), "buckets")
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = stage(members.join(shared, "bucket"), "buckets")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     sets = stage(shingle_sets(texts, members.select("rep").distinct()), "sets")
-    edges, _ = class_links(members, sets, percent)
+    links = class_links(members, sets, percent)
 
     same = full.select("id", "set_hash").join(reps.select("set_hash", "rep"), "set_hash").where("id <> rep")
-    found = components(edges.union(same.select(F.col("id").alias("u"), F.col("rep").alias("v"))))
+    same = same.select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    found = components(links.union(same))
     out = rows.select("id", "n_shingles").join(found, F.col("id") == F.col("node"), "left")
     component = F.coalesce("component", "id")
     return out.select(
