@@ -10,6 +10,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from .text import _col, clean_line
 
@@ -18,7 +19,7 @@ PLATFORM_MARKERS = ("cdn.shopify.com", "shopify.theme", "shopify-section", ".mys
 ATTRIBUTE = r"([a-zA-Z_:\-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """Character references decoded by the full table."""
     return text.map(lambda t: None if t is None else _html.unescape(t) if "&" in t else t)
@@ -185,7 +186,7 @@ def js_rendered(src) -> Column:
     return (_src(src) != "") & (words < 25) & ((scripts >= 3) | ((scripts >= 1) & root))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def balanced_div(src: pd.Series, marker: pd.Series) -> pd.Series:
     """Inner source of the first div whose start tag holds the marker, with
     nested divs counted; null without one."""
@@ -210,10 +211,12 @@ def balanced_div(src: pd.Series, marker: pd.Series) -> pd.Series:
     return pd.Series([one(p, m) for p, m in zip(src, marker)], dtype=object)
 
 
-LD_TYPE = (
-    "array<struct<pos:int,depth:int,types:array<string>,ref:string,name:string,url:string,price:double,low:double,high:double,"
-    "compare_at:double,currency:string,available:boolean,parent:string>>"
-)
+_LD_FIELDS = {
+    "pos": IntegerType(), "depth": IntegerType(), "types": ArrayType(StringType()), "ref": StringType(), "name": StringType(), "url": StringType(),
+    "price": DoubleType(), "low": DoubleType(), "high": DoubleType(), "compare_at": DoubleType(), "currency": StringType(),
+    "available": BooleanType(), "parent": StringType(),
+}
+LD_TYPE = ArrayType(StructType([StructField(k, v) for k, v in _LD_FIELDS.items()]))
 MAX_DEPTH, MAX_NODES = 12, 5000
 
 
@@ -273,7 +276,7 @@ def json_ld(src: pd.Series) -> pd.Series:
     return pd.Series([one(p) for p in src], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_after(src: pd.Series, pattern: pd.Series) -> pd.Series:
     """The JSON object literal that follows a pattern in page source."""
     import re

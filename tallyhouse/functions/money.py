@@ -71,10 +71,14 @@ def money_text_even(x) -> Column:
     return cents_half_even(x).cast("string")
 
 
+def _fixed2(x: Column) -> Column:
+    return F.replace(F.call_function("format_number", x.cast("double"), F.lit("0.00")), F.lit(","), F.lit(""))
+
+
 def round2(x) -> Column:
     """Two places of a double as its shortest text would round (half even on
     the exact binary value)."""
-    return F.replace(F.format_number(_col(x).cast("double"), "0.00"), F.lit(","), F.lit("")).cast("double")
+    return _fixed2(_col(x)).cast("double")
 
 
 def pct_change(before, after) -> Column:
@@ -165,6 +169,6 @@ def tsv_cell(x, is_number: bool = False) -> Column:
     """Null is empty, numbers lose trailing zeros beyond two places, tabs and
     line ends are blanks."""
     if is_number:
-        text = F.replace(F.format_number(_col(x).cast("double"), "0.00"), F.lit(","), F.lit(""))
+        text = _fixed2(_col(x))
         return F.coalesce(F.regexp_replace(text, r"\.?0+$", ""), F.lit(""))
     return F.coalesce(F.regexp_replace(_col(x).cast("string"), r"[\t\r\n]+", " "), F.lit(""))

@@ -7,6 +7,7 @@ import urllib.parse
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Second-level labels under which names are registered.
 SECOND_LEVEL = ("co", "com", "net", "org", "gov", "edu", "ac", "ne", "or", "go")
@@ -98,7 +99,7 @@ def is_first_products_page(url) -> Column:
     return F.endswith(path_of(url), F.lit("/products.json")) & (page == "1")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolve(reference: pd.Series, base: pd.Series) -> pd.Series:
     """Absolute URL of a reference on a page; Spark has no built-in for it."""
 
