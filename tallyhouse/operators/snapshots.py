@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.dates import days_between, iso_week, parse_time
 from ..functions.money import cents_half_even, dec, depth_pct, pct_change, round2
+from ..plans.staging import cut
 from .catalogue import is_real, lowest_price
 
 #: Event types in rank order with their severity.
@@ -114,16 +115,17 @@ def match_products(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, Da
     unique vendor and title."""
     cols = ["site", F.col("product_key").alias("key_a"), "handle", F.lower("vendor").alias("vendor"), T.norm_title("title").alias("title")]
     left, right = a.select(*cols), b.select(*cols)
+    left, right = cut(left), cut(right)
     ids = lambda df: df.where("not startswith(key_a, 'handle:')")
-    pairs = ids(left).select("site", "key_a").join(ids(right).select("site", "key_a"), ["site", "key_a"]).select("site", "key_a", F.col("key_a").alias("key_b"), F.lit("id").alias("how"))
+    pairs = cut(ids(left).select("site", "key_a").join(ids(right).select("site", "key_a"), ["site", "key_a"]).select("site", "key_a", F.col("key_a").alias("key_b"), F.lit("id").alias("how")))
     rest = lambda df, p, side: df.join(p.select("site", F.col(side).alias("key_a")), ["site", "key_a"], "left_anti")
-    la, rb = rest(left, pairs, "key_a"), rest(right, pairs, "key_b")
+    la, rb = cut(rest(left, pairs, "key_a")), cut(rest(right, pairs, "key_b"))
     both_ids = ~F.startswith("key_a", F.lit("handle:")) & ~F.startswith("key_b", F.lit("handle:"))
-    by_handle = unique_match(la.where("handle <> ''"), rb.where("handle <> ''"), ["handle"], F.when(both_ids, "relisted").otherwise("handle"))
-    la, rb = rest(la, by_handle, "key_a"), rest(rb, by_handle, "key_b")
+    by_handle = cut(unique_match(la.where("handle <> ''"), rb.where("handle <> ''"), ["handle"], F.when(both_ids, "relisted").otherwise("handle")))
+    la, rb = cut(rest(la, by_handle, "key_a")), cut(rest(rb, by_handle, "key_b"))
     lacks = la.union(rb).where("startswith(key_a, 'handle:')").select("site").distinct()
-    by_title = unique_match(la.join(lacks, "site", "left_semi"), rb.join(lacks, "site", "left_semi"), ["vendor", "title"], F.lit("title"))
-    return pairs.unionByName(by_handle).unionByName(by_title), rest(la, by_title, "key_a"), rest(rb, by_title, "key_b")
+    by_title = cut(unique_match(la.join(lacks, "site", "left_semi"), rb.join(lacks, "site", "left_semi"), ["vendor", "title"], F.lit("title")))
+    return cut(pairs.unionByName(by_handle).unionByName(by_title)), rest(la, by_title, "key_a"), rest(rb, by_title, "key_b")
 
 
 def ambiguous_titles(only_a: DataFrame, only_b: DataFrame) -> DataFrame:
@@ -138,16 +140,17 @@ def match_variants(pairs: DataFrame, a: DataFrame, b: DataFrame) -> tuple[DataFr
     side = lambda df, k: df.join(pairs.select("site", "key_a", "key_b", F.col(k).alias("product_key")), ["site", "product_key"]).select(
         "site", "key_a", "key_b", F.col("variant_key").alias("v"), "sku", "options"
     )
-    la, rb = side(a, "key_a"), side(b, "key_b")
+    la, rb = cut(side(a, "key_a")), cut(side(b, "key_b"))
     pk = ["site", "key_a", "key_b"]
     real = "not startswith(v, 'idx-')"
     out = la.where(real).select(*pk, "v").join(rb.where(real).select(*pk, "v"), [*pk, "v"]).select(*pk, F.col("v").alias("va"), F.col("v").alias("vb"))
+    out = cut(out)
     rest = lambda df, p, c: df.join(p.select(*pk, F.col(c).alias("v")), [*pk, "v"], "left_anti")
     once = lambda df, on: df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*pk, on))).where("_n = 1").drop("_n")
     for on, good in (("sku", "sku <> ''"), ("options", "size(options) > 0")):
-        la, rb = rest(la, out, "va"), rest(rb, out, "vb")
+        la, rb = cut(rest(la, out, "va")), cut(rest(rb, out, "vb"))
         more = once(la.where(good), on).select(*pk, on, F.col("v").alias("va")).join(once(rb.where(good), on).select(*pk, on, F.col("v").alias("vb")), [*pk, on])
-        out = out.unionByName(more.select(*pk, "va", "vb"))
+        out = cut(out.unionByName(more.select(*pk, "va", "vb")))
     return out, rest(la, out, "va"), rest(rb, out, "vb")
 
 
@@ -187,7 +190,7 @@ def product_events(a: DataFrame, b: DataFrame, va: DataFrame, vb: DataFrame, sna
     t_from, removals_ok, prices_ok, currency."""
     t = THRESHOLDS | (t or {})
     pairs, only_a, only_b = match_products(a, b)
-    fa, fb = product_facts(a, va), product_facts(b, vb)
+    fa, fb = cut(product_facts(a, va)), cut(product_facts(b, vb))
     ident = lambda key, p="": {"product_id": _shown(key), "handle": F.col(f"{p}handle"), "title": F.col(f"{p}title"), "virtual": F.col(f"{p}virtual")}
     cents = lambda c: cents_half_even(F.col(c)).cast("string")
 
@@ -208,6 +211,7 @@ def product_events(a: DataFrame, b: DataFrame, va: DataFrame, vb: DataFrame, sna
 
     pick = lambda df, p: df.select("site", F.col("product_key").alias(f"key_{p}"), *[F.col(c).alias(f"{p}_{c}") for c in ("handle", "title", "virtual", "published_at", "lowest", "depth", "avail")])
     both = pairs.join(pick(fa, "a"), ["site", "key_a"]).join(pick(fb, "b"), ["site", "key_b"]).join(snaps, "site")
+    both = cut(both)
     me = ident("key_b", "b_")
     ta, tb = parse_time("a_published_at"), parse_time("b_published_at")
     d1, d2 = F.col("a_depth"), F.col("b_depth")
