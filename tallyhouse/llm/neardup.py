@@ -140,13 +140,17 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rep, elems: the sets of the ``wanted`` classes as packed 64-bit hashes."""
+    """rep, elems: the sets of the ``wanted`` classes as packed 64-bit hashes.
+
+    A merge join at every size: the wanted ids grow with the corpus, so they are
+    never broadcast, and the texts move once.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         packed = [shingles(t).tobytes() for t in utf8(batch.column(1))]
         return pa.record_batch([batch.column(0), pa.array(packed, pa.binary())], ["rep", "elems"])
 
-    return map_batches(docs.join(wanted, "rep", "left_semi").select("rep", "text"), run, "rep long, elems binary")
+    return map_batches(docs.join(wanted.hint("merge"), "rep", "left_semi").select("rep", "text"), run, "rep long, elems binary")
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
