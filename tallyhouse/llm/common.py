@@ -82,6 +82,18 @@ def bounded_sample(df: DataFrame, label: str, key: str, per_class: int) -> DataF
     return df.where(draw < share[F.col(label)])
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch of this session grow beyond ``CHUNK_BYTES`` by much.
+
+    Rows alone bound a batch badly: 10,000 texts are 40 MB or 400. A lower bound
+    that the session has already stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= CHUNK_BYTES:
+        spark.conf.set(key, f"{CHUNK_BYTES}b")
+
+
 def map_batches(
     df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
 ) -> DataFrame:
@@ -94,6 +106,7 @@ def map_batches(
                 if out is not None and out.num_rows:
                     yield out
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
