@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -94,12 +95,34 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{CHUNK_BYTES}b")
 
 
+#: What operators keep from task to task in a Python worker, and how to drop it.
+_kept: dict[str, Callable[[], None]] = {}
+_served: list[str] = [""]
+
+
+def keeps(module: str, drop: Callable[[], None]) -> None:
+    """Register a cache that outlives a task."""
+    _kept[module] = drop
+
+
+def settle(module: str) -> None:
+    """A worker serves one operator after the other: on entering another one's
+    stage it drops what earlier ones kept."""
+    if _served[0] != module:
+        for name, drop in _kept.items():
+            if name != module:
+                drop()
+        gc.collect()
+        _served[0] = module
+
+
 def map_batches(
     df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
 ) -> DataFrame:
     """``function`` over Arrow batches cut to about ``CHUNK_BYTES`` of data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle(function.__module__)
         for batch in batches:
             for part in cut(batch):
                 out = function(part)

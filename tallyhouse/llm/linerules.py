@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import map_batches, utf8
+from .common import keeps, map_batches, utf8
 
 MENU_WORDS = 4
 BOILERPLATE_WORDS = 25
@@ -61,6 +61,7 @@ class _Hashes(dict):
 
 
 _words = _Hashes()
+keeps(__name__, _words.clear)
 
 
 def count(text: bytes, chars: bytes) -> int:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_staged, map_batches, stage, utf8
+from .common import cut, drop_staged, keeps, map_batches, stage, utf8
 
 WIDTH = 5
 BANDS = 24
@@ -57,6 +57,7 @@ class _Hashes(dict):
 
 
 _words = _Hashes()
+keeps(__name__, _words.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -314,7 +315,8 @@ def class_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if got:
                     yield pa.record_batch([pa.array([x for x, _ in got], pa.int64()), pa.array([r for _, r in got], pa.int64())], ["u", "v"])
 
-    return links.union(both.mapInArrow(run, "u long, v long"))
+    # written by itself: a task that runs one Python function needs one worker
+    return links.union(stage(both.mapInArrow(run, "u long, v long"), "block-links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:

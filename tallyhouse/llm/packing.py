@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, stage, utf8
+from .common import keeps, map_batches, stage, utf8
 
 CAPACITY = 4096
 END_ID = 1
@@ -134,6 +134,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+keeps(__name__, _encoders.clear)
 
 
 def encoder(path: str) -> Encoder:
