@@ -55,7 +55,8 @@ TOPICS = ("return_days", "return_start", "refund_days", "delivery_days", "free_t
 
 def _claim(topic: str, value: Column, kind: Column | None = None) -> Column:
     kind = kind if kind is not None else F.lit(None)
-    return F.when(value.isNotNull() & (value != ""), F.struct(F.lit(topic).alias("topic"), value.cast("string").alias("value"), kind.cast("string").alias("kind")))
+    said = value.cast("string")
+    return F.when(said.isNotNull() & (said != ""), F.struct(F.lit(topic).alias("topic"), said.alias("value"), kind.cast("string").alias("kind")))
 
 
 def sentence_claims(s: Column) -> Column:

@@ -21,9 +21,8 @@ RECOVERED = "struct<state:string,json:string,items:int>"
 
 def recover(salvage_key: str | None):
     """Arrow function: state, JSON text and number of salvaged items."""
-    decoder = json.JSONDecoder()
 
-    def one(text: str | None):
+    def one(text: str | None, decoder: json.JSONDecoder):
         if text is None:
             return {"state": "missing", "json": None, "items": None}
         t = text.strip()
@@ -55,7 +54,8 @@ def recover(salvage_key: str | None):
 
     @F.pandas_udf(RECOVERED)
     def run(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t) for t in text], columns=["state", "json", "items"])
+        decoder = json.JSONDecoder()  # it cannot be sent to the executors
+        return pd.DataFrame([one(t, decoder) for t in text], columns=["state", "json", "items"])
 
     return run
 
@@ -64,8 +64,7 @@ def states(files: DataFrame, text_col: str = "content", salvage_key: str | None
     """``files`` with state (ok, extracted, salvaged, blocked, error, missing),
     json and salvaged_items."""
     text = F.col(text_col)
-    whole = F.is_variant_null(F.try_parse_json(text)).isNotNull()
-    marked = files.withColumn("_ok", F.coalesce(whole, F.lit(False)))
+    marked = files.withColumn("_ok", F.try_parse_json(text).isNotNull())
     good = marked.where("_ok").select(*files.columns, F.lit("ok").alias("state"), F.trim(text).alias("json"), F.lit(None).cast("int").alias("salvaged_items"))
     found = recover(salvage_key)(text)
     rest = marked.where("not _ok").withColumn("_r", found).select(*files.columns, "_r.state", "_r.json", F.col("_r.items").alias("salvaged_items"))
