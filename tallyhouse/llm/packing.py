@@ -22,22 +22,27 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
-from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keeps, map_batches, stage, utf8
+from .common import keeps, map_batches, stage
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 700_000
+#: Pieces that a worker keeps, some 40 bytes each.
+CACHE_WORDS = 400_000
+#: Longer pieces are encoded where they stand and not kept.
 CACHED_BYTES = 48
-_SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
+#: Words encoded in one call.
+GROUP = 512
 _MARKS = b".,!?;:*$%&#|"
-_END = END_ID.to_bytes(4, "little")
+_PLAIN = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
+_PROBES = ("ab", "Don't", "x1", "..", "été", "你好", "A", "#tag,", "3.14", "a_b", "'s")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -47,92 +52,179 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Token ids as little-endian bytes, by pieces between ASCII white space.
-
-    The tokenizer drops white space and never joins across it, so the ids of
-    a text are those of its white-space pieces in turn; each piece is encoded
-    once and kept. A piece that ends in an ASCII letter or digit and then
-    punctuation is the ids of the two, as the tokenizer splits there. A text
-    with the literal of a special token goes whole.
+    """Token ids of whole columns of texts, by pieces between ASCII white space.
+
+    Where the tokenizer drops white space and never joins across it, the ids of a
+    text are those of its pieces in turn. A column is split and
+    dictionary-encoded by Arrow, each distinct piece is looked up or encoded
+    once, and one gather lays out the ids of all texts. Three things are probed
+    when the tokenizer is loaded: that it goes by pieces (else texts go whole);
+    that it splits between an ASCII letter or digit and a mark (then these are
+    split too, so that a word and its punctuation are known apart); and that
+    words of plain lower-case letters, which normalisation leaves alone, can go
+    to its model many to a call, cut apart again by the end-of-word suffix.
+    Texts with the literal of a special token go whole.
+
+    Row ``r`` of the table is the piece ``vocabulary[r]`` with the ids
+    ``pool[start[r] : start[r] + size[r]]``; row 0 is the end of a text.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.pieces: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
-
-    def fill(self, new: set[bytes]) -> None:
-        """Make ``pieces`` hold the ``new`` ones."""
-        cuts = []
-        for p in new:
-            stem = p.rstrip(_MARKS)
-            cuts.append((p, stem, p[len(stem) :]) if stem and len(stem) < len(p) and stem[-1] < 128 and stem[-1:].isalnum() else (p, p, b""))
-        unknown = list({x for _, stem, tail in cuts for x in (stem, tail) if x}.difference(self.stems))
-        if len(self.stems) + len(unknown) > CACHE_WORDS:
-            self.stems.clear()
-            unknown = list({x for _, stem, tail in cuts for x in (stem, tail) if x})
-        self.learn(unknown)
-        stems = self.stems
-        self.pieces.update((p, stems[stem] + stems[tail] if tail else stems[stem]) for p, stem, tail in cuts)
-
-    def learn(self, unknown: list[bytes]) -> None:
-        """Encode stems and keep their ids. Words of letters alone go many to a
-        call: each ends in one token with the end-of-word suffix, which cuts
-        the ids apart again; if the number of ends is not that of the words
-        (a letter that normalisation takes apart), they go one by one."""
-        texts = [p.decode("utf-8", "replace") for p in unknown]
-        single = [i for i, t in enumerate(texts) if not t.isalpha()]
-        letters = [i for i, t in enumerate(texts) if t.isalpha()]
-        for k in range(0, len(letters), 512 * 64):
-            groups = [letters[g : g + 512] for g in range(k, min(k + 512 * 64, len(letters)), 512)]
-            got = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)
-            for g, e in zip(groups, got):
-                ids = np.array(e.ids, "<u4")
-                cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
-                if len(cuts) != len(g):
-                    single += g
-                    continue
-                raw, start = ids.tobytes(), 0
-                for i, stop in zip(g, cuts.tolist()):
-                    self.stems[unknown[i]] = raw[start:stop]
-                    start = stop
-        for k in range(0, len(single), 4096):
-            part = single[k : k + 4096]
-            got = self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)
-            self.stems.update((unknown[i], array("I", e.ids).tobytes()) for i, e in zip(part, got))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = []
-        for t in texts:
-            low = t.lower()
-            whole = b"<|" in low and any(s in low for s in _SPECIAL)
-            split.append(None if whole else low.split())
-        used = set().union(*filter(None, split))
-        long = {p for p in used if len(p) > CACHED_BYTES}
-        new = used.difference(self.pieces, long)
-        if len(self.pieces) + len(new) > CACHE_WORDS:
-            self.pieces.clear()
-            new = used - long
-        self.fill(new)
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_piece = all(
+            self._ids(gap + gap.join(_PROBES) + gap) == [i for p in _PROBES for i in self._ids(p)] for gap in (" ", "\n", "\t ", "\r\n\x0b\x0c")
+        )
+        self.by_mark = self.by_piece and all(
+            self._ids(stem + m + n) == self._ids(stem) + self._ids(m + n) for stem in ("ab", "7", "é9z") for m in _MARKS.decode() for n in (*_MARKS.decode(), "", "a", "'s", "1")
+        )
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {ord(c): letters.pre_tokenize_str(c)[0][0] for c in _PLAIN if c > "z"}
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self._clear()
+        probe = pa.array([*_PLAIN, *(x + y + "e" for x in _PLAIN for y in _PLAIN)])
+        want = [self._ids(w) for w in probe.to_pylist()]
+        ids, sizes = self._groups(probe)
+        self.by_group = self.by_piece and ids.tolist() == [i for w in want for i in w] and sizes.tolist() == list(map(len, want))
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _clear(self) -> None:
+        self.vocabulary = pa.array([], pa.string())
+        self.start, self.size, self.n = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), 0
+        self.pool, self.used = np.zeros(1 << 14, np.uint32), 0
+        self._know(pa.array(["\n"]), np.array([END_ID], np.uint32), np.array([1]))
+
+    def _append(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """New rows of these sizes with their ids in turn."""
+        while self.n + len(sizes) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        first, stop = self.n, self.n + len(sizes)
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.size[first:stop] = sizes
+        self.start[first:stop] = self.used + np.cumsum(sizes) - sizes
+        self.n, self.used = stop, self.used + len(ids)
+        return np.arange(first, stop)
+
+    def _know(self, pieces: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """New rows that are found again."""
+        self.vocabulary = pa.concat_arrays([self.vocabulary, pieces])
+        rows = self._append(ids, sizes)
+        self.kept = self.used
+        return rows
+
+    def _gather(self, rows: np.ndarray) -> np.ndarray:
+        """The ids of the rows one after the other."""
+        size = self.size[rows]
+        stop = np.cumsum(size, dtype=np.int32)
+        at = np.repeat(self.start[rows] - stop + size, size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.pool[at]
+
+    def _singles(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts one after the other and how many each has."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.uint32, sizes.sum()), sizes
+
+    def _groups(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for plain words, many words to a call."""
+        at = [*range(0, len(words), GROUP), len(words)]
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), words), " ").to_pylist()
+        got = self.model.encode_batch_fast([t if t.isascii() else t.translate(self.bytes) for t in texts], add_special_tokens=False)
         out = []
-        for t, pieces in zip(texts, split):
-            if pieces is None:
-                out.append(self._direct(t) + _END)
-            elif long.isdisjoint(pieces):
-                out.append(b"".join(map(self.pieces.__getitem__, pieces)) + _END)
-            else:
-                out.append(b"".join(self.pieces[p] if p not in long else self._direct(p) for p in pieces) + _END)
+        for k, e in zip(at, got):
+            ids, n = np.array(e.ids, np.uint32), min(GROUP, len(words) - k)
+            sizes = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
+            out.append((ids, sizes) if len(sizes) == n else self._singles(words.slice(k, n).to_pylist()))
+        return np.concatenate([x for x, _ in out]), np.concatenate([n for _, n in out])
+
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """Rows of pieces that have none yet."""
+        kinds = np.full(len(pieces), 2)
+        if self.by_group:
+            kinds[pc.match_substring_regex(pieces, "^[ß-öø-ÿa-z]+$").to_numpy(zero_copy_only=False)] = 1
+            kinds[pc.match_substring_regex(pieces, "^[a-z]+$").to_numpy(zero_copy_only=False)] = 0
+        out = np.empty(len(pieces), np.int64)
+        for kind in range(3):
+            mine = np.flatnonzero(kinds == kind)
+            for k in range(0, len(mine), 64 * GROUP):
+                part = mine[k : k + 64 * GROUP]
+                own = pieces.take(pa.array(part))
+                out[part] = self._know(own, *(self._groups(own) if kind < 2 else self._singles(own.to_pylist())))
         return out
 
-    def _direct(self, text: bytes) -> bytes:
-        return array("I", self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+    def _find(self, pieces: pa.Array) -> np.ndarray:
+        """The row of each of the distinct pieces."""
+        # long pieces of an earlier column go
+        self.n, self.used = len(self.vocabulary), self.kept
+        out = pc.index_in(pieces, value_set=self.vocabulary).fill_null(-1).to_numpy().astype(np.int64)
+        if self.n + (out < 0).sum() > CACHE_WORDS:
+            # keep what this column uses
+            known = np.flatnonzero(out >= 0)
+            ids, sizes = self._gather(out[known]), self.size[out[known]]
+            self._clear()
+            out[known] = self._know(pieces.take(pa.array(known)), ids, sizes)
+        fits = pc.less_equal(pc.binary_length(pieces), CACHED_BYTES).to_numpy(zero_copy_only=False)
+        short, long = np.flatnonzero((out < 0) & fits), np.flatnonzero((out < 0) & ~fits)
+        if len(short):
+            out[short] = self._learn(pieces.take(pa.array(short)))
+        for i in long:
+            ids = self._ids(pieces[int(i)].as_py())
+            out[i] = self._append(np.array(ids, np.uint32), np.array([len(ids)]))[0]
+        return out
+
+    def _spread(self, texts: pa.Array) -> pa.Array:
+        """A blank between letters or digits and the marks behind them."""
+        n = len(texts)
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + n + 1]
+        raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.zeros(0, np.uint8)
+        kind = _KIND[raw]
+        cuts = np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)) + 1
+        at = at - at[0]
+        moved = (at + np.searchsorted(cuts, at)).astype(np.int32)
+        return pa.StringArray.from_buffers(n, pa.py_buffer(moved), pa.py_buffer(np.insert(raw, cuts, 32)))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text with the end after them (null: empty text)."""
+        texts = pc.fill_null(texts, "")
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:
+            texts = pa.array([x.decode("utf-8", "replace") for x in texts.cast(pa.binary()).to_pylist()])
+        low = pc.ascii_lower(texts)
+        if self.by_piece:
+            special = [pc.match_substring(low, s).to_numpy(zero_copy_only=False) for s in self.special]
+            whole = np.any([np.zeros(len(texts), bool), *special], axis=0)
+        else:
+            whole = np.ones(len(texts), bool)
+        if whole.any():
+            low = pc.if_else(pa.array(whole), "", low)
+        split = pc.ascii_split_whitespace(self._spread(low) if self.by_mark else low)
+        words = split.flatten().dictionary_encode()
+        rows = self._find(words.dictionary)
+        bounds = split.offsets.to_numpy()
+        rows = np.insert(rows[words.indices.to_numpy()], bounds[1:] - bounds[0], 0)
+        stops = np.cumsum(self.size[rows])[bounds[1:] - bounds[0] + np.arange(len(texts))]
+        out = np.split(self._gather(rows), stops[:-1])
+        for i in np.flatnonzero(whole):
+            out[i] = np.array([*self._ids(texts[int(i)].as_py()), END_ID], np.uint32)
+        return out
 
 
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = 1
+_KIND[list(_MARKS)] = 2
 _encoders: dict[str, Encoder] = {}
 keeps(__name__, _encoders.clear)
 
@@ -152,16 +244,16 @@ def tokenize(
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, piece, start, length, crc, ids = [], [], [], [], [], []
-        for i, raw in enumerate(encoder(path).encode(utf8(batch.column(1)))):
-            for p, at in enumerate(range(0, len(raw), 4 * capacity)):
-                own = raw[at : at + 4 * capacity]
+        for i, raw in enumerate(encoder(path).encode(batch.column(1))):
+            for p, at in enumerate(range(0, len(raw), capacity)):
+                own = raw[at : at + capacity]
                 row.append(i)
                 piece.append(p)
-                start.append(at // 4)
-                length.append(len(own) // 4)
-                crc.append(zlib.crc32(own))
+                start.append(at)
+                length.append(len(own))
+                crc.append(zlib.crc32(own.astype("<u4", copy=False)))
                 if keep_ids:
-                    ids.append(np.frombuffer(own, "<i4"))
+                    ids.append(own.astype(np.int32))
         cols = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]]
         names = [id_col, "piece", "start", "length", "ids_crc32"]
         if keep_ids:
@@ -219,10 +311,9 @@ def place(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) -
     spark = pieces.sparkSession
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     rows = plan(histogram, capacity)
-    by_length: dict[int, list] = {}
-    for row in rows:
-        by_length.setdefault(row[0], []).append(row[1:])
-    slots = {k: np.array(v, np.int64).T for k, v in by_length.items()}
+    # sorted by length and rank: one search finds a piece's plan row
+    slots = np.array(sorted(rows), np.int64).reshape(-1, 6).T
+    keys = slots[0] << 40 | slots[1]
 
     salts = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col).cast("string"), "piece"), F.lit(salts)))
@@ -237,13 +328,9 @@ def place(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) -
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         length, rank = batch.column(at).to_numpy(zero_copy_only=False), batch.column(len(names)).to_numpy(zero_copy_only=False)
-        sequence, offset = np.empty_like(rank), np.empty_like(rank)
-        for k in np.unique(length):
-            own = length == k
-            r0, _, per, first, start = slots[int(k)]
-            i = np.searchsorted(r0, rank[own], "right") - 1
-            q = rank[own] - r0[i]
-            sequence[own], offset[own] = first[i] + q // per[i], start[i] + q % per[i] * k
+        i = np.searchsorted(keys, length << 40 | rank, "right") - 1
+        r0, per, first, start = slots[1][i], slots[3][i], slots[4][i], slots[5][i]
+        sequence, offset = first + (rank - r0) // per, start + (rank - r0) % per * length
         return pa.record_batch([*batch.columns[: len(names)], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*names, "sequence_id", "offset"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
