@@ -13,17 +13,20 @@ Format of a conversation::
 
 (without the blanks). A backslash in a text becomes ``\\s`` and every control
 string gets ``\\e`` after its first character, so no control string is left in
-a text and two plain replacements undo it. In roles a new line is ``\\n`` too.
+a text and plain replacements undo it. Between two parts of a message stands
+``\\p``, which no escaped text holds: parts that follow each other cannot make up
+a control string, and each can be read back. In roles a new line is ``\\n`` too.
 
-The loss mask is one run for each turn: skip ``skip`` characters of the turn's
-part of the string (from ``<|turn|>`` on), learn the next ``learn``, skip the
-rest. Characters are code points.
+The loss mask has an array of runs for each turn: learn ``learn`` characters
+from ``start`` on, counted from the turn's ``<|turn|>``. Only the texts of
+learnt roles are in it, never placeholders or what stands between parts.
+Characters are code points.
 
 Defined cases: null texts, roles, part kinds and references are empty; an
 unknown kind is an ``<|other|>`` placeholder of no tokens; negative or missing
 sizes expand to no tokens; turns are ordered by turn, role, text (nulls first)
-and repeated rows stay; rows with a null conversation id form one conversation;
-an empty table gives no row. A conversation is one value of the result and must
+and repeated rows stay; a row with a null conversation id is a conversation of
+its own; an empty table gives no row. A conversation is one value of the result and must
 fit in memory as such.
 """
 
@@ -41,6 +44,7 @@ CONTROLS = (START, END, "[INST]", "[/INST]", TURN, *PLACEHOLDERS.values(), OTHER
 IMAGE_PATCH = 28
 AUDIO_TOKENS_A_SECOND = 25
 DOCUMENT_TOKENS_A_PAGE = 512
+PART = "\\p"
 PART_TYPE = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 
 
@@ -54,7 +58,7 @@ def escape(col: Column) -> Column:
 
 
 def unescape(col: Column) -> Column:
-    return _replace(_replace(col, "\\e", ""), "\\s", "\\")
+    return _replace(_replace(_replace(col, PART, ""), "\\e", ""), "\\s", "\\")
 
 
 def escape_role(col: Column) -> Column:
@@ -105,15 +109,16 @@ def format_conversations(
     messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
     parts_col: str | None = None, learn_roles: tuple[str, ...] = ("assistant",),
 ) -> DataFrame:
-    """conv, formatted, loss_mask (array of skip, learn), attachments (array of
-    turn, place, kind, ref, tokens), expanded_tokens."""
+    """conv, formatted, loss_mask (for each turn, an array of start, learn),
+    attachments (array of turn, place, kind, ref, tokens), expanded_tokens."""
     parts = F.coalesce(F.col(parts_col).cast(PART_TYPE), F.array().cast(PART_TYPE)) if parts_col else text_part(F.col(text_col))
     role = F.coalesce(F.col(role_col), F.lit(""))
-    rows = messages.select(F.col(conv_col).alias("_conv"), F.col(turn_col).alias("_turn"), role.alias("_role"), parts.alias("_parts"))
-    body = F.array_join(F.transform("_parts", visit), "")
+    alone = F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id())
+    rows = messages.select(F.col(conv_col).alias("_conv"), alone.alias("_alone"), F.col(turn_col).alias("_turn"), role.alias("_role"), parts.alias("_parts"))
+    said = F.transform("_parts", lambda p: F.struct(visit(p).alias("s"), (_kind(p) == "text").alias("is_text")))
     attached = F.filter("_parts", lambda p: _kind(p) != "text")
     rows = rows.select(
-        "_conv", "_turn", "_role", body.alias("_body"), F.concat(F.lit(TURN), escape_role(F.col("_role")), F.lit("\n")).alias("_head"),
+        "_conv", "_alone", "_turn", "_role", said.alias("_said"), F.concat(F.lit(TURN), escape_role(F.col("_role")), F.lit("\n")).alias("_head"),
         F.transform(
             attached,
             lambda p, i: F.struct(
@@ -122,37 +127,55 @@ def format_conversations(
             ),
         ).alias("_attached"),
     )
-    learn = F.when(F.col("_role").isin(*learn_roles), F.length("_body")).otherwise(0)
-    turn = F.struct("_turn", "_role", "_body", "_head", F.length("_head").alias("skip"), learn.alias("learn"), "_attached")
-    turns = F.sort_array(F.collect_list(turn))
-    out = rows.groupBy("_conv").agg(turns.alias("t"))
+    body = F.array_join(F.transform("_said", lambda p: p["s"]), PART)
+    run = lambda at, p: F.struct(at.alias("start"), F.length(p["s"]).alias("learn"))
+    none = F.array().cast("array<struct<start:int,learn:int>>")
+    walked = F.aggregate(
+        "_said", F.struct(F.length("_head").alias("at"), none.alias("runs")),
+        lambda done, p: F.struct(
+            (done["at"] + F.length(p["s"]) + len(PART)).alias("at"), F.when(p["is_text"], F.array_append(done["runs"], run(done["at"], p))).otherwise(done["runs"]).alias("runs")
+        ),
+        lambda done: done["runs"],
+    )
+    rows = rows.withColumn("_runs", F.when(F.col("_role").isin(*learn_roles), walked).otherwise(none)).withColumn("_body", body)
+    turns = F.sort_array(F.collect_list(F.struct("_turn", "_role", "_body", "_head", "_runs", "_attached")))
+    out = rows.groupBy("_conv", "_alone").agg(turns.alias("t"))
     attachments = F.flatten(F.transform("t", lambda t: t["_attached"]))
     return out.select(
         F.col("_conv").alias(conv_col),
         F.concat(F.lit(START), F.array_join(F.transform("t", lambda t: F.concat(t["_head"], t["_body"], F.lit(END))), "")).alias("formatted"),
-        F.transform("t", lambda t: F.struct(t["skip"].alias("skip"), t["learn"].alias("learn"))).alias("loss_mask"),
+        F.transform("t", lambda t: t["_runs"]).alias("loss_mask"),
         attachments.alias("attachments"),
         F.aggregate(attachments, F.lit(0).cast("long"), lambda n, a: n + a["tokens"]).alias("expanded_tokens"),
     )
 
 
+def _turns(formatted: Column) -> Column:
+    return F.filter(F.split(formatted, "<\\|turn\\|>"), lambda x, i: i > 0)
+
+
+def _body(turn: Column) -> Column:
+    head = F.substring_index(turn, "\n", 1)
+    return turn.substr(F.length(head) + 2, F.length(turn) - F.length(head) - 1 - len(END))
+
+
 def read_turns(formatted: Column) -> Column:
     """Array of role, text parsed from a formatted string."""
-    raw = F.filter(F.split(formatted, "<\\|turn\\|>"), lambda x, i: i > 0)
+    one = lambda turn: F.struct(unescape_role(F.substring_index(turn, "\n", 1)).alias("role"), unescape(_body(turn)).alias("text"))
+    return F.transform(_turns(formatted), one)
 
-    def one(part: Column) -> Column:
-        head = F.substring_index(part, "\n", 1)
-        body = part.substr(F.length(head) + 2, F.length(part) - F.length(head) - 1 - len(END))
-        return F.struct(unescape_role(head).alias("role"), unescape(body).alias("text"))
 
-    return F.transform(raw, one)
+def read_parts(formatted: Column) -> Column:
+    """For each turn the array of its parts: kind and, of texts, the text."""
+    kind = lambda p: reduce(lambda c, km: c.when(p == km[1], F.lit(km[0])), PLACEHOLDERS.items(), F.when(p == OTHER, F.lit("other"))).otherwise("text")
+    part = lambda p: F.struct(kind(p).alias("kind"), F.when(kind(p) == "text", unescape(p)).alias("text"))
+    return F.transform(_turns(formatted), lambda turn: F.transform(F.split(_body(turn), "\\\\p"), part))
 
 
 def read_learnt(formatted: Column, loss_mask: Column) -> Column:
     """All text under the loss mask, unescaped."""
-    raw = F.filter(F.split(formatted, "<\\|turn\\|>"), lambda x, i: i > 0)
-    cut = lambda part, run: part.substr(run["skip"] - len(TURN) + 1, run["learn"])
-    return F.array_join(F.transform(F.zip_with(raw, loss_mask, cut), unescape), "")
+    cut = lambda turn, runs: F.array_join(F.transform(runs, lambda r: turn.substr(r["start"] - len(TURN) + 1, r["learn"])), "")
+    return F.array_join(F.transform(F.zip_with(_turns(formatted), loss_mask, cut), unescape), "")
 
 
 def digest(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:

@@ -11,9 +11,12 @@ found, the share of its question's and of its answer's five-word shingles
 that the whole text holds decides. An item's answer is what follows the last
 ``Answer:`` or, without one, its last sentence; one sentence is both.
 
-The index grows with the test set, not with the corpus; ``MAX_INDEX_WORDS``
-is its checked bound, and a larger test set is gone through in parts of that
-size.
+The index grows with the test set, not with the corpus. Document frequencies,
+the number of units and their mean length are counted over the whole test set
+first; an index holds at most ``MAX_INDEX_WORDS`` words (its checked bound, for
+what is broadcast), and a larger test set is gone through in parts, one pass over
+the corpus each, that share these counts: every score is the same wherever the
+parts are cut.
 
 Defined cases: null and empty texts or items match nothing; repeated items are
 each reported; repeated rows are reported once for each row; an item of
@@ -25,6 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -42,7 +46,7 @@ THRESHOLD = 0.4
 QUESTION_ALONE = 0.8
 BOTH = 0.5
 MAX_BLOCKS = 128
-MAX_INDEX_WORDS = 200_000
+MAX_INDEX_WORDS = 500_000
 EPS = 1e-5
 _SPACE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -68,33 +72,54 @@ def grams(tokens: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(tokens[i : i + k]) for i in range(len(tokens) - k + 1)} if k else set()
 
 
+def cut_units(tokens: list[bytes]) -> list[Counter]:
+    """An item's words in units of about equal size."""
+    pieces = max(1, math.ceil(len(tokens) / UNIT_WORDS))
+    size = max(1, math.ceil(len(tokens) / pieces))
+    return [Counter(tokens[i : i + size]) for i in range(0, len(tokens), size)]
+
+
+class Weights:
+    """What BM25 needs to know of a whole test set."""
+
+    def __init__(self, texts: Iterable[str | None]):
+        self.units, total, df = 0, 0, Counter()
+        for text in texts:
+            for unit in cut_units(words((text or "").encode())):
+                self.units += 1
+                total += unit.total()
+                df.update(unit.keys())
+        self.mean = total / max(1, self.units)
+        self.idf = {t: math.log(1 + (self.units - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+
+    def impacts(self, unit: Counter) -> dict[bytes, float]:
+        """Each term's share of the unit's own full score."""
+        length = K1 * (1 - B + B * unit.total() / self.mean)
+        own = {t: self.idf[t] * f * (K1 + 1) / (f + length) for t, f in unit.items()}
+        whole = sum(own.values())
+        return {t: x / whole for t, x in own.items()}
+
+
 class Index:
-    """Postings with normalised impacts, largest impact by term and block."""
+    """Postings with normalised impacts, largest impact by term and block, of
+    some items; ``weights`` are those of the whole test set."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], weights: Weights | None = None):
         self.items = items
-        self.tokens = [words((t or "").encode()) for _, t in items]
+        weights = weights or Weights(t for _, t in items)
         self.halves = [tuple(grams(words(p.encode())) for p in parts(t or "")) for _, t in items]
         self.unit_item, units = [], []
-        for n, tokens in enumerate(self.tokens):
-            pieces = max(1, math.ceil(len(tokens) / UNIT_WORDS))
-            size = math.ceil(len(tokens) / pieces)
-            for i in range(0, len(tokens), max(1, size)):
-                self.unit_item.append(n)
-                units.append(Counter(tokens[i : i + size]))
-        df = Counter(t for u in units for t in u)
-        mean = sum(map(Counter.total, units)) / max(1, len(units))
-        idf = {t: math.log(1 + (len(units) - d + 0.5) / (d + 0.5)) for t, d in df.items()}
-        self.vocabulary = {t: i + 1 for i, t in enumerate(sorted(df))}
+        for n, (_, text) in enumerate(items):
+            own = cut_units(words((text or "").encode()))
+            self.unit_item += [n] * len(own)
+            units += own
+        self.vocabulary = {t: i + 1 for i, t in enumerate(sorted({t for u in units for t in u}))}
         self.postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for u, bag in enumerate(units):
-            length = K1 * (1 - B + B * bag.total() / mean)
-            own = {t: idf[t] * f * (K1 + 1) / (f + length) for t, f in bag.items()}
-            whole = sum(own.values())
-            for t, x in own.items():
-                self.postings[self.vocabulary[t]].append((u, x / whole))
+            for t, x in weights.impacts(bag).items():
+                self.postings[self.vocabulary[t]].append((u, x))
         self.block = max(2, math.ceil(len(units) / MAX_BLOCKS))
-        self.blocks = np.zeros((len(df) + 1, max(1, math.ceil(len(units) / self.block))), np.float32)
+        self.blocks = np.zeros((len(self.vocabulary) + 1, max(1, math.ceil(len(units) / self.block))), np.float32)
         for t, rows in self.postings.items():
             for u, x in rows:
                 self.blocks[t, u // self.block] = max(self.blocks[t, u // self.block], x)
@@ -190,9 +215,12 @@ def leaks(
     """id, item, score, question_overlap, answer_overlap, contaminated: every
     pair above the BM25 threshold, with the decision."""
     out = None
-    for index in indexes(benchmark, item_col, item_text):
+    spark = docs.sparkSession
+    for one in indexes(benchmark, item_col, item_text):
+        shared = spark.sparkContext.broadcast(one)
 
-        def run(batch: pa.RecordBatch, index: Index = index) -> pa.RecordBatch:
+        def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+            index = shared.value
             rows = index.matches(utf8(batch.column(1)), threshold)
             q, a = [r[3] for r in rows], [r[4] for r in rows]
             bad = [x >= QUESTION_ALONE or (x >= BOTH and y >= BOTH) for x, y in zip(q, a)]
@@ -218,15 +246,19 @@ def leaks(
     return out
 
 
-def indexes(benchmark: DataFrame, item_col: str, item_text: str) -> list[Index]:
-    """The test set as indexes of at most ``MAX_INDEX_WORDS`` words each."""
+def indexes(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[Index]:
+    """The test set as indexes of at most ``MAX_INDEX_WORDS`` words each (one item
+    at least), with the same weights."""
     rows = benchmark.select(F.col(item_col).cast("long"), F.col(item_text)).where(F.length(F.trim(item_text)) > 0)
-    out, part, size = [], [], 0
-    for item, text in sorted(((r[0], r[1]) for r in rows.toLocalIterator()), key=lambda r: (r[0] is None, r)):
-        n = len(text.split())
+    rows = rows.orderBy(F.col(item_col).asc_nulls_last(), item_text)
+    weights = Weights(r[1] for r in rows.toLocalIterator())
+    part, size = [], 0
+    for item, text in rows.toLocalIterator():
+        n = len(words(text.encode()))
         if part and size + n > MAX_INDEX_WORDS:
-            out.append(Index(part))
+            yield Index(part, weights)
             part, size = [], 0
         part.append((item, text))
         size += n
-    return [*out, Index(part)] if part else out
+    if part:
+        yield Index(part, weights)

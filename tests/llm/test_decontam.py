@@ -66,11 +66,14 @@ def test_index_in_parts_finds_the_same(spark, monkeypatch):
     rows, *_ = items()
     df = spark.createDataFrame([(i, t) for i, t in rows[:20]], "doc_id long, text string")
     bench = spark.createDataFrame(rows, "item_id long, text string")
-    whole = {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).where("contaminated").collect()}
-    monkeypatch.setattr(decontam, "MAX_INDEX_WORDS", 500)
-    assert len(decontam.indexes(bench, "item_id", "text")) > 1
-    assert {(r.doc_id, r.item_id) for r in decontam.leaks(df, bench).where("contaminated").collect()} == whole
-    assert {(i, i) for i, _ in rows[:20]} <= whole
+    answers = lambda: {(r.doc_id, r.item_id): r[2:] for r in decontam.leaks(df, bench, threshold=0.05).collect()}
+    whole = answers()
+    for bound in (1, 500, 2000):
+        monkeypatch.setattr(decontam, "MAX_INDEX_WORDS", bound)
+        assert len(list(decontam.indexes(bench, "item_id", "text"))) > 1
+        parts = answers()
+        assert parts.keys() == whole.keys() and all(parts[k] == pytest.approx(whole[k], abs=1e-12) for k in whole)
+    assert {(i, i) for i, _ in rows[:20]} <= set(whole)
 
 
 @pytest.mark.parametrize("docs, bench", [([], [(1, "a b c d e f")]), ([(1, "a b c d e f")], []), ([], [])])
@@ -79,6 +82,51 @@ def test_empty_tables(spark, docs, bench):
     assert decontam.leaks(df, b).collect() == []
 
 
+def brute_force(docs, items):
+    """Every pair of a text and an item found without an index: all units are
+    scored for every window, and overlaps are counted for what is found."""
+    weights = decontam.Weights(t for _, t in items)
+    units = [(n, weights.impacts(u)) for n, (_, t) in enumerate(items) for u in decontam.cut_units(decontam.words((t or "").encode()))]
+    holding = {}
+    for u, (_, impact) in enumerate(units):
+        for t, x in impact.items():
+            holding.setdefault(t, []).append((u, x))
+    half, out = decontam.PASSAGE_WORDS // 2, set()
+    for doc, text in docs:
+        t = decontam.words((text or "").encode())
+        found = set()
+        for i in range(0, max(1, len(t) - half), half):
+            score = Counter()
+            for w in set(t[i : i + 2 * half]):
+                for u, x in holding.get(w, ()):
+                    score[u] += x
+            found |= {units[u][0] for u, x in score.items() if x >= decontam.THRESHOLD - decontam.EPS}
+        for n in found:
+            shares = []
+            for part in decontam.parts(items[n][1]):
+                want = decontam.grams(decontam.words(part.encode()))
+                k = len(next(iter(want)))
+                shares.append(len(want & set(zip(*[t[j:] for j in range(k)]))) / len(want))
+            if shares[0] >= decontam.QUESTION_ALONE or min(shares) >= decontam.BOTH:
+                out.add((doc, items[n][0]))
+    return out
+
+
+def test_query_against_brute_force(spark):
+    items_ = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if decontam.words((r.text or "").encode())]
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = {(r.doc_id, r.item_id) for r in queries.op7_decontamination_wand(spark, SF).collect()}
+    assert got == brute_force(docs, items_) and got
+
+
+def test_repeated_documents_and_null_ids(spark):
+    rows, words, _ = items()
+    docs = [(1, rows[3][1]), (1, rows[3][1]), (None, rows[3][1]), (2, rows[4][1] + " " + rows[3][1])]
+    found = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string"))
+    got = Counter((r.doc_id, r.item_id) for r in found.where("contaminated").collect())
+    assert got[1, 3] == 2 and got[None, 3] == 1 and got[2, 3] == got[2, 4] == 1
+
+
 def test_query_finds_every_whole_item_in_the_documents(spark):
     plain = lambda t: b" ".join(decontam.words((t or "").encode()))
     bench = [(r.item_id, plain(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
