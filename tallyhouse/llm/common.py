@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,17 +20,21 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 
 
+#: Paths staged inside the innermost ``removing`` block.
+_inside: ContextVar[list[str] | None] = ContextVar("inside", default=None)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is empty (tests, a laptop) a temporary folder is
-    made and used for this session; on a cluster the setting must be there.
+    Where it is not set, a session in one JVM (tests, a laptop) gets a temporary
+    folder of its own; any other master is refused, as its executors would not
+    see a folder of the driver.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    kept = spark.sparkContext.getCheckpointDir()
+    kept = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not kept:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="tallyhouse-")
         atexit.register(shutil.rmtree, own, True)
         spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -35,15 +42,26 @@ def scratch_dir(spark: SparkSession) -> str:
     return kept.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
-    The table survives lost executors and cuts the lineage; ``drop_staged``
-    removes it when a later table has replaced it.
+    The table survives lost executors and cuts the lineage. It is removed by
+    ``drop_staged``, at the end of a ``removing`` block, or when the application
+    ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tallyhouse/{uuid.uuid4().hex}-{name}"
+    own = f"{scratch_dir(spark)}/tallyhouse-{spark.sparkContext.applicationId}"
+    path = f"{own}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
+    files, at = _folder(spark, own)
+    files.deleteOnExit(at)
+    if _inside.get() is not None:
+        _inside.get().append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
@@ -53,10 +71,32 @@ def drop_staged(df: DataFrame) -> None:
     """Remove a table made by ``stage`` that no later plan reads."""
     path = getattr(df, "_staged_path", None)
     if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        files, at = _folder(df.sparkSession, path)
+        files.delete(at, True)
+
+
+@contextmanager
+def removing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables staged inside are removed at the end, but for those that were
+    given to the function it yields."""
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._staged_path)
+        return df
+
+    before, paths = _inside.get(), []
+    _inside.set(paths)
+    try:
+        yield keep
+    finally:
+        _inside.set(before)
+        for path in paths:
+            if path not in kept:
+                files, at = _folder(spark, path)
+                files.delete(at, True)
+            elif before is not None:
+                before.append(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,7 +127,8 @@ def bound_batches(spark: SparkSession) -> None:
     """Let no Arrow batch of this session grow beyond ``CHUNK_BYTES`` by much.
 
     Rows alone bound a batch badly: 10,000 texts are 40 MB or 400. A lower bound
-    that the session has already stays.
+    that the session has already stays. The setting outlasts the call: plans are
+    lazy and read it when they run, so it cannot be put back here.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key)

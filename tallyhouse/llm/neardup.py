@@ -31,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_staged, keeps, map_batches, stage, utf8
+from .common import bound_batches, cut, drop_staged, keeps, map_batches, removing, stage, utf8
 
 WIDTH = 5
 BANDS = 24
@@ -42,6 +42,8 @@ ROWS = 5
 PLACES = BANDS * ROWS
 #: Members of a family in a block.
 BLOCK = 128
+#: Members of a bucket, and pairs of a leader, that one task takes.
+SALT = 512
 CACHE_WORDS = 1 << 18
 U64 = np.uint64
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -144,21 +146,48 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """rep, elems: the sets of the ``wanted`` classes as packed 64-bit hashes.
 
     A merge join at every size: the wanted ids grow with the corpus, so they are
-    never broadcast, and the texts move once.
+    never broadcast, and the texts move once. An id that several rows share
+    comes once for each of its different sets, not once for each row.
     """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        packed = [shingles(t).tobytes() for t in utf8(batch.column(1))]
-        return pa.record_batch([batch.column(0), pa.array(packed, pa.binary())], ["rep", "elems"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, set()
+        for whole in batches:
+            for batch in cut(whole):
+                reps, packed = [], []
+                for rep, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+                    own = shingles(text).tobytes()
+                    mark = xxhash.xxh3_128_digest(own)
+                    if rep != now:
+                        now, seen = rep, set()
+                    if mark not in seen:
+                        seen.add(mark)
+                        reps.append(rep)
+                        packed.append(own)
+                yield pa.record_batch([pa.array(reps, pa.int64()), pa.array(packed, pa.binary())], ["rep", "elems"])
+
+    bound_batches(docs.sparkSession)
+    # the merge join leaves the rows of an id side by side
+    return docs.join(wanted.hint("merge"), "rep", "left_semi").select("rep", "text").mapInArrow(run, "rep long, elems binary")
+
 
-    return map_batches(docs.join(wanted.hint("merge"), "rep", "left_semi").select("rep", "text"), run, "rep long, elems binary")
+def salts(size: str) -> Column:
+    """How many tasks a group of this size is dealt to."""
+    return F.greatest(F.ceil(F.col(size) / SALT), F.lit(1)).cast("int")
+
+
+def salt(size: str) -> Column:
+    return F.pmod(F.xxhash64("rep", F.lit("salt")), salts(size)).cast("int")
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """lead, rep, inter, total for the ``pairs`` (lead, rep, wide), from whole
-    sets; where ``wide``, also ``apart``: the elements that only one of the two
-    has, packed."""
-    left = sets.select(F.col("rep").alias("lead"), F.col("elems").alias("ea"))
+    """lead, rep, inter, total for the ``pairs`` (lead, rep, wide, many), from
+    whole sets; where ``wide``, also ``apart``: the elements that only one of the
+    two has, packed. The set of a leader with many pairs is copied for each task
+    that takes some of them; ``many`` is the size of the pair's largest bucket."""
+    leads = pairs.groupBy("lead").agg(F.max("many").alias("most"))
+    left = sets.select(F.col("rep").alias("lead"), F.col("elems").alias("ea")).join(leads.hint("merge"), "lead")
+    left = left.select("lead", "ea", F.explode(F.sequence(F.lit(0), salts("most") - 1)).alias("salt"))
     right = sets.select("rep", F.col("elems").alias("eb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +206,7 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     ["lead", "rep", "inter", "total", "apart"],
                 )
 
-    joined = pairs.join(right.hint("merge"), "rep").join(left.hint("merge"), "lead")
+    joined = pairs.withColumn("salt", salt("many")).join(right.hint("merge"), "rep").join(left.hint("merge"), ["lead", "salt"])
     return joined.select("lead", "rep", "ea", "eb", "wide").mapInArrow(run, "lead long, rep long, inter long, total long, apart binary")
 
 
@@ -261,7 +290,9 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
         seen = mark(now)
         if seen == before:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out._staged_path = now._staged_path
+    return out
 
 
 def class_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -277,13 +308,14 @@ def class_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     ties = members.groupBy("rep").agg(F.sum("size").alias("ties"))
     now = members.join(ties, "rep")
-    tops = now.groupBy("bucket").agg(F.max_by(F.struct("rep", "n"), F.struct("ties", -F.col("rep"))).alias("top"))
-    pairs = now.join(tops, "bucket").where("rep <> top.rep").groupBy(F.col("top.rep").alias("lead"), "rep").agg(
-        F.bool_or(F.col("size") > 2).alias("wide"), F.first("n").alias("n"), F.first("top.n").alias("lead_n")
+    tops = now.groupBy("bucket").agg(F.max_by(F.struct("rep", "n"), F.struct("ties", -F.col("rep"))).alias("top"), F.first("size").alias("size"))
+    tops = tops.select("bucket", "top", F.explode(F.sequence(F.lit(0), salts("size") - 1)).alias("salt"))
+    pairs = now.withColumn("salt", salt("size")).join(tops, ["bucket", "salt"]).where("rep <> top.rep").groupBy(F.col("top.rep").alias("lead"), "rep").agg(
+        F.bool_or(F.col("size") > 2).alias("wide"), F.max("size").alias("many"), F.first("n").alias("n"), F.first("top.n").alias("lead_n")
     )
     pairs = pairs.where(F.col("wide") | (F.least("n", "lead_n") * 100 >= F.greatest("n", "lead_n") * percent))
     pairs = stage(pairs, "pairs")
-    found = stage(compare(pairs.select("lead", "rep", "wide"), sets).join(pairs.select("lead", "rep", "n"), ["lead", "rep"]), "stars")
+    found = stage(compare(pairs.select("lead", "rep", "wide", "many"), sets).join(pairs.select("lead", "rep", "n"), ["lead", "rep"]), "stars")
     linked = F.col("inter") * 100 >= F.col("total") * percent
     links = found.where(linked).select(F.col("lead").alias("u"), F.col("rep").alias("v"))
 
@@ -292,7 +324,10 @@ def class_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     counts = counts.where("n_loose > 0 and n_loose + n_tied > 1")
     blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
     counts = counts.select("lead", blocks("n_loose").alias("b_loose"), F.when(F.col("n_tied") > 0, blocks("n_tied")).otherwise(0).alias("b_tied"))
-    rows = rows.join(counts, "lead")
+    # dealt by lead and salt, so that neither the join nor the blocks meet a
+    # leader's members in one task
+    counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit("salt")), F.lit(16)).cast("int")).join(counts, ["lead", "salt"])
     mine = F.pmod(F.xxhash64("rep"), F.when(F.col("loose"), F.col("b_loose")).otherwise(F.col("b_tied"))).cast("int")
     packed = rows.groupBy("lead", "loose", mine.alias("block")).agg(
         F.collect_list(F.struct("rep", "n", "apart")).alias("people"), F.first("b_loose").alias("b_loose"), F.first("b_tied").alias("b_tied")
@@ -323,6 +358,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, n_shingles, component_id and kept for every row of ``docs``."""
     rows = stage(sketch(docs, id_col, text_col), "sketch")
     full = rows.where("id is not null and set_hash is not null")
+    with removing(docs.sparkSession) as keep:
+        found = linked_classes(docs, full, id_col, text_col, percent, keep)
+    out = rows.select("id", "n_shingles").join(found, F.col("id") == F.col("node"), "left")
+    component = F.coalesce("component", "id")
+    return out.select(
+        F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept")
+    )
+
+
+def linked_classes(docs: DataFrame, full: DataFrame, id_col: str, text_col: str, percent: int, keep) -> DataFrame:
+    """node, component of all ids that are not their own component."""
     reps = full.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     reps = stage(reps, "classes")
 
@@ -335,9 +381,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     same = full.select("id", "set_hash").join(reps.select("set_hash", "rep"), "set_hash").where("id <> rep")
     same = same.select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    found = components(links.union(same))
-    out = rows.select("id", "n_shingles").join(found, F.col("id") == F.col("node"), "left")
-    component = F.coalesce("component", "id")
-    return out.select(
-        F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept")
-    )
+    return keep(components(links.union(same)))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from tallyhouse.llm import neardup, queries
 
@@ -77,6 +78,28 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
     assert {(r.doc_id, r.component_id) for r in got} == {(None, None), (1, 1)}
 
 
+def test_an_id_with_many_rows_and_texts(spark):
+    base = [f"x{i}" for i in range(100)]
+    near = " ".join([*base, "y"])
+    rows = [(5, " ".join(base))] * 60 + [(9, near)] * 60 + [(5, "other words that stand alone here")] * 3 + [(11, "Other words that stand alone here")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    wanted = spark.createDataFrame([(5,), (9,)], "rep long")
+    assert neardup.shingle_sets(df.withColumnRenamed("doc_id", "rep"), wanted).count() == 3
+    assert {r[0]: r[2] for r in run(df)} == {5: 5, 9: 5, 11: 5}
+
+
+def test_ties_between_leaders_in_a_large_family(spark):
+    rng = random.Random(8)
+    base = rng.choices([f"w{i}" for i in range(500)], k=120)
+    rows = []
+    for i in range(700):
+        own = list(base)
+        for _ in range(i % 7):
+            own[rng.randrange(len(own))] = f"v{rng.randrange(50)}"
+        rows.append((i, " ".join(own)))
+    assert run(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+
+
 def test_empty_table(spark):
     assert run(spark.createDataFrame([], SCHEMA)) == []
 
@@ -91,8 +114,8 @@ def test_signature_is_an_unbiased_estimate():
     assert (one[0] == neardup.signatures([a])[0]).all() and (one[1] == neardup.signatures([a[:3]])[0]).all()
 
 
-def test_query_against_brute_force(spark):
-    sf = "/root/testdata/sf0.001"
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_query_against_brute_force(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(tuple(r) for r in queries.op2_minhash_near_dedup(spark, sf).select("doc_id", "n_shingles", "component_id", "kept").collect())
     assert got == brute(rows)
