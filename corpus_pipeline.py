@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import decontam, langid, neardup, packing, quality
-from tallyhouse.llm.common import id_bucket, stage, table
+from tallyhouse.llm.common import drop_staged, id_bucket, removing, stage, table
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -60,9 +60,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage leaves in the shared folder goes once the next
+    one is written, and the last one's pieces when the application ends."""
     docs = table(spark, sf_dir, "documents")
-    for name, function in STAGES:
-        docs = function(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stage(docs, name)
-    return docs
+    for name, function in STAGES[:-1]:
+        with removing(spark) as keep:
+            after = keep(stage(function(spark, docs, sf_dir), name))
+        drop_staged(docs)
+        docs = after
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    # packing has written its pieces and reads the texts no more
+    drop_staged(docs)
+    return packed

@@ -7,6 +7,7 @@ keeps the plan small and survives lost executors.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,9 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is set."""
+    """The session's checkpoint folder. Where none is set, a session in one JVM
+    gets a temporary one; any other master is refused, as its executors would not
+    see a folder of the driver."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="tallyhouse-")
         atexit.register(shutil.rmtree, own, True)
         spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -26,7 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` written once and read from there."""
-    path = f"{shared_folder(df.sparkSession)}/tallyhouse/{name}-{uuid.uuid4().hex}"
+    """``df`` written once and read from there; it goes when the application ends."""
+    context = df.sparkSession.sparkContext
+    own = f"{shared_folder(df.sparkSession)}/tallyhouse-{context.applicationId}"
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = context._jvm.org.apache.hadoop.fs.Path(own)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
