@@ -349,8 +349,8 @@ def q29_phones(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.size(text.phones("text")).cast("long").alias("n"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM documents) SELECT doc_id, CASE WHEN len(w) >= 30 THEN round(least(1.0,
- len(list_filter(w, lambda x: x IN ('the','and','of','to','a','in','for','is','on','with','you','your','that','this','are','or','be','our','we','it')))::DOUBLE / len(w) / 0.3), 6) END AS share FROM w""")
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z\x{e0}-\x{24f}]+') AS w FROM documents) SELECT doc_id, CASE WHEN len(w) >= 30 THEN round(least(1.0,
+ len(list_filter(w, lambda x: x IN ('the','and','your','with','you','our','are','for','cart','free','shipping','add','more','about','sign','all','from','this','that','will','have','shop','now','new','collection','sale','search','menu','account')))::DOUBLE / len(w) / 0.3), 6) END AS share FROM w""")
 def q30_english_share(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.round(text.english_share("text"), 6).alias("share"))
 
@@ -501,8 +501,11 @@ def q48_content_lines(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import queries_rules  # noqa: F401  registers its own
+
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
