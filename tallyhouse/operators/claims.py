@@ -148,14 +148,5 @@ def conflicts(claims: DataFrame, order: list, keys: tuple[str, ...] = ("site",))
 
 
 def return_windows(texts: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame:
-    """Day counts near return words, the most frequent first; counts of
-    processing times are left out."""
-    s = texts.select(*keys, F.explode(T.sentences("text")).alias("s")).where(F.col("s").rlike(RETURN) & ~F.col("s").rlike(PROCESS))
-    n = s.select(*keys, F.explode(T.day_counts("s")).alias("days"))
-    counted = n.groupBy(*keys, "days").agg(F.count(F.lit(1)).alias("count"))
-    return counted.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("count"), "days")))
-
-
-def page_return_claims(text: Column) -> Column:
-    """Distinct counts of "30-day returns" wording in order."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)(\d{1,3})[- ]days?\s+(?:free\s+)?(?:returns?|money[- ]back)"), F.lit(1)))
+    """keys, days, rank: return windows a text states, the most frequent first."""
+    return texts.select(*keys, F.posexplode(T.return_windows("text")).alias("pos", "days")).select(*keys, "days", (F.col("pos") + 1).alias("rank"))

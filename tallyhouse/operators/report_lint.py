@@ -4,6 +4,8 @@ is the last heading above it."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,12 +36,17 @@ def sections(lines: DataFrame) -> DataFrame:
 
 
 def claim_segments(lines: DataFrame) -> DataFrame:
-    """One row for each badge in a line with the words that follow it."""
-    parts = F.regexp_extract_all("text", F.lit(rf"{BADGE}([^\[]*)"), F.lit(1))
-    said = F.regexp_extract_all("text", F.lit(rf"{BADGE}([^\[]*)"), F.lit(2))
-    rows = lines.select("report_id", "ln", F.posexplode(F.arrays_zip(parts.alias("badge"), said.alias("claim"))).alias("pos", "s"))
+    """One row for each badge in a line with its claim: the words since the badge
+    before it (or the start of its table cell); a badge without words before it
+    claims those that follow."""
+    cells = lines.select("report_id", "ln", F.posexplode(F.split("text", r"\|")).alias("cell", "c"))
+    marks = cells.withColumn("b", F.regexp_extract_all("c", F.lit(BADGE), F.lit(1))).where(F.size("b") > 0).withColumn("w", F.split("c", BADGE))
+    tidy = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^\s*(?:[-*+]|\d+[.)])\s+", ""), r"^[ \t>*\-;,.:]+|[ \t>*\-;,.:]+$", ""))
+    said = F.transform("b", lambda x, i: F.struct(x.alias("badge"), tidy(F.get("w", i)).alias("before"), F.trim(F.get("w", i + 1)).alias("after")))
+    rows = marks.select("report_id", "ln", "cell", F.posexplode(said).alias("at", "s"))
     label = F.regexp_replace(F.lower(F.trim("s.badge")), r"[ -]+", "_")
-    return rows.select("report_id", "ln", "pos", badge_key(label).alias("badge"), F.trim("s.claim").alias("claim"))
+    claim = F.when(F.col("s.before") != "", F.col("s.before")).otherwise(F.col("s.after"))
+    return rows.select("report_id", "ln", (F.col("cell") * 100 + F.col("at")).alias("pos"), badge_key(label).alias("badge"), claim.alias("claim"))
 
 
 def report_status(lines: DataFrame, pattern: str = r"(?i)^\W*status\W+(complete|partial|failed)\b") -> DataFrame:
@@ -61,33 +68,80 @@ def badge_rule(lines: DataFrame, pattern: str, kind: str, required: tuple[str, .
     return lines.where(F.col("text").rlike(f"(?i){pattern}") & F.coalesce(bad, F.lit(bool(required)))).select("report_id", "ln", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), "text")
 
 
-#: kind, pattern of a line that must not stand, severity.
-LINE_RULES = (
-    ("untagged_inference", r"\b(?:probably|likely|presumably|suggests that)\b(?!.*\[)", "warning"),
-    ("technical_word", r"\b(?:json|http status|regex|null|endpoint|stack trace)\b", "warning"),
-    ("placeholder", r"\bTODO\b|\bTBD\b|\{\{.*?\}\}|lorem ipsum", "error"),
-    ("double_punctuation", r"[.!?]{4,}|,,|;;", "warning"),
-)
-
-
-def check_text(lines: DataFrame, required_sections: tuple[str, ...] = (), rules=LINE_RULES) -> DataFrame:
-    """Issues (report_id, ln, kind, severity, text) of reports: line rules,
-    inferred claims without a basis, unknown badges, missing sections."""
+@dataclass(frozen=True)
+class Profile:
+    """What a kind of report must look like. Patterns are regular expressions;
+    terms are (pattern, hint)."""
+
+    summary_heading: str = "## Summary"
+    appendix_prefix: str = "## Appendix"
+    fixed_ending: str = ""
+    require_status: bool = True
+    inferred_tag: str = "[Inferred]"
+    basis: str = r"(?i)\bbasis\b"
+    verified: str = "verified"
+    explain: str = r"\("
+    old_labels: tuple[tuple[str, str], ...] = ()
+    tech_terms: tuple[tuple[str, str], ...] = ()
+    soft_tech_terms: tuple[tuple[str, str], ...] = ()
+    forbidden_terms: tuple[tuple[str, str], ...] = ()
+    judgment: str | None = None
+    mixed: str | None = None
+
+
+#: Full-width punctuation, quoted words, addresses.
+FULL_WIDTH = "[，。；：！？（）【】]"
+QUOTED = "\"[^\"]*\"|“[^”]*”|「[^」]*」"
+ADDRESS = r"https?://\S+"
+
+
+def check_text(lines: DataFrame, profile: Profile = Profile()) -> DataFrame:
+    """report_id, ln (0: the report as a whole), kind, severity, text of every
+    issue: structure (summary first, appendix, ending, status), old labels,
+    inferences without a basis in their line or cell, technical and forbidden
+    words before the appendix, verified labels on judgments or mixed sources,
+    full-width punctuation (one issue for a report)."""
+    p = profile
     content = content_lines(lines)
-    out = None
-    for kind, pattern, severity in rules:
-        hit = content.where(F.col("text").rlike(f"(?i){pattern}")).select("report_id", "ln", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), "text")
-        out = hit if out is None else out.unionByName(hit)
-    no_basis = content.where(F.col("text").rlike(r"(?i)\[inferred\]|\[推测\]") & ~F.col("text").rlike("(?i)basis|依据"))
-    out = out.unionByName(no_basis.select("report_id", "ln", F.lit("no_basis").alias("kind"), F.lit("error").alias("severity"), "text"))
-    strange = claim_segments(content).where("badge is null").select("report_id", "ln", F.lit("unknown_badge").alias("kind"), F.lit("error").alias("severity"), F.col("claim").alias("text"))
-    out = out.unionByName(strange)
-    if required_sections:
-        have = sections(content).where("section is not null").select("report_id", F.lower("section").alias("section")).distinct()
-        want = lines.select("report_id").distinct().withColumn("section", F.explode(F.array(*[F.lit(s.lower()) for s in required_sections])))
-        gone = want.join(have, ["report_id", "section"], "left_anti")
-        out = out.unionByName(gone.select("report_id", F.lit(None).cast("int").alias("ln"), F.lit("missing_section").alias("kind"), F.lit("error").alias("severity"), F.col("section").alias("text")))
-    return out
+    head = F.col("text").rlike(r"^##\s")
+    trimmed = F.trim("text")
+    first = lambda cond: F.min(F.when(cond, F.col("ln")))
+    shape = content.groupBy("report_id").agg(
+        first(head & (trimmed == p.summary_heading)).alias("summary"), first(head).alias("first_head"), first(head & F.startswith(trimmed, F.lit(p.appendix_prefix))).alias("appendix"),
+    )
+    ending = lines.groupBy("report_id").agg(F.bool_or(F.contains("text", F.lit(p.fixed_ending))).alias("ended"))
+    whole = ending.join(shape, "report_id", "left").join(report_status(content), "report_id", "left")
+    issue = lambda cond, kind, severity="error", ln=F.lit(0), text=F.lit(""): F.when(cond, F.struct(ln.cast("int").alias("ln"), F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), text.alias("text")))
+    structure = [
+        issue(F.col("summary").isNull(), "no_summary"), issue(F.col("summary") != F.col("first_head"), "summary_not_first", ln=F.col("summary")), issue(F.col("appendix").isNull(), "no_appendix"),
+        issue(~F.col("ended"), "no_ending"), issue(F.lit(p.require_status) & F.col("status").isNull(), "no_status"),
+    ]
+    flat = lambda df, made: df.select("report_id", F.explode(F.array_compact(F.array(*made))).alias("i")).select("report_id", "i.ln", "i.kind", "i.severity", "i.text")
+    out = flat(whole, structure)
+    rows = content.withColumn("next", F.lead("text").over(_order())).withColumn("next_ln", F.lead("ln").over(_order())).join(shape.select("report_id", "appendix"), "report_id")
+    goes_on = (F.col("next_ln") == F.col("ln") + 1) & F.col("next").rlike(r"^[ \t]") & ~F.col("next").rlike(r"^\s*(?:[-*+]|\d+[.)])\s")
+    unit = F.concat(F.col("text"), F.when(goes_on, F.col("next")).otherwise(""))
+    cells = F.when(F.startswith(F.ltrim(unit), F.lit("|")), F.split(unit, r"\|")).otherwise(F.array(unit))
+    guess = F.exists(cells, lambda c: F.contains(c, F.lit(p.inferred_tag)) & ~c.rlike(p.basis)) & F.contains("text", F.lit(p.inferred_tag))
+    body = F.col("appendix").isNull() | (F.col("ln") < F.col("appendix"))
+    plain = F.regexp_replace("text", ADDRESS, " ")
+    bare = F.regexp_replace(plain, QUOTED, '""')
+    ln, text = F.col("ln"), F.col("text")
+    made = [issue(guess, "guess_no_basis", ln=ln, text=text)]
+    made += [issue(F.contains("text", F.lit(old)), "old_label", ln=ln, text=text) for old, _ in p.old_labels]
+    for pattern, _ in p.tech_terms:
+        made += [issue(body & plain.rlike(pattern) & plain.rlike(p.explain), "tech_term", "warning", ln, text), issue(body & plain.rlike(pattern) & ~plain.rlike(p.explain), "tech_term", ln=ln, text=text)]
+    made += [issue(body & bare.rlike(pattern), "soft_tech_term", "warning", ln, text) for pattern, _ in p.soft_tech_terms]
+    made += [issue(body & plain.rlike(pattern), "forbidden_term", ln=ln, text=text) for pattern, _ in p.forbidden_terms]
+    out = out.unionByName(flat(rows, made))
+    claims = claim_segments(rows.where(body & ~F.startswith(F.ltrim("text"), F.lit("#"))).select("report_id", "ln", "text")).where((F.col("badge") == p.verified) & (F.col("claim") != ""))
+    said = F.regexp_replace("claim", QUOTED, '""')
+    judged = said.rlike(p.judgment) if p.judgment else F.lit(False)
+    mixed = said.rlike(p.mixed) if p.mixed else F.lit(False)
+    over = [issue(judged, "over_label", "warning", ln, F.col("claim")), issue(~judged & mixed, "mixed_source", "warning", ln, F.col("claim"))]
+    out = out.unionByName(flat(claims, over))
+    wide = content.where(F.col("text").rlike(FULL_WIDTH)).groupBy("report_id").agg(F.min("ln").cast("int").alias("ln"), F.min_by("text", "ln").alias("text"))
+    return out.unionByName(wide.select("report_id", "ln", F.lit("fullwidth").alias("kind"), F.lit("warning").alias("severity"), "text"))
 
 
 def whole_numbers(text: Column) -> Column:

@@ -78,13 +78,13 @@ def best_sellers(links: DataFrame, handle: str = "handle", pos: str = "pos", n:
 
 
 def snapshot_pairs(snaps: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame:
-    """For each snapshot the earlier one to compare with: the latest complete
-    one, else the latest usable one, else the latest of any status."""
-    a, b = snaps.alias("a"), snaps.alias("b")
-    cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.captured_at_utc") < F.col("b.captured_at_utc")]
-    rank = F.when(F.col("a.status") == "complete", 0).when(F.col("a.status") == "partial", 1).otherwise(2)
-    best = F.max_by(F.col("a.snapshot_id"), F.struct(-rank, F.col("a.captured_at_utc"), F.col("a.snapshot_id")))
-    return b.join(a, cond).groupBy(*[F.col(f"b.{k}").alias(k) for k in keys], F.col("b.snapshot_id").alias("to_id")).agg(best.alias("from_id"))
+    """For each snapshot the earlier one to compare with: the latest complete one,
+    else the latest partial one, else the latest. One sort by time for each site
+    and a running maximum; snapshots of the same time do not see each other."""
+    rank = F.when(F.col("status") == "complete", 0).when(F.col("status") == "partial", 1).otherwise(2)
+    before = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col("captured_at_utc").cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
+    best = F.max(F.struct((-rank).alias("r"), "captured_at_utc", "snapshot_id")).over(before)
+    return snaps.select(*keys, F.col("snapshot_id").alias("to_id"), best["snapshot_id"].alias("from_id")).where("from_id is not null")
 
 
 def nearest(rows: DataFrame, target: Column, ts: str = "captured", payload: str = "stamp", keys: tuple[str, ...] = ("site",)) -> DataFrame:
@@ -101,10 +101,43 @@ def retention(snaps: DataFrame, keep: int, keys: tuple[str, ...] = ("site",)) ->
     return n.where((F.col("_a") > 1) & (F.col("_d") > keep)).drop("_a", "_d")
 
 
-def next_snapshot_id(snaps: DataFrame, day: str, keys: tuple[str, ...] = ("site",)) -> DataFrame:
-    """DAY, DAY_2, DAY_3 ...: the next free id of a day."""
-    n = F.count_if(F.col("snapshot_id").rlike(rf"^{day}(_\d+)?"))
-    return snaps.groupBy(*keys).agg(F.when(n == 0, F.lit(day)).otherwise(F.concat(F.lit(f"{day}_"), (n + 1).cast("string"))).alias("next_id"))
+#: The form of a snapshot id: day, number, suffix.
+SNAPSHOT_ID = r"^(\d{4}-\d{2}-\d{2})(?:_(\d+))?(-archive|-teardown)?$"
+
+
+def snapshot_order(snapshot_id: Column) -> Column:
+    """struct(day, number, id) that orders snapshot ids; other names come last."""
+    day, n = F.regexp_extract(snapshot_id, SNAPSHOT_ID, 1), F.regexp_extract(snapshot_id, SNAPSHOT_ID, 2)
+    known = snapshot_id.rlike(SNAPSHOT_ID)
+    number = F.when(known, F.coalesce(F.nullif(n, F.lit("")).try_cast("int"), F.lit(1))).otherwise(0)
+    return F.struct(F.when(known, day).otherwise("9999").alias("day"), number.alias("number"), snapshot_id.alias("id"))
+
+
+def list_snapshots(snaps: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """Snapshots with their place, oldest first by capture time or, without one,
+    by the day of their id; hidden and partial ones are left out."""
+    shown = snaps.where(~F.startswith("snapshot_id", F.lit(".")) & ~F.endswith("snapshot_id", F.lit(".partial")))
+    order = snapshot_order(F.col("snapshot_id"))
+    at = F.coalesce(F.col("captured_at_utc").cast("string"), order["day"])
+    return shown.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(at, order)))
+
+
+def next_snapshot_id(snaps: DataFrame, day: str, suffix: str = "", keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """DAY, DAY_2, DAY_3 ... and the suffix: the first id of a day not in use."""
+    own = F.regexp_extract("snapshot_id", rf"^{day}(?:_(\d+))?{suffix}$", 1)
+    number = F.when(F.col("snapshot_id") == day + suffix, F.lit(1)).when(own != "", own.try_cast("int"))
+    used = snaps.groupBy(*keys).agg(F.collect_set(number).alias("_used"))
+    free = F.element_at(F.array_except(F.sequence(F.lit(1), F.size("_used") + 1), F.col("_used")), 1)
+    return used.select(*keys, F.concat(F.lit(day), F.when(free == 1, "").otherwise(F.concat(F.lit("_"), free.cast("string"))), F.lit(suffix)).alias("next_id"))
+
+
+def snapshot_index(snaps: DataFrame, earlier: DataFrame | None = None, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """One row for each site: its snapshots in order, first, last and number;
+    reports and cadence of an earlier index stay."""
+    listed = list_snapshots(snaps, keys)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("place", "snapshot_id"))), lambda x: x["snapshot_id"])
+    out = listed.groupBy(*keys).agg(ids.alias("snapshots")).select(*keys, "snapshots", F.element_at("snapshots", 1).alias("first_id"), F.element_at("snapshots", -1).alias("last_id"), F.size("snapshots").cast("long").alias("n"))
+    return out.join(earlier.select(*keys, "report", "next_due", "cadence"), list(keys), "left") if earlier is not None else out
 
 
 def runs_of_ids(rows: DataFrame, prefix: str, number: str, keys: tuple[str, ...] = ()) -> DataFrame:

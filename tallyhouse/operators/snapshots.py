@@ -88,10 +88,8 @@ def fetch_error(requests: DataFrame) -> DataFrame:
 
 def policy_rows(policies: DataFrame, text_col: str = "text") -> DataFrame:
     """Digest, sentences and terms of policy texts."""
-    clean = T.policy_text(text_col)
-    return policies.withColumn("_t", clean).select(
-        *[c for c in policies.columns if c != text_col], T.sha_text("_t").alias("text_sha256"), T.long_sentences("_t").alias("sentences"), T.key_terms("_t").alias("key_terms")
-    )
+    rows = policies.withColumn("_t", T.policy_text(text_col)).withColumn("_s", T.long_sentences("_t"))
+    return rows.select(*[c for c in policies.columns if c != text_col], T.sha_text("_t").alias("text_sha256"), F.col("_s").alias("sentences"), T.key_terms("_s").alias("key_terms"))
 
 
 def line_rows(pages: DataFrame, text_col: str = "text") -> DataFrame:

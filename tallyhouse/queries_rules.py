@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import markets
+from .operators import fees, markets
 from .functions import html
 from .queries import _t, query
-from .rules import cases, engine, launch, launch_sql
+from .rules import cases, engine, launch, launch_sql, payments, payments_sql
 
 
 def launch_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -69,3 +69,47 @@ def q53_target_markets(spark, d):
         "site", F.array_sort("chosen.countries").alias("countries"), F.array_sort(markets.groups(F.col("chosen.countries"))).alias("tokens"),
         F.array_sort(markets.language_gaps(wanted, html.html_lang("html"), F.col("pairs"))).alias("gaps"), region.alias("region"), markets.currency(region).alias("currency"),
     )
+
+
+# -- payments -------------------------------------------------------------------
+
+
+def payment_facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    stores, pages, products, raw = cases.pay_stores(_t(spark, d, "customer"))
+    answers = cases.questionnaire(raw)
+    return payments.facts(stores, pages, products, answers), answers
+
+
+@query(payments_sql.findings_sql() + " SELECT * FROM findings")
+def q54_payment_findings(spark, d):
+    """All payment rules for every store."""
+    return payments.findings(payment_facts(spark, d)[0])
+
+
+@query(payments_sql.findings_sql() + """, c AS (SELECT site, count(*) FILTER (result = 'issue' AND severity = 'P0')::BIGINT AS n_p0, count(*) FILTER (result = 'issue' AND severity = 'P1')::BIGINT AS n_p1, count(*) FILTER (result = 'issue' AND severity = 'P2')::BIGINT AS n_p2,
+ count(*) FILTER (result = 'issue' AND severity = 'P3')::BIGINT AS n_p3, count(*) FILTER (result = 'unknown')::BIGINT AS n_unknown, arg_min(rule_id, severity || rule_id) FILTER (result = 'issue') AS first_fix FROM findings GROUP BY 1)
+ SELECT c.*, CASE WHEN NOT online THEN 'partial' WHEN NOT usable AND len(ok_list) > 0 THEN 'partial' WHEN NOT usable THEN 'failed' WHEN cart_result = 'blocked' OR terms_drawn OR ident IN ('not_shopify', 'unconfirmed') THEN 'partial' ELSE 'complete' END AS status FROM c JOIN p USING (site)""")
+def q55_payment_counts(spark, d):
+    """Issues by severity, what to fix first, and how complete each run was."""
+    facts, _ = payment_facts(spark, d)
+    return payments.counts(payments.findings(facts)).join(payments.run_status(facts), "site")
+
+
+@query(payments_sql.fees_sql() + " SELECT * FROM items")
+def q56_fee_items(spark, d):
+    """Every cost of every store's payment setup."""
+    facts, answers = payment_facts(spark, d)
+    return fees.fee_items(answers.join(facts.select("site", "identity"), "site"))
+
+
+@query(payments_sql.fees_sql() + """, m AS (SELECT site, plan, entity, aov, orders, concat_ws(',', CASE WHEN aov = 0 THEN 'aov' END, CASE WHEN orders IS NULL THEN 'monthly_orders' END, CASE WHEN routes = '' THEN 'gateways' END) AS missing FROM p WHERE answered),
+ t AS (SELECT site, coalesce(sum(monthly), 0)::DECIMAL(18,2) AS total, count(*) FILTER (monthly IS NULL)::BIGINT AS n_unknown FROM items GROUP BY 1),
+ z AS (SELECT m.*, CASE WHEN missing = '' THEN coalesce(total, 0) END::DECIMAL(18,2) AS monthly_total, CASE WHEN missing = '' THEN round(aov::DECIMAL(18,6) * orders::DECIMAL(18,6), 2) END::DECIMAL(18,2) AS monthly_sales, CASE WHEN missing = '' THEN coalesce(n_unknown, 0) END AS n_unknown FROM m LEFT JOIN t USING (site))
+ SELECT site, CASE WHEN missing <> '' THEN 'not_computed' WHEN n_unknown > 0 THEN 'partial' ELSE 'computed' END AS status, missing, monthly_sales, monthly_total, (monthly_total * 12)::DECIMAL(18,2) AS yearly_total,
+ floor((monthly_total * 100)::DECIMAL(20,2) * 100 / monthly_sales + 0.5) / 100 AS pct_of_sales, n_unknown,
+ CASE WHEN missing = '' THEN CASE entity WHEN 'US' THEN CASE plan WHEN 'basic' THEN 39 WHEN 'Shopify' THEN 105 WHEN 'advanced' THEN 399 WHEN 'plus' THEN 2300 END WHEN 'CA' THEN CASE plan WHEN 'basic' THEN 49 WHEN 'Shopify' THEN 132 WHEN 'advanced' THEN 517 WHEN 'plus' THEN 3400 END END END::DECIMAL(18,2) AS plan_fee FROM z""")
+def q57_fee_totals(spark, d):
+    """Monthly and yearly cost of every setup, as far as it is known."""
+    facts, answers = payment_facts(spark, d)
+    q = answers.join(facts.select("site", "identity"), "site")
+    return fees.fee_totals(q, fees.fee_items(q)).withColumn("pct_of_sales", F.col("pct_of_sales").cast("double"))

@@ -152,3 +152,113 @@ def stores(customer: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     pages = p.selectExpr("site", f"posexplode(array({', '.join(made)})) AS (pos, x)").select("site", "pos", "x.*").where("html is not null or text is not null or role in ('policy', 'robots', 'sitemap')")
     products = p.where("has_product").selectExpr("site", "'lamp' AS handle", "product_title AS title", "'Lighting' AS product_type", "'' AS tags", "CAST(price AS DOUBLE) AS price", "stocked AS in_stock", "false AS virtual", "plan AS has_plan", "sale AS on_sale")
     return sites, pages, products.withColumn("price", F.col("price"))
+
+
+# -- payments: pages and answers ----------------------------------------------
+
+PAY_PIECES = {
+    "site": K,
+    "run": pick(23, "'offline'", "'online'"),
+    "home_result": pick(19, "'blocked'", "'error'", "'ok'"),
+    "scheme": pick(8, "'http'", "'https'"),
+    "note": pick(19, "''", "'certificate verify failed'", "''"),
+    "n_markers": pick(5, "0", "1", "2"),
+    "icons": join(when(3, 4, 2, "'<svg id=\"pi-visa\"></svg>'"), when(5, 3, 1, "'<svg id=\"pi-paypal\"></svg>'"), when(7, 6, 1, "'<svg id=\"pi-shopify_pay\"></svg>'"), when(11, 7, 1, "'<svg id=\"pi-american_express\"></svg>'")),
+    "stripe_js": f"({K} * 7) % 5 < 2",
+    "klarna_js": f"({K} * 11) % 6 < 2",
+    "chat_js": f"({K} * 13) % 4 = 0",
+    "recharge_js": f"({K} * 17) % 7 = 0",
+    "converter_js": f"({K} * 19) % 9 = 0",
+    "selector": f"({K} * 3) % 4 = 0",
+    "shown": pick(4, "'EUR'", "'USD'", "''"),
+    "home_said": join("'Lamps of oak, made with care. '", when(5, 4, 2, "'20% off with code SUN. '"), when(7, 6, 2, "'Terms apply. '"), when(3, 7, 2, "'Secure checkout. '"), when(11, 5, 1, "'30-day returns. '"), when(13, 6, 1, "'Free returns. '"), when(17, 8, 3, "'help@acme.com '"), when(19, 6, 1, "'Phone +1 212 555 0199 '")),
+    "brand": pick(3, "'Acme'", "'Zeta'", "'Acme'"),
+    "cart_result": pick(7, "'not_found'", "'blocked'", "'ok'"),
+    "cart_html": pick(3, "'<form action=\"/checkout\"></form>'", "'<p>Your cart is empty</p>'", "'<p>Hello</p>'"),
+    "refund": PIECES["refund"].replace("' days of delivery. '", "' days of delivery for a full return. '"),
+    "shipping": PIECES["shipping"].replace("'You get a tracking number. '", "'We ship to all countries. '").replace("'Delivery takes '", "'Transit takes '"),
+    "privacy": PIECES["privacy"].replace("'We share it with carriers. '", "'Payment details go to the payment processor. '"),
+    "terms": PIECES["terms"].replace("'No refunds. '", "'You may cancel. '"),
+    "terms_drawn": f"{K} % 41 = 1",
+    "information": f"CASE WHEN {K} % 6 = 0 THEN '' ELSE " + join(when(5, 3, 2, "'Acme Trading Ltd. '"), when(7, 4, 2, "'12 High Street '"), FILLER) + " END",
+    "contact": f"CASE WHEN {K} % 5 = 2 THEN '' ELSE " + join("'Say hello. '", when(3, 7, 2, "'Zeta Goods Ltd. '"), when(11, 4, 1, "'hello@acme.com '")) + " END",
+    "faq": f"CASE WHEN {K} % 4 = 3 THEN '' ELSE " + join("'Questions and answers. '", when(5, 6, 1, "'It appears on your statement as ACME. '"), when(3, 5, 1, "'Returns within 45 days. '")) + " END",
+    "product": f"CASE WHEN {K} % 9 = 4 THEN '' ELSE " + join("'A lamp. '", when(3, 4, 3, "'$ 20 '"), when(5, 3, 1, "'USD '"), when(7, 8, 1, "'Pre-order now. '"), when(11, 9, 1, "'14-day money back. '")) + " END",
+    "express": f"({K} * 5) % 4 = 1",
+    "ships_to": pick(5, "'US'", "'US,CA,AU'", "''", "'US,GB'", "''"),
+    "base_currency": pick(4, "'USD'", "'EUR'", "'USD'", "''"),
+    "meta_country": pick(4, "'US'", "'CN'", "'GB'", "''"),
+    "description": pick(6, "80", "400"),
+    "images": pick(5, "1", "4"),
+    # answers
+    "answered": f"{K} % 12 <> 7",
+    "entity_country": pick(7, "'China'", "'us llc'", "'hong kong'", "'UK'", "''", "'CN'", "'Canada'"),
+    "payout_account": pick(9, "'worldfirst'", "'mercury'", "'none'", "''", "'bank'", "'Payoneer'", "'us bank'", "'unknown'", "'mercury'"),
+    "payout_currency": pick(5, "'USD'", "'CNY'", "''"),
+    "routes": pick(8, "'paypal:100'", "'sp:60;paypal:40'", "'stripe:70;paypal:30'", "'card:100:3.5+0.30:35'", "''", "'stripe:50;paypal:50;manual:100'", "'shopify:100'", "'paypal:100:4.0'"),
+    "mix": pick(6, "'US:70,CA:30'", "'DE:50,UK:50'", "''", "'US:100'", "'US:60,GB:40'", "'AU'"),
+    "category": pick(6, "'lamps'", "'CBD oil'", "''", "'kitchen knives'"),
+    "mor": pick(4, "'no'", "''", "'stripe_managed_payments'"),
+    "subscription": pick(8, "'yes'", "''"),
+    "preorder": pick(10, "'是'", "'no'", "''"),
+    "plan": pick(6, "'basic'", "'Shopify'", "'advanced'", "''", "'none'", "'plus'"),
+    "aov": pick(9, "0", "45.50", "80.00", "120.25"),
+    "aov_currency": pick(5, "'CAD'", "'USD'", "''"),
+    "orders": pick(11, "NULL", "100", "2400", "350"),
+    "intl": pick(4, "'30%'", "''"),
+    "fx": pick(6, "'12'", "''"),
+    "withdrawals": pick(3, "2", "NULL"),
+    "dispute": pick(5, "0.5", "NULL"),
+    "payout_fx": pick(4, "1.2", "NULL"),
+}
+
+
+def pay_pieces(customer: DataFrame) -> DataFrame:
+    return customer.selectExpr(*[f"{sql.replace('VARCHAR(20)', 'STRING')} AS {name}" for name, sql in PAY_PIECES.items()])
+
+
+def pay_pieces_sql() -> str:
+    return "SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in PAY_PIECES.items()) + " FROM customer"
+
+
+def pay_stores(customer: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """stores, pages, products and raw answers of the made-up stores."""
+    p = pay_pieces(customer)
+    script = lambda flag, url: f"CASE WHEN {flag} THEN '<script src=\"{url}\"></script>' ELSE '' END"
+    home = f"""'<html><head><title>Lamps | ' || brand || '</title>' || CASE WHEN n_markers > 0 THEN '<link href="//cdn.shopify.com/x">' ELSE '' END || CASE WHEN n_markers > 1 THEN '<script>Shopify.theme = 1</script>' ELSE '' END ||
+      {script('stripe_js', 'https://js.stripe.com/v3')} || {script('klarna_js', 'https://x.klarna.com/a.js')} || {script('chat_js', 'https://code.tidio.co/a.js')} || {script('recharge_js', 'https://rechargecdn.com/a.js')} ||
+      {script('converter_js', 'https://mlveda.com/a.js')} || CASE WHEN shown <> '' THEN '<script>Shopify.currency = {{"active":"' || shown || '"}};</script>' ELSE '' END || '</head><body>' ||
+      CASE WHEN selector THEN '<form id="localization_form"></form>' ELSE '' END || '<p>' || home_said || '</p>' || icons || '</body></html>'"""
+    stores = p.selectExpr(
+        "site", "run AS mode", "home_result", "scheme || '://acme.com/' AS home_url", "note AS home_note", "'ok' AS meta_result", "'ok' AS products_result", "CAST(NULL AS STRING) AS meta_name", "nullif(meta_country, '') AS meta_country",
+        "nullif(base_currency, '') AS base_currency", "CASE WHEN ships_to <> '' THEN split(ships_to, ',') END AS ships_to",
+    )
+    page = lambda role, name, text, result, html="NULL": f"struct('{role}' AS role, '{name}' AS name, CAST({result} AS STRING) AS result, CAST({html} AS STRING) AS html, CAST({text} AS STRING) AS text)"
+    policy = lambda n, piece: page("policy", n, f"nullif({piece}, '')", f"CASE WHEN {piece} = '' THEN 'not_found' ELSE 'ok' END")
+    drawn = page("policy", "terms-of-service", "CASE WHEN terms_drawn THEN NULL ELSE nullif(terms, '') END", "CASE WHEN terms_drawn THEN 'js_rendered' WHEN terms = '' THEN 'not_found' ELSE 'ok' END")
+    made = [
+        page("home", "home", "NULL", "home_result", f"CASE WHEN home_result = 'ok' THEN {home} END"), page("cart", "cart", "NULL", "cart_result", "CASE WHEN cart_result = 'ok' THEN cart_html END"), policy("refund-policy", "refund"), policy("shipping-policy", "shipping"),
+        policy("privacy-policy", "privacy"), drawn, policy("contact-information", "information"), page("contact", "contact", "nullif(contact, '')", "'ok'"), page("faq", "faq", "nullif(faq, '')", "'ok'"),
+        page("product", "lamp", "NULL", "'ok'", "CASE WHEN product <> '' THEN '<html><body><main>' || product || '</main>' || CASE WHEN express THEN '<div class=\"shopify-payment-button\"></div>' ELSE '' END || '</body></html>' END"),
+    ]
+    pages = p.selectExpr("site", f"posexplode(array({', '.join(made)})) AS (pos, x)").select("site", "pos", "x.*").where("html is not null or text is not null or role in ('home', 'cart', 'policy')")
+    products = p.selectExpr("site", "explode(array(1, 2, 3)) AS k", "description", "images").selectExpr("site", "description + k AS desc_chars", "images AS n_images")
+    answers = p.selectExpr("site", *[c for c in PAY_PIECES if c in ("answered", "entity_country", "payout_account", "payout_currency", "routes", "mix", "category", "mor", "subscription", "preorder", "plan", "aov", "aov_currency", "orders", "intl", "fx", "withdrawals", "dispute", "payout_fx")])
+    return stores, pages, products, answers
+
+
+def questionnaire(raw: DataFrame) -> DataFrame:
+    """Typed answers of the made-up stores."""
+    from ..functions import answers as A
+
+    c = F.col
+    asked = raw.where("answered").drop("answered")
+    routes = F.array_compact(F.transform(F.split("routes", ";"), A.route))
+    text = lambda name: F.when(~A.blank(c(name)), F.trim(c(name)))
+    return asked.select(
+        "site", A.choice("entity_country", c("entity_country")).alias("entity_country"), A.choice("payout_account", c("payout_account")).alias("payout_account"), text("payout_currency").alias("payout_currency"),
+        routes.alias("gateways"), A.market_mix(c("mix")).alias("market_mix"), text("category").alias("category"), A.choice("mor", c("mor")).alias("mor"), A.yes_no(c("subscription")).alias("subscription"),
+        A.yes_no(c("preorder")).alias("preorder"), A.choice("shopify_plan", c("plan")).alias("shopify_plan"), c("aov").cast("decimal(18,6)").alias("aov"), text("aov_currency").alias("aov_currency"), c("orders").cast("decimal(18,6)").alias("monthly_orders"),
+        A.number("intl_card_share", c("intl")).alias("intl_card_share"), A.number("fx_share", c("fx")).alias("fx_share"), c("withdrawals").alias("withdrawals_per_month"), c("dispute").cast("decimal(18,6)").alias("dispute_rate"),
+        c("payout_fx").cast("decimal(18,6)").alias("payout_fx_pct"),
+    )
