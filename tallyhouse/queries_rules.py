@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import fees, markets
-from .functions import html
+from .operators import fees, markets, sampling, tags
+from .functions import html, text
 from .queries import _t, query
-from .rules import cases, engine, launch, launch_sql, payments, payments_sql
+from .rules import cases, engine, launch, launch_sql, payments, payments_sql, tracking, tracking_sql
 
 
 def launch_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -113,3 +113,75 @@ def q57_fee_totals(spark, d):
     facts, answers = payment_facts(spark, d)
     q = answers.join(facts.select("site", "identity"), "site")
     return fees.fee_totals(q, fees.fee_items(q)).withColumn("pct_of_sales", F.col("pct_of_sales").cast("double"))
+
+
+# -- tracking -------------------------------------------------------------------
+
+
+@query(tracking_sql.findings_sql() + " SELECT * FROM findings")
+def q58_tracking_findings(spark, d):
+    """All tracking checks for every store."""
+    return tracking.findings(tracking.facts(*cases.tag_stores(_t(spark, d, "customer"))))
+
+
+@query("WITH " + tracking_sql.facts_sql() + f""", t AS (SELECT site, 'ga4' AS platform, '{cases.GA}' AS id, list_filter([CASE WHEN app_g THEN 'app_pixel' END, CASE WHEN container THEN 'gtm_container' END, CASE WHEN home AND ga_script THEN 'theme_code' END], lambda x: x IS NOT NULL) AS install_via, 'on_page' AS badge FROM f WHERE s_ga4
+ UNION ALL SELECT site, 'google_ads', '{cases.ADS}', ['app_pixel'], 'on_page' FROM f WHERE app_g UNION ALL SELECT site, 'google_tag', '{cases.GT}', ['theme_code'], 'inferred' FROM f WHERE s_gt
+ UNION ALL SELECT site, 'gtm', 'GTM-AAAA11', ['theme_code'], 'on_page' FROM f WHERE s_gtm UNION ALL SELECT site, 'gtm', 'GTM-BBBB22', ['theme_code'], 'on_page' FROM f WHERE s_gtm AND gtm_two
+ UNION ALL SELECT site, 'klaviyo', 'AbCd12', ['theme_code'], 'on_page' FROM f WHERE s_klaviyo UNION ALL SELECT site, 'meta', '{cases.META}', list_filter([CASE WHEN app_m THEN 'app_pixel' END, CASE WHEN call_ok THEN 'theme_code' END], lambda x: x IS NOT NULL), CASE WHEN app_m THEN 'on_page' ELSE 'inferred' END FROM f WHERE app_m OR call_ok
+ UNION ALL SELECT site, 'meta', NULL, list_filter([CASE WHEN cust_m THEN 'custom_pixel' END, CASE WHEN container THEN 'gtm_container' END], lambda x: x IS NOT NULL), 'inferred' FROM f WHERE cust_m OR container) SELECT * FROM t""")
+def q59_tags(spark, d):
+    """Every tag of every store: platform, id, install paths, badge."""
+    _, pages, containers, _, _ = cases.tag_stores(_t(spark, d, "customer"))
+    hits, _ = tracking.hits_of(pages, containers)
+    return tags.merge(hits).select("site", "platform", "id", "install_via", "badge")
+
+
+# -- policy wording, names, snapshot ids ----------------------------------------
+
+
+@query(f"""WITH w AS ({cases.pieces_sql()}), t AS (SELECT site, refund || shipping || faq AS said FROM w) SELECT site, nullif(regexp_extract(said, 'return items within ([0-9]+) days', 1), '') AS return_days,
+ CASE WHEN contains(said, 'orders over $50') THEN '50.00' END AS free_shipping_over, CASE WHEN contains(said, '15% restocking') THEN '15' END AS restocking_fee_pct,
+ CASE WHEN contains(said, 'customer is responsible') THEN 'customer' WHEN contains(said, 'Free returns') THEN 'store' END AS return_shipping_paid_by FROM t""")
+def q60_policy_terms(spark, d):
+    """The terms that matter in every store's policies."""
+    p = cases.pieces(_t(spark, d, "customer")).selectExpr("site", "refund || shipping || faq AS said")
+    terms = p.select("site", text.key_terms(text.long_sentences("said")).alias("t"))
+    return terms.select("site", *[F.try_element_at("t", F.lit(k)).alias(k) for k in ("return_days", "free_shipping_over", "restocking_fee_pct", "return_shipping_paid_by")])
+
+
+_DATED = "'Last updated: 2026-01-02' || chr(10) || '  ' || refund || '  as of 2026-03-04 ' || chr(10) || chr(10) || shipping || chr(10) || 'Updated on 1/2/2026'"
+
+
+@query(rf"""WITH w AS ({cases.pieces_sql()}), l AS (SELECT site, list_transform(string_split({_DATED}, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS ls FROM w),
+ k AS (SELECT site, list_filter(list_transform(list_filter(ls, lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(last updated|updated on)')), lambda x: trim(replace(x, '2026-03-04', ''))), lambda x: x <> '') AS ks FROM l)
+ SELECT site, sha256(array_to_string(ks, chr(10))) AS sha256 FROM k""")
+def q61_policy_digests(spark, d):
+    """Digest of each policy without dates and formatting."""
+    p = cases.pieces(_t(spark, d, "customer")).selectExpr("site", f"{_DATED} AS said")
+    return p.select("site", text.sha_text(text.policy_text("said")).alias("sha256"))
+
+
+@query(f"""WITH w AS ({cases.pieces_sql()}) SELECT site, array_to_string(list_concat(regexp_extract_all(refund, 'Acme Trading Ltd'), regexp_extract_all(contact, 'Zeta Goods Ltd')), ';') AS names,
+ array_to_string(list_concat(CASE WHEN contains(refund, 'Acme Trading Ltd') THEN ['acme trading'] ELSE []::VARCHAR[] END, CASE WHEN contains(contact, 'Zeta Goods') THEN ['zeta goods'] ELSE []::VARCHAR[] END), ';') AS plain FROM w""")
+def q62_company_names(spark, d):
+    """Company names in every store's texts, as written and for comparison."""
+    p = cases.pieces(_t(spark, d, "customer")).selectExpr("site", "refund || contact AS said").withColumn("n", text.legal_names("said"))
+    return p.select("site", F.array_join("n", ";").alias("names"), F.array_join(F.transform("n", lambda n: text.norm_legal(n)), ";").alias("plain"))
+
+
+@query("""WITH d AS (SELECT o_custkey AS site, o_orderkey % 4 AS n FROM orders), u AS (SELECT site, list_distinct(list(CASE n WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 END)) AS used FROM d GROUP BY 1),
+ f AS (SELECT site, list_min(list_filter([1, 2, 3, 4, 5], lambda x: NOT list_contains(used, x))) AS n FROM u) SELECT site, CASE n WHEN 1 THEN '2026-11-01' ELSE '2026-11-01_' || n END AS next_id FROM f""")
+def q63_next_snapshot_ids(spark, d):
+    """The first free snapshot id of a day for every customer."""
+    n = F.col("o_orderkey") % 4
+    name = F.when(n == 0, "2026-11-01").when(n == 1, "2026-11-01_2").when(n == 2, "2026-11-01_4").otherwise("2026-11-01_7-archive")
+    return sampling.next_snapshot_id(_t(spark, d, "orders").select(F.col("o_custkey").alias("site"), name.alias("snapshot_id")), "2026-11-01")
+
+
+@query(f"""WITH w AS ({cases.pay_pieces_sql()}), m AS (SELECT site, main, list_filter([CASE WHEN contains(home_said, '30-day returns') THEN 30 END, CASE WHEN contains(faq, 'within 45 days') THEN 45 END], lambda x: x IS NOT NULL) AS claimed
+ FROM (SELECT *, try_cast(regexp_extract(refund, 'within ([0-9]+) days of', 1) AS INT) AS main FROM w)) SELECT site, main AS days, claimed FROM m""")
+def q64_return_windows(spark, d):
+    """The return window each policy states and those its pages promise."""
+    p = cases.pay_pieces(_t(spark, d, "customer"))
+    claimed = F.concat(text.page_return_claims("home_said"), text.page_return_claims("faq"))
+    return p.select("site", F.try_element_at(text.return_windows("refund"), F.lit(1)).alias("days"), claimed.alias("claimed"))

@@ -262,3 +262,80 @@ def questionnaire(raw: DataFrame) -> DataFrame:
         A.number("intl_card_share", c("intl")).alias("intl_card_share"), A.number("fx_share", c("fx")).alias("fx_share"), c("withdrawals").alias("withdrawals_per_month"), c("dispute").cast("decimal(18,6)").alias("dispute_rate"),
         c("payout_fx").cast("decimal(18,6)").alias("payout_fx_pct"),
     )
+
+
+# -- tracking: pages, containers and proofs -------------------------------------
+
+TAG_PIECES = {
+    "site": K,
+    "mode": pick(3, "'own'", "'other'", "'own'"),
+    "home": f"{K} % 23 <> 0",
+    "home_result": pick(17, "'blocked'", "'ok'"),
+    "marks": pick(5, "0", "1", "2"),
+    "wordpress": f"{K} % 10 = 5",
+    "lang": pick(6, "'de'", "'en-us'", "'fr-ca'", "'en'", "'en'", "'ja'"),
+    "money": pick(4, "'USD'", "'EUR'", "'CAD'", "''"),
+    "meta_call": f"({K} * 3) % 5 < 2",
+    "meta_id": pick(9, "'YOUR_PIXEL_ID'", "'12345'", "'10000000001'"),
+    "meta_again": f"({K} * 7) % 6 = 0",
+    "ga_script": f"({K} * 7) % 4 < 2",
+    "ads_call": f"({K} * 11) % 5 = 0",
+    "gtm": f"({K} * 13) % 4 = 1",
+    "gtm_two": f"{K} % 7 = 3",
+    "tiktok_list": f"({K} * 17) % 6 < 2",
+    "klaviyo": f"({K} * 5) % 7 < 2",
+    "pixel_list": f"{K} % 4 <> 3",
+    "app_meta": f"({K} * 3) % 7 < 3",
+    "app_google": f"({K} * 5) % 9 < 3",
+    "custom_meta": f"({K} * 11) % 8 < 2",
+    "legacy": f"{K} % 12 = 4",
+    "container": f"({K} * 7) % 5 < 2",
+    "consent": pick(5, "0", "1", "2", "0"),
+    "banner": f"({K} * 3) % 8 < 2",
+    "opt_out": f"({K} * 7) % 3 = 0",
+    "has_product": f"{K} % 8 <> 2",
+    "privacy": f"CASE WHEN {K} % 6 = 1 THEN '' ELSE " + join("'We care. '", when(3, 4, 3, "'Google and Facebook get data. '"), when(5, 3, 1, "'TikTok too. '"), when(7, 5, 3, "'For advertising; you may opt-out. '")) + " END",
+    "ads": pick(5, "NULL", "'meta,tiktok'", "'google_ads'", "''", "'snap,meta'"),
+    "uses_klaviyo": f"{K} % 2 = 0",
+    "proof_a": pick(7, "'screenshot:true'", "'said:false'", "'said:'", "''"),
+    "proof_c": pick(6, "'screenshot:true'", "''", "'said:true'", "''", "'screenshot:false'"),
+    "proof_g": pick(4, "'said:true'", "''"),
+}
+META, GA, GT, ADS = "10000000001", "G-ABCD1234", "GT-XYZ98765", "AW-123456789"
+
+
+def tag_pieces(customer: DataFrame) -> DataFrame:
+    return customer.selectExpr(*[f"{sql} AS {name}" for name, sql in TAG_PIECES.items()])
+
+
+def tag_pieces_sql() -> str:
+    return "SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in TAG_PIECES.items()) + " FROM customer"
+
+
+def tag_stores(customer: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """sites, pages, containers, answers, proofs of the made-up stores."""
+    p = tag_pieces(customer)
+    entry = lambda flag, text: f"CASE WHEN {flag} THEN '{text},' ELSE '' END"
+    listed = " || ".join([
+        entry("app_meta", f'{{"configuration":"{{\\\\"pixel_id\\\\":\\\\"{META}\\\\",\\\\"pixel_type\\\\":\\\\"facebook_pixel\\\\"}}","type":"APP","apiClientId":2329312}}'),
+        entry("app_google", f'{{"configuration":"{{\\\\"config\\\\":\\\\"{GA},{ADS},MC-ABCD12\\\\"}}","type":"APP","apiClientId":1780363}}'), entry("custom_meta", '{"name":"Facebook extra","type":"CUSTOM"}'),
+    ])
+    home = f"""'<html lang="' || lang || '"><head>' || CASE WHEN marks > 0 THEN '<link href="//cdn.shopify.com/x">' ELSE '' END || CASE WHEN marks > 1 THEN '<script>Shopify.theme = 1</script>' ELSE '' END || CASE WHEN wordpress THEN '<link href="/wp-content/a">' ELSE '' END ||
+      CASE WHEN money <> '' THEN '<script>Shopify.currency = {{"active":"' || money || '"}};</script>' ELSE '' END ||
+      CASE WHEN meta_call THEN '<script>fbq("init", "' || meta_id || '");</script>' || CASE WHEN meta_again THEN '<script>fbq("init", "' || meta_id || '");</script>' ELSE '' END ELSE '' END ||
+      CASE WHEN ga_script THEN '<script src="https://www.googletagmanager.com/gtag/js?id={GA}"></script>' ELSE '' END || CASE WHEN ads_call THEN '<script>gtag("config", "{GT}");</script>' ELSE '' END ||
+      CASE WHEN gtm THEN '<script>(window,document,"script","dataLayer","GTM-AAAA11");</script>' ELSE '' END || CASE WHEN gtm AND gtm_two THEN '<script src="https://www.googletagmanager.com/gtm.js?id=GTM-BBBB22"></script>' ELSE '' END ||
+      CASE WHEN tiktok_list THEN '<p>{{"Tag":"https://analytics.tiktok.com/i18n/pixel/events.js"}}</p>' ELSE '' END ||
+      CASE WHEN klaviyo THEN '<script async src="https://static.klaviyo.com/onsite/js/AbCd12/klaviyo.js?company_id=AbCd12"></script>' ELSE '' END ||
+      CASE WHEN pixel_list THEN '<script>webPixelsConfigList: [' || {listed} || '{{"type":"APP","apiClientId":"shopify-pixel"}}]</script>' ELSE '' END || CASE WHEN legacy THEN '<script>ga("create", "UA-12345-1")</script>' ELSE '' END ||
+      CASE WHEN consent = 1 THEN '<script>gtag("consent", "default", 1)</script>' WHEN consent = 2 THEN '<script>gtag("consent", "default", {{ad_user_data: 1}})</script>' ELSE '' END || CASE WHEN banner THEN '<script src="https://cdn.cookielaw.org/a.js"></script>' ELSE '' END ||
+      CASE WHEN opt_out THEN '<a href="/x">Do not sell</a>' ELSE '' END || '</head><body>Lamps</body></html>'"""
+    page = lambda key, text, result="'ok'": f"struct('{key}' AS key, CAST({result} AS STRING) AS result, CAST({text} AS STRING) AS html)"
+    made = [page("homepage", f"CASE WHEN home THEN {home} END", "CASE WHEN home THEN home_result ELSE 'error' END"), page("product", "CASE WHEN has_product THEN '<html><body>A lamp</body></html>' END"), page("privacy", "CASE WHEN privacy <> '' THEN '<p>' || privacy || '</p>' END")]
+    pages = p.selectExpr("site", f"explode(array({', '.join(made)})) AS x").select("site", "x.*")
+    containers = p.where("container").selectExpr("site", "'GTM-AAAA11' AS container", f"'var a=[\"{GA}\"]; fbq(1);' AS text")
+    answers = p.selectExpr("site", "CASE WHEN ads IS NOT NULL THEN filter(split(ads, ','), x -> x <> '') END AS ad_platforms", "uses_klaviyo")
+    ids = f"CASE WHEN {{0}} LIKE 'screenshot%' THEN map('meta', array('{META}')) END"
+    proof = lambda item, c: f"struct('{item}' AS item, nullif(split({c}, ':')[0], '') AS source, CASE WHEN {c} LIKE '%:true' THEN true WHEN {c} LIKE '%:false' THEN false END AS ok, {ids.format(c) if item == 'U1-c' else 'CAST(NULL AS map<string,array<string>>)'} AS ids)"
+    proofs = p.selectExpr("site", f"explode(array({proof('U1-a', 'proof_a')}, {proof('U1-c', 'proof_c')}, {proof('U1-g', 'proof_g')})) AS x").select("site", "x.*").where("source is not null")
+    return p.select("site", "mode"), pages, containers, answers, proofs
