@@ -5,30 +5,39 @@ Words are runs of letters, digits and non-ASCII after lower-casing A-Z. Two
 things are looked for in every whole text:
 
 * base phrases, at every place where their words stand consecutively;
-* text blocks (lines) whose distinct words hold at least ``containment`` of a
-  licence template's distinct words.
+* text blocks that hold at least ``containment`` of a licence template's distinct
+  words. A block is any run of ``SPREAD`` times as many consecutive words as the
+  template has, wherever its lines break (a shorter text is one block).
 
 The second is a set-similarity join. Template words are put in one global order,
 rarest in the corpus first. With ``need`` words to share, a matching block must
-hold one of the template's first ``size - need + 1`` words (prefix filter), have
-``need`` template words at all (length filter), and have enough words left
-behind the first shared one on both sides (positional filter); what passes is
-verified on the whole sets. The filters only drop blocks that cannot match.
-
-Templates and phrases are parameters; their number bounds what is broadcast.
-
-Defined cases: null text has no word; a blank block matches nothing; repeated
-rows and ids each get their own labels; a text without a licence has empty
-labels, null word places and score 0.0.
+hold one of the template's first ``size - need + 1`` words (prefix filter): only
+texts with such a word are kept as words at all, and only the neighbourhoods of
+such words are looked at. A neighbourhood must have ``need`` template words
+(length filter), and enough of them must come after the word that brought it in
+in the global order (positional filter); what passes is verified block by block
+on the whole sets. The filters only drop blocks that cannot match. Of templates
+that meet in one place those held best name it.
+
+Each text is normalised twice: once to count template words, once for all the
+rest; what the second pass keeps is written to the shared folder. Templates and
+phrases are parameters; their number bounds what is broadcast.
+
+Defined cases: null text has no word; a text without words matches nothing;
+repeated rows and ids each get their own labels; a text without a licence has
+empty labels, null word places and score 0.0.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 #: label: phrase, fixed values of the contract.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -51,11 +60,52 @@ TEMPLATES = (
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("proprietary", "this document is confidential and proprietary and may not be reproduced without written permission"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    # whole texts
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+     files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+     distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+     following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+     THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+     FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+     LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
+     IN THE SOFTWARE."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+     above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+     REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL,
+     DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+     NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are
+     met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions
+     in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+     materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+     WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""),
+    ("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You
+     may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software
+     distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the
+     License for the specific language governing permissions and limitations under the License."""),
+    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+     the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it
+     will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General
+     Public License for more details. You should have received a copy of the GNU General Public License along with this program."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+     arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and
+     to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not
+     claim that you wrote the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the
+     original software. This notice may not be removed or altered from any source distribution."""),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+     distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
 )
 CONTAINMENT = 0.8
+#: Words of a block for each word of its template.
+SPREAD = 1.5
 BREAKS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
+def template_words(text: str) -> list[str]:
+    """The words of a template, as those of a text."""
+    return re.sub("[A-Z]", lambda m: m[0].lower(), re.sub(BREAKS, " ", text)).split()
+
+
 def spaced(text: Column) -> Column:
     """The words of a text with one space between them, case kept."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), BREAKS, " "))
@@ -83,65 +133,70 @@ def phrase_places(docs: DataFrame, spaced_col: str, phrases: dict[str, str] | No
     head = F.regexp_extract(s, f"(?s)^(.*?){every}", 1)
     tail = F.regexp_extract(s, f"(?s)^(.*){every}", 1)
     blanks = lambda c: (F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))).cast("long")
-    found = F.col("_base") > 0
+    found = s.rlike(every)
+    # every place counts, those inside another one too
+    places = lambda p: F.regexp_count(s, F.lit(f"(?i)(?<![^ ])(?={p}(?![^ ]))"))
     labels = [F.when(s.rlike(_any([p])), F.lit(label)) for p, label in phrases.items()]
-    return (
-        docs.withColumn("_base", F.regexp_count(s, F.lit(every)).cast("long"))
-        .withColumns(
-            {
-                "n_base": F.col("_base"),
-                "first_word": F.when(found, blanks(head)),
-                "last_word": F.when(found, blanks(tail)),
-                "base_list": F.when(found, F.array_sort(F.array_distinct(F.array_compact(F.array(*labels))))).otherwise(F.array().cast("array<string>")),
-            }
-        )
-        .drop("_base")
+    return docs.withColumns(
+        {
+            "n_base": F.when(found, sum((places(p) for p in phrases), F.lit(0))).otherwise(0).cast("long"),
+            "first_word": F.when(found, blanks(head)),
+            "last_word": F.when(found, blanks(tail)),
+            "base_list": F.when(found, F.array_sort(F.array_distinct(F.array_compact(F.array(*labels))))).otherwise(F.array().cast("array<string>")),
+        }
     )
 
 
 def word_order(docs: DataFrame, spaced_col: str, vocabulary: set[str]) -> dict[str, int]:
     """Rank of each template word, rarest in the whole corpus first. One row
     for each template word reaches the driver."""
-    words = F.explode(F.regexp_extract_all(F.col(spaced_col), F.lit(_any(vocabulary)), F.lit(0)))
-    counts = docs.select(words.alias("w")).groupBy(_lower(F.col("w")).alias("w")).count()
-    seen = {r[0]: r[1] for r in counts.collect()}
+    known = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in sorted(vocabulary)], "w string"))
+    words = docs.select(F.explode(F.split(F.lower(F.col(spaced_col)), " ")).alias("w"))
+    seen = {r[0]: r[1] for r in words.join(known, "w").groupBy("w").count().collect()}
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
 
 
-def template_links(
-    docs: DataFrame, key_cols: list[str], text_col: str, spaced_col: str, templates=TEMPLATES, containment: float = CONTAINMENT,
-) -> DataFrame:
-    """key columns, block, label, template, shared, containment of every pair
-    of a block and a template at or above the threshold."""
-    spark = docs.sparkSession
-    vocabulary = {w for _, t in templates for w in t.split()}
-    rank = word_order(docs, spaced_col, vocabulary)
-    table, prefix = [], []
-    for n, (label, text) in enumerate(templates):
-        ranks = sorted({rank[w] for w in text.split()})
-        need = math.ceil(containment * len(ranks) - 1e-9)
-        table.append((n, label, ranks, len(ranks), need))
-        prefix += [(r, n, i) for i, r in enumerate(ranks[: len(ranks) - need + 1])]
-    wanted = {r for r, _, _ in prefix}
+class Templates:
+    """Templates with their words in the global order, and their prefixes."""
+
+    def __init__(self, templates, rank: dict[str, int], containment: float):
+        self.rows, self.heads = [], []
+        for n, (label, text) in enumerate(templates):
+            words = template_words(text)
+            own = sorted(set(words), key=rank.__getitem__)
+            need = math.ceil(containment * len(own) - 1e-9)
+            if own:
+                self.rows.append((n, label, own, len(own), need, max(1, math.ceil(SPREAD * len(words)))))
+                self.heads += [(w, n, i) for i, w in enumerate(own[: len(own) - need + 1])]
+
+    def words(self) -> list[str]:
+        return sorted({w for w, _, _ in self.heads})
+
+
+def template_links(kept: DataFrame, key_cols: list[str], templates: Templates) -> DataFrame:
+    """key columns, block (its first word), n_block, label, template, shared,
+    containment: for every neighbourhood of a prefix word the best block at or
+    above the threshold. ``kept`` has ``tokens``: the words of texts that hold a
+    prefix word."""
+    spark = kept.sparkSession
     # as large as the templates: rows for their prefixes, not for the corpus
-    sets = F.broadcast(spark.createDataFrame(table, "template int, label string, ranks array<int>, size int, need int"))
-    heads = F.broadcast(spark.createDataFrame(prefix, "word int, template int, at int"))
-
-    gate = _any([w for w in vocabulary if rank[w] in wanted])
-    blocks = docs.where(F.col(spaced_col).rlike(gate)).select(*key_cols, F.posexplode(F.split(text_col, "\n")).alias("block", "_line"))
-    ranks_of = F.create_map(*[F.lit(x) for w, r in sorted(rank.items()) for x in (w, r)])
-    tokens = F.split(_lower(spaced(F.col("_line"))), " ")
-    own = F.array_sort(F.array_distinct(F.array_compact(F.transform(tokens, lambda w: F.try_element_at(ranks_of, w)))))
-    blocks = blocks.where(F.col("_line").rlike("(?i)" + "|".join(sorted(w for w in vocabulary if rank[w] in wanted)))).select(*key_cols, "block", own.alias("_own"))
-    least = min(need for *_, need in table) if table else 0
-    hits = blocks.where(F.size("_own") >= least).select(*key_cols, "block", "_own", F.posexplode("_own").alias("_pos", "word"))
-    pairs = hits.join(heads, "word").join(sets, "template").where(F.size("_own") >= F.col("need"))
-    first = pairs.where(1 + F.least(F.col("size") - F.col("at"), F.size("_own") - F.col("_pos")) - 1 >= F.col("need"))
-    shared = F.size(F.array_intersect("_own", "ranks"))
-    # only the first shared word of a pair reports it
-    only = F.col("word") == F.array_min(F.array_intersect("_own", "ranks"))
-    return first.where(only).withColumn("shared", shared).where("shared >= need").select(
-        *key_cols, "block", "label", "template", "shared", (F.col("shared") / F.col("size")).alias("containment")
+    sets = F.broadcast(spark.createDataFrame(templates.rows, "template int, label string, own array<string>, size int, need int, width int"))
+    heads = F.broadcast(spark.createDataFrame(templates.heads, "word string, template int, at int"))
+    wanted = F.array(*[F.lit(w) for w in templates.words()])
+    anchors = F.filter(F.transform("tokens", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: F.array_contains(wanted, x["word"]))
+    rows = kept.where("tokens is not null").select(*key_cols, "tokens", F.explode(anchors).alias("a")).select(*key_cols, "tokens", "a.word", "a.pos")
+    rows = rows.join(heads, "word").join(sets, "template")
+    begin = F.greatest(F.col("pos") - F.col("width") + 1, F.lit(0))
+    rows = rows.withColumn("begin", begin).withColumn("around", F.slice("tokens", F.col("begin") + 1, F.col("pos") - F.col("begin") + F.col("width"))).drop("tokens")
+    rows = rows.withColumn("present", F.array_intersect("own", "around")).where(F.size("present") >= F.col("need"))
+    # the word that brought the block in is the rarest of those it holds
+    rows = rows.where((F.col("word") == F.element_at("present", 1)) & (F.col("size") - F.col("at") >= F.col("need")))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("around") - F.col("width"), F.lit(0)))
+    tried = F.transform(starts, lambda i: F.struct(F.size(F.array_intersect("own", F.slice("around", i + 1, F.col("width")))).alias("shared"), (-i).alias("back")))
+    best = rows.withColumn("best", F.array_max(tried)).where("best.shared >= need")
+    return best.select(
+        *key_cols, (F.col("begin") - F.col("best.back")).alias("block"), F.least("width", F.size("around")).alias("n_block"), "label", "template", F.col("best.shared").alias("shared"),
+        (F.col("best.shared") / F.col("size")).alias("containment"),
     )
 
 
@@ -151,20 +206,25 @@ def scan(
 ) -> DataFrame:
     """One row for each row of ``docs``: word count, base places and labels,
     all labels, and the best containment (1.0 with a base phrase)."""
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_spaced", spaced(F.col("_text"))).withColumn("_key", F.xxhash64(id_col, "_text"))
-    links = template_links(rows, [id_col, "_key"], "_text", "_spaced", templates, containment)
-    # a block that holds several templates is named after those it holds best
-    named = links.groupBy(F.col(id_col).alias("_id"), F.col("_key").alias("_k"), "block").agg(
-        F.collect_set(F.struct("containment", "label")).alias("_all"), F.max("containment").alias("_most")
-    )
-    named = named.select("_id", "_k", "_most", F.transform(F.filter("_all", lambda x: x["containment"] == F.col("_most")), lambda x: x["label"]).alias("_names"))
-    best = named.groupBy("_id", "_k").agg(F.array_distinct(F.flatten(F.collect_set("_names"))).alias("_found"), F.max("_most").alias("_best"))
-    base = phrase_places(rows.select(id_col, "_key", "_spaced"), "_spaced", phrases).withColumn("n_words", _count_words(F.col("_spaced"))).drop("_spaced")
-    joined = base.join(best, base[id_col].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
+    rows = docs.select(F.col(id_col).alias("_id"), spaced(F.col(text_col)).alias("_spaced"))
+    vocabulary = {w for _, t in templates for w in template_words(t)}
+    table = Templates(templates, word_order(rows, "_spaced", vocabulary), containment)
+    heads = F.array(*[F.lit(w) for w in table.words()]).cast("array<string>")
+    gate = F.arrays_overlap(F.split(F.lower(F.col("_spaced")), " "), heads)
+    base = phrase_places(rows, "_spaced", phrases).withColumns({"n_words": _count_words(F.col("_spaced")), "tokens": F.when(gate, F.split(_lower(F.col("_spaced")), " "))})
+    # a row's number keeps repeated rows apart; the written table fixes it
+    base = stage(base.drop("_spaced").withColumn("_row", F.monotonically_increasing_id()), "licences")
+    links = template_links(base.select("_row", "tokens"), ["_row"], table)
+    place = lambda x: F.struct(x["containment"].alias("c"), x["block"].alias("b"), (x["block"] + x["n_block"]).alias("e"), x["label"].alias("l"))
+    spots = links.groupBy("_row", "template", (F.col("block") / F.col("n_block")).cast("int").alias("_region")).agg(F.max_by(F.struct("containment", "block", "n_block", "label"), "containment").alias("x"))
+    spots = spots.groupBy("_row").agg(F.collect_list(place(F.col("x"))).alias("_all"))
+    # where blocks of several templates meet, those held best name the place
+    named = F.filter("_all", lambda x: ~F.exists("_all", lambda y: (y["c"] > x["c"]) & (y["b"] < x["e"]) & (x["b"] < y["e"])))
+    best = spots.select(F.col("_row").alias("_r"), F.array_distinct(F.transform(named, lambda x: x["l"])).alias("_found"), F.array_max(F.transform("_all", lambda x: x["c"])).alias("_best"))
+    joined = base.drop("tokens").join(best, F.col("_row") == F.col("_r"), "left")
     found = F.coalesce("_found", F.array().cast("array<string>"))
     return joined.select(
-        id_col, "n_words", "n_base", "first_word", "last_word", F.array_join("base_list", ",").alias("base_labels"),
+        F.col("_id").alias(id_col), "n_words", "n_base", "first_word", "last_word", F.array_join("base_list", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base_list", found)), ",").alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("_best", F.lit(0.0))).alias("score"),
     )
