@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontam, langid, licenses, linerules, neardup, packing, pagetext, quality, toxicity
 from .common import id_bucket, table
+from .queries_sql import SQL
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +84,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
-
-
-SQL: dict[str, str] = {}

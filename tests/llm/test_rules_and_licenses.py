@@ -113,7 +113,7 @@ def test_template_join_against_all_blocks(spark):
                 want[i, n] = c
     assert got.keys() == want.keys() and len(want) >= 8 and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     labels = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
-    assert labels[9] == labels[11] == "mit" and labels[2] == "mit" and labels[10] == "" and labels[13] == "cc-by-nc,mit" and labels[5] == "cc-by,cc-by-sa"
+    assert labels[9] == labels[11] == "mit" and labels[2] == "mit" and labels[10] == "" and labels[13] == "cc-by,cc-by-nc,mit" and labels[5] == "cc-by,cc-by-sa"
 
 
 def test_places_inside_one_another_all_count(spark):
