@@ -109,18 +109,23 @@ def id_bucket(column: str | Column, n: int) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % n, F.lit(-1))
 
 
-def bounded_sample(df: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
-    """About ``per_class`` rows of each label value, chosen by a hash of ``key``.
+def bounded_sample(df: DataFrame, label: str, key: str, per_class: int, most_classes: int = 2, most_rows: int | None = None) -> DataFrame:
+    """About ``per_class`` rows of each label value, chosen by a hash of ``key``;
+    fewer of each where all together would pass ``most_rows``.
 
-    One count by label goes to the driver (as many rows as there are labels);
-    the choice itself is a filter, so no group is gathered in one task.
+    Only the ``most_classes`` most frequent values are learnt from, which bounds
+    what one count by label sends to the driver; the choice itself is a filter, so
+    no group is gathered in one task.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect() if r[0] is not None}
+    counted = df.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most_classes)
+    counts = {r[0]: r[1] for r in counted.collect()}
     if not counts:
         return df.where(F.lit(False))
+    if most_rows:
+        per_class = min(per_class, max(1, most_rows // len(counts)))
     share = F.create_map(*[F.lit(x) for v, n in sorted(counts.items()) for x in (v, min(1.0, per_class / n))])
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return df.where(draw < share[F.col(label)])
+    return df.where(draw < F.try_element_at(share, F.col(label)))
 
 
 def bound_batches(spark: SparkSession) -> None:

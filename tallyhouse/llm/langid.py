@@ -8,7 +8,8 @@ codeword. A small lead over the runner-up flags the text as ambiguous.
 Defined cases: null text, or text without a letter, is ``und`` with score 0.0;
 very long texts are counted whole, in blocks; rows with a null language or id
 are never learnt from; without any labelled row every text is ``und``; repeated
-rows are scored alike; other columns are not looked at.
+rows are scored alike; other columns are not looked at, and columns that already
+have the names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from .common import bounded_sample, id_bucket, map_batches, utf8
 BUCKETS = 4096
 ORDERS = (1, 2, 3, 4)
 SAMPLE_PER_LANGUAGE = 500
+#: Languages learnt at most (the most frequent), and texts learnt from at most.
 MAX_LANGUAGES = 2000
+SAMPLE_TEXTS = 20_000
 AMBIGUOUS_LEAD = 0.10
 BLOCK = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
@@ -127,7 +130,7 @@ def train(
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).where(
         ~id_bucket(id_col, 4).isin(2, -1)
     )
-    sample = bounded_sample(rows.select(id_col, text_col, lang_col), lang_col, id_col, per_language)
+    sample = bounded_sample(rows.select(id_col, text_col, lang_col), lang_col, id_col, per_language, MAX_LANGUAGES, SAMPLE_TEXTS)
 
     def gather(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = features(utf8(batch.column(0)))
@@ -148,6 +151,8 @@ def train(
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``lang_score`` and ``lang_ambiguous`` added."""
+    made = ("lang_pred", "lang_score", "lang_ambiguous")
+    docs = docs.select(*[c for c in docs.columns if c not in made])
     names = docs.columns
     at = names.index(text_col)
 
@@ -161,7 +166,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
             for i, c, s, d in zip(part, best, share, lead):
                 lang[i], score[i], flag[i] = model.languages[c], float(s), bool(d < AMBIGUOUS_LEAD)
         cols = [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(flag, pa.bool_())]
-        return pa.record_batch(cols, [*names, "lang_pred", "lang_score", "lang_ambiguous"])
+        return pa.record_batch(cols, [*names, *made])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return map_batches(docs, run, f"{kept}, lang_pred string, lang_score double, lang_ambiguous boolean")

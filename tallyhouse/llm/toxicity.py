@@ -7,8 +7,8 @@
    says toxic or abstains; the silence of all of them is a voter for clean, and
    the given label is one more voter.
 2. A generative label model estimates by expectation-maximisation, together with
-   the hidden class, how accurate each voter is; voters correlated beyond what the
-   class explains share their say.
+   the hidden class, how accurate each voter is and how voters correlate beyond
+   what the class explains; those that do share their say.
 3. A linear (logistic) classifier over the same features is trained on the label
    model's posteriors and scores every whole text.
 
@@ -23,7 +23,7 @@ without toxic labels nothing is mined and the score is the share of toxic labels
 from __future__ import annotations
 
 import math
-from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +63,7 @@ def document_features(text: bytes) -> set[bytes]:
 
 def unlike(sample: DataFrame) -> DataFrame:
     """One text of each group of copies, so that the rare words of a copied
-    text do not look like evidence: texts that agree in one of three minimum
+    text do not look like evidence: texts that agree in two of three minimum
     hashes of their shingles count once."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -75,8 +75,8 @@ def unlike(sample: DataFrame) -> DataFrame:
 
     names = [f"_m{i}" for i in range(len(MINIMA))]
     out = map_batches(sample, run, "text string, label int, " + ", ".join(f"{n} long" for n in names))
-    for n in names:
-        first = out.groupBy("label", n).agg(F.min_by(F.struct("text", *names), F.xxhash64("text")).alias("r"))
+    for pair in combinations(names, 2):
+        first = out.groupBy("label", *pair).agg(F.min_by(F.struct("text", *names), F.xxhash64("text")).alias("r"))
         out = first.select("label", "r.*")
     return out.select("text", "label")
 
@@ -140,8 +140,9 @@ class LabelModel:
             self.accuracy = (votes.T @ q + 1.0) / (fired + 1.5)
             self.silence = (silence @ (1 - q) + 1.0) / (silence.sum() + 1.5)
             self.label_right = np.array([((1 - given) @ (1 - q) + 1) / ((1 - q).sum() + 1.5), (given @ q + 1) / (q.sum() + 1.5)])
-            if step == 5:
-                left = votes - q[:, None] * (votes.T @ q / max(q.sum(), 1e-9))
+            if step >= 5:
+                # what is left of the votes once the class is known
+                left = votes - np.outer(q, votes.T @ q / max(q.sum(), 1e-9)) - np.outer(1 - q, votes.T @ (1 - q) / max((1 - q).sum(), 1e-9))
                 cov = left.T @ left
                 sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
                 corr = cov / np.outer(sd, sd)

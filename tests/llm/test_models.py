@@ -30,6 +30,29 @@ def test_held_out_accuracy(spark, query, column, fold, n):
     assert all(r.held_out == (bucket(r.doc_id, n) == fold) and 0 <= r.score <= 1 for r in rows)
     held = [(truth[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in truth]
     assert len(held) > 30 and np.mean([y == p for y, p in held]) >= 0.9
+    if column == "toxic":
+        # a third of the texts marked toxic hold no word that sets them apart
+        hits = [p for y, p in held if y]
+        assert not any(p for y, p in held if not y) and np.mean(hits) >= 0.75
+
+
+def test_correlated_voters_share_their_say():
+    rng = np.random.default_rng(3)
+    toxic = rng.random(4000) < 0.2
+    own = [(toxic & (rng.random(4000) < 0.6)) for _ in range(2)]
+    echo = own[0] ^ (rng.random(4000) < 0.002)
+    votes = np.array([own[0], echo, own[1]], float).T
+    model = toxicity.LabelModel(votes, toxic.astype(float), 0.2)
+    assert model.share[0] < 0.6 and model.share[1] < 0.6 and model.share[2] > 0.9
+    assert (model.accuracy > 0.9).all()
+
+
+def test_language_replaces_columns_of_its_own_names(spark):
+    learn = [(i, t, v) for v, t in (("en", "the house and the garden"), ("fr", "la maison et le jardin")) for i in range(40)]
+    model = langid.train(spark.createDataFrame(learn, "x long, text string, lang string").withColumn("doc_id", F.monotonically_increasing_id()))
+    df = spark.createDataFrame([(1, "the house", "xx", 7.0)], "doc_id long, text string, lang_pred string, lang_score double")
+    out = langid.identify(df, model)
+    assert out.columns == ["doc_id", "text", "lang_pred", "lang_score", "lang_ambiguous"] and out.first().lang_pred == "en"
 
 
 def test_language_held_out_accuracy(spark):
