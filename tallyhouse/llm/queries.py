@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, licenses, linerules, neardup, packing, pagetext, quality, toxicity
+from . import chat, decontam, fim, langid, licenses, linerules, neardup, packing, pagetext, quality, toxicity
 from .common import id_bucket, table
 from .queries_sql import SQL
 
@@ -75,6 +75,14 @@ def op10_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", "output_sha256",
+        F.sha2(fim.restore(), 256).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 

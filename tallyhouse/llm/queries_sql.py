@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, linerules
+from . import chat, fim, linerules
 
 _SPACE = r"\x20\x09-\x0D"
 
@@ -55,4 +55,15 @@ def op9_line_rules() -> str:
  SELECT *, NOT base_failed AND 100 * lost_words <= {linerules.MAX_LOST} * n_words AS kept FROM b"""
 
 
-SQL = {f.__name__: f() for f in (op1_chat_format, op2_minhash_near_dedup, op9_line_rules)}
+def op11_fill_in_middle() -> str:
+    p, s, m = map(_quote, (fim.PREFIX, fim.SUFFIX, fim.MIDDLE))
+    h = ", ".join(f"('0x' || substr(x, {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))
+    return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS x FROM documents),
+ h AS (SELECT *, {h} FROM d), c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(t, {p}) OR contains(t, {s}) OR contains(t, {m}) OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+ k AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1, n - b) AS suf FROM c)
+ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN (b - a)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN {p} || pre || {s} || suf || {m} || mid ELSE {s} || suf || {p} || pre || {m} || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM k"""
+
+
+SQL = {f.__name__: f() for f in (op1_chat_format, op2_minhash_near_dedup, op9_line_rules, op11_fill_in_middle)}
