@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fim, langid, licenses, linerules, neardup, packing, pagetext, quality, toxicity
+from . import chat, decontam, fim, langid, licenses, linerules, neardup, packing, pagetext, prefixtrie, quality, repeats, toxicity
 from .common import id_bucket, table
 from .queries_sql import SQL
 
@@ -83,6 +83,15 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, ids = prefixtrie.share_heads(prefixtrie.numbered_turns(table(spark, sf_dir, "conversations")))
+    return prefixtrie.prefix_trie(turns, ids).drop("digest")
+
+
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 

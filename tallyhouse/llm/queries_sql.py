@@ -66,4 +66,19 @@ def op11_fill_in_middle() -> str:
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN {p} || pre || {s} || suf || {m} || mid ELSE {s} || suf || {p} || pre || {m} || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM k"""
 
 
-SQL = {f.__name__: f() for f in (op1_chat_format, op2_minhash_near_dedup, op9_line_rules, op11_fill_in_middle)}
+def op12_prefix_trie() -> str:
+    crc = "xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT] || repeat([-1::BIGINT], 8))), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"
+    return rf"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+ z AS (SELECT conv_id, max(i) AS n FROM t GROUP BY 1), h AS (SELECT conv_id, {crc} % 4 AS h FROM z), g AS (SELECT h.conv_id, h, h.conv_id - h.conv_id % 20 AS base, least(h, coalesce(n, 0)) AS taken FROM h LEFT JOIN z ON z.conv_id = h.conv_id - h.conv_id % 20),
+ r AS (SELECT t.conv_id, i - h + taken AS d, role, text FROM t JOIN g USING (conv_id) WHERE i > h UNION ALL SELECT g.conv_id, i, role, text FROM g JOIN t ON t.conv_id = g.base AND i <= taken),
+ k AS (SELECT conv_id, d AS depth, len(regexp_extract_all(text, '[^{_SPACE}]+')) AS words, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d)) AS k FROM r),
+ p AS (SELECT conv_id, depth, words, k, CASE WHEN depth = 1 THEN '' ELSE lag(k) OVER (PARTITION BY conv_id ORDER BY depth) END AS up FROM k UNION ALL SELECT conv_id, 0, 0, '', NULL FROM g),
+ n AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words, max(up) AS up FROM p GROUP BY 1, 2), c AS (SELECT depth - 1 AS depth, up AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+ m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (depth, k)),
+ s AS (SELECT p.depth, p.k, sum((n_convs - 1) * m.words) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM m JOIN p ON p.conv_id = m.conv_id AND p.depth <= m.depth GROUP BY 1, 2),
+ l AS (SELECT conv_id, max(depth) AS depth, arg_max(k, depth) AS k FROM p GROUP BY 1), e AS (SELECT depth, k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM l GROUP BY 1, 2)
+ SELECT m.conv_id, m.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+ FROM m JOIN s USING (depth, k) LEFT JOIN e USING (depth, k) LEFT JOIN n q ON q.depth = m.depth - 1 AND q.k = m.up"""
+
+
+SQL = {f.__name__: f() for f in (op1_chat_format, op2_minhash_near_dedup, op9_line_rules, op11_fill_in_middle, op12_prefix_trie)}
