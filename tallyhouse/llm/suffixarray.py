@@ -22,12 +22,23 @@ from __future__ import annotations
 import numpy as np
 
 
+#: So few strings left are finished one by one.
+FEW = 12
+
+
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """first[0] .. first[0]+size[0]-1, first[1] .. , joined."""
     ends = np.cumsum(size)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
 
 
+def _earlier(begin: np.ndarray, n: int) -> np.ndarray:
+    """The suffix before each one in its string (``n``: none)."""
+    out = np.arange(-1, n - 1)
+    out[begin] = n
+    return out
+
+
 def suffix_arrays(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The sorted suffixes of each string, as positions in ``symbols``.
 
@@ -58,8 +69,7 @@ def _grouped(symbols: np.ndarray, lengths: np.ndarray, begin: np.ndarray, n: int
     group[n] = -1
     before = np.full(n + 1, n, np.int64)
     moved = np.zeros(n, bool)
-    first_of = np.zeros(n, bool)
-    first_of[begin] = True
+    earlier = _earlier(begin, n)
 
     strings = np.arange(len(lengths))
     last = begin + lengths - 1  # the highest place not yet processed
@@ -72,14 +82,14 @@ def _grouped(symbols: np.ndarray, lengths: np.ndarray, begin: np.ndarray, n: int
         strings = strings[low > begin[strings]]
 
         # nearest earlier suffix whose group is not yet processed
-        at = np.where(first_of[members], n, members - 1)
-        going = np.flatnonzero(group[at] > top)
+        at = earlier[members]
+        going = (group[at] > top).nonzero()[0]
         while len(going):
             at[going] = before[at[going]]
             going = going[group[at[going]] > top[going]]
         before[members] = at
         # and on through members of the group itself, doubling the reach
-        going = np.flatnonzero(group[at] == floor)
+        going = (group[at] == floor).nonzero()[0]
         while len(going):
             before[members[going]] = before[before[members[going]]]
             going = going[group[before[members[going]]] == floor[going]]
@@ -120,26 +130,40 @@ def _emitted(group: np.ndarray, before: np.ndarray, lengths: np.ndarray, begin:
     ends = begin + lengths
     out[begin] = ends - 1
     done[ends - 1] = True
-    first_of = np.zeros(n, bool)
-    first_of[begin] = True
-    at = begin.copy()
-    now = np.where(first_of[out[at]], n, out[at] - 1)
-    while len(at):
-        open_ = ~done[now]
+    earlier = _earlier(begin, n)
+    at, now = begin.copy(), np.full(len(begin), n)
+    while len(at) > FEW:
+        # a string whose chain has ended goes on to the chain of its next suffix; then each places one
+        closed = done[now].nonzero()[0]
+        if len(closed):
+            over = at[closed] >= ends[closed]
+            if over.any():
+                keep = np.ones(len(at), bool)
+                keep[closed[over]] = False
+                at, now, ends = at[keep], now[keep], ends[keep]
+                closed = done[now].nonzero()[0]
+            now[closed] = earlier[out[at[closed]]]
+            at[closed] += 1
+            open_ = (~done[now]).nonzero()[0]
+        else:
+            open_ = np.arange(len(now))
         s = now[open_]
         g = group[s]
         out[free[g]] = s
         free[g] += 1
         done[s] = True
         now[open_] = before[s]
-        closed = np.flatnonzero(~open_)
-        at[closed] += 1
-        over = at[closed] >= ends[closed]
-        going = closed[~over]
-        found = out[at[going]]
-        now[going] = np.where(first_of[found], n, found - 1)
-        if over.any():
-            keep = np.ones(len(at), bool)
-            keep[closed[over]] = False
-            at, now, ends = at[keep], now[keep], ends[keep]
+    places, next_free, seen, groups, chain, left = map(memoryview, (out, free, done, group, before, earlier))
+    for i, s, end in zip(at.tolist(), now.tolist(), ends.tolist()):
+        while True:
+            while not seen[s]:
+                g = groups[s]
+                places[next_free[g]] = s
+                next_free[g] += 1
+                seen[s] = True
+                s = chain[s]
+            if i >= end:
+                break
+            s = left[places[i]]
+            i += 1
     return out
