@@ -293,3 +293,18 @@ def json_after(src: pd.Series, pattern: pd.Series) -> pd.Series:
             return None
 
     return pd.Series([one(s, p) for s, p in zip(src, pattern)], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def json_value_at(src: pd.Series, at: pd.Series) -> pd.Series:
+    """The source of the JSON value that begins at a place (from 1); null where
+    there is none or it is not valid."""
+    read = json.JSONDecoder().raw_decode
+
+    def one(page, start):
+        try:
+            return page[int(start) - 1 : read(page, int(start) - 1)[1]]
+        except (TypeError, ValueError, RecursionError):
+            return None
+
+    return pd.Series([one(p, a) for p, a in zip(src, at)], dtype=object)

@@ -510,7 +510,7 @@ def q48_content_lines(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import queries_rules  # noqa: F401  registers its own
+    from . import queries_rules, queries_stores  # noqa: F401  register their own
 
     return dict(Q)
 

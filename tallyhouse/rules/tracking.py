@@ -34,9 +34,8 @@ NAMED = ("meta", "ga4", "google_ads", "tiktok", "pinterest", "snap", "klaviyo",
 def hits_of(pages: DataFrame, containers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All hits of pages and containers, and the pages with their scan, each
     page scanned once (written to the shared folder)."""
-    seen = cut(pages.withColumn("scan", T.scan_page(F.coalesce("html", F.lit("")))), "scans")
-    rows = seen.select("site", F.col("key").alias("source"), F.explode("scan.hits").alias("h")).select("site", "source", "h.*")
-    return rows.unionByName(T.container_hits(containers)), seen
+    seen = cut(T.scanned(pages), "scans")
+    return T.page_hits(seen).unionByName(T.container_hits(containers)), seen
 
 
 def duplicates(hits: DataFrame) -> DataFrame:
@@ -69,7 +68,7 @@ def facts(sites: DataFrame, pages: DataFrame, containers: DataFrame, answers: Da
         any_((key == "privacy") & (src != "")).alias("has_privacy"), any_((key == "product") & (src != "")).alias("has_product"), F.max(F.when(home, F.col("result"))).alias("home_result"),
         any_(plain.rlike(r"(?i)advertis|interest-based|targeted ads|remarketing")).alias("advertising"), any_(plain.rlike(r"(?i)opt[- ]?out|do not sell|your privacy choices")).alias("opt_out_said"),
         F.flatten(F.collect_list(F.array_compact(F.array(*[F.when(plain.rlike(p), F.lit(n)) for n, p in T.PLATFORM_WORDS.items()])))).alias("named"),
-        F.min_by("scan.pixels", F.when(F.size("scan.pixels") > 0, F.array_position(F.array(*[F.lit(k) for k in ("homepage", "collection", "product", "cart", "privacy")]), key))).alias("pixels"), any_(F.col("scan.list") != "not_observed").alias("pixel_list"),
+        F.min_by("pixels", F.when(F.size("pixels") > 0, F.array_position(F.array(*[F.lit(k) for k in ("homepage", "collection", "product", "cart", "privacy")]), key))).alias("pixels"), any_(F.col("list") != "not_observed").alias("pixel_list"),
     )
     marks = consent(pages.select("site", "html")).unionByName(consent(containers.select("site", F.col("text").alias("html")))).groupBy("site").agg(
         any_(F.col("d")).alias("consent_default"), any_(F.col("v2")).alias("consent_v2"), F.array_distinct(F.flatten(F.collect_list("tools"))).alias("tools"), any_(F.col("out")).alias("opt_out"), (F.sum("old") > 0).alias("legacy"),

@@ -1,5 +1,8 @@
 """Rules, market and wording operators on literals; sinks."""
 
+import json
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,13 +49,63 @@ def test_answers(spark):
     assert value(spark, answers.number("dispute_rate", F.lit("120"))) is None and value(spark, answers.yes_no(F.lit("是"))) is True
 
 
-def test_tags_need_code_around_them():
-    listed = tags.scan('<p>{"Tag":"https://s.pinimg.com/ct/core.js"}</p>')["hits"]
-    loaded = tags.scan('<script src="https://s.pinimg.com/ct/core.js"></script>')["hits"]
-    assert listed == [] and [h["platform"] for h in loaded] == ["pinterest"]
-    cut = tags.scan('webPixelsConfigList: [{"configuration":"{\\"pixel_id\\":\\"12345678901\\",\\"pixel_type\\":\\"facebook_pixel\\"}", oops')
-    assert cut["list"] == "undecodable" and cut["hits"][0]["id"] == "12345678901"
-    assert tags.problem_of("meta", "YOUR_PIXEL_ID") == "placeholder" and tags.problem_of("ga4", "G-1") == "bad_format" and tags.problem_of("gtm", None) is None
+def scan(spark, *sources):
+    return tags.scanned(spark.createDataFrame([(i, "homepage", s) for i, s in enumerate(sources)], "site long, key string, html string"))
+
+
+def test_tags_need_code_around_them(spark):
+    sources = [
+        '<p>{"Tag":"https://s.pinimg.com/ct/core.js"}</p>', '<script src="https://s.pinimg.com/ct/core.js"></script>', '<script>block = "fbq|https://s.pinimg.com/ct/core.js|x"</script>',
+        'webPixelsConfigList: [{"configuration":"{\\"pixel_id\\":\\"12345678901\\",\\"pixel_type\\":\\"facebook_pixel\\"}", oops', None,
+        '<script>(function(){ var u = "https:\\/\\/connect.facebook.net\\/en_US\\/fbevents.js"; s.src = u; fbq("init", "123456789012"); fbq("init", "123456789012") })()</script>',
+    ]
+    seen = {r["site"]: r for r in scan(spark, *sources).collect()}
+    names = {k: [(h["platform"], h["id"], h["kind"]) for h in r["hits"]] for k, r in seen.items()}
+    assert names[0] == [] and names[1] == [("pinterest", None, "script_src")] and names[2] == [] and names[4] == []
+    assert seen[3]["list"] == "undecodable" and names[3] == [("meta", "12345678901", "shopify_app_pixel")]
+    assert names[5] == [("meta", "123456789012", "inline_call")] * 2 + [("meta", None, "script_src")]
+    counted = {(r["site"], r["kind"]): r["n"] for r in tags.page_hits(scan(spark, *sources)).collect()}
+    assert counted[(5, "inline_call")] == 2
+
+
+def test_registered_pixels(spark):
+    entries = [
+        {"type": "APP", "apiClientId": 1780363, "configuration": json.dumps({"config": "G-AAAA1111,AW-12345678,MC-ABCD12"})}, {"type": "APP", "apiClientId": "4383523", "configuration": {"pixelCode": "C" * 20}},
+        {"type": "APP", "apiClientId": 77, "configuration": json.dumps({"ti": "555"})}, {"type": "CUSTOM", "name": " Our TikTok pixel "}, {"type": "APP", "apiClientId": "shopify-pixel"}, 7, {"type": "APP", "apiClientId": 2329312, "configuration": "{}"},
+    ]
+    row = scan(spark, "<script>webPixelsConfigList: " + json.dumps(entries) + "; gtag('config', 'G-BBBB2222'); gtag('config', 'UA-1-1')</script><p>dataLayer GTM-ABCD12</p>").first()
+    assert row["list"] == "present" and [p["platform"] for p in row["pixels"]] == ["google", "tiktok", "microsoft", "tiktok", "shopify", "meta"]
+    assert [(h["platform"], h["id"], h["via"]) for h in row["hits"]] == [
+        ("google_ads", "AW-12345678", "app_pixel"), ("ga4", "G-AAAA1111", "app_pixel"), ("tiktok", "C" * 20, "app_pixel"), ("microsoft", "555", "app_pixel"), ("tiktok", None, "custom_pixel"), ("meta", None, "app_pixel"),
+        ("ga4", "G-BBBB2222", "theme_code"), ("gtm", "GTM-ABCD12", "theme_code"),
+    ]
+
+
+def test_forms_of_ids(spark):
+    df = spark.createDataFrame([("meta", "YOUR_PIXEL_ID"), ("ga4", "G-1"), ("gtm", None), ("gtm", "GTM-ABCD12"), ("google_tag", "GT-XXXX"), ("reddit", "t2_a")], "p string, i string")
+    assert [r[0] for r in df.select(tags.problem(F.col("p"), F.col("i"))).collect()] == ["placeholder", "bad_format", None, None, None, None]
+
+
+def test_places_of_a_pattern(spark):
+    said = "a1b22 a3 b444"
+    got = spark.range(1).select(text.places(F.lit(said), r"\d+").alias("p")).first()["p"]
+    assert [(p["at"] - 1, p["found"]) for p in got] == [(m.start(), m[0]) for m in re.finditer(r"\d+", said)]
+    assert spark.range(1).select(text.places(F.lit("none"), r"\d+").alias("p")).first()["p"] == []
+
+
+@pytest.mark.parametrize("said, names", [
+    ("Sold by Acme Trading Ltd. and Bolt & Sons, Inc. today", ["Acme Trading Ltd", "Bolt & Sons, Inc"]), ("the Limited", []), ("A Very Long Name Of Six Words GmbH", ["Long Name Of Six Words GmbH"]), ("深圳市某某有限公司 x", ["深圳市某某有限公司"]),
+    ("by The Company Limited", []), (None, []),
+])
+def test_company_names(spark, said, names):
+    assert spark.range(1).select(text.legal_names(F.lit(said).cast("string")).alias("n")).first()["n"] == names
+
+
+@pytest.mark.parametrize("said, days", [
+    ("Return items within 30 days. Refunds within 30 days, exchanges 14 days.", [30, 14]), ("We process orders in 2 business days", []), ("return it in 400 days", []), ("lamps last 90 days", []), (None, []),
+])
+def test_return_windows(spark, said, days):
+    assert spark.range(1).select(text.return_windows(F.lit(said).cast("string")).alias("n")).first()["n"] == days
 
 
 @pytest.mark.parametrize("sources, flags, level", [("S1", "-", "P0"), ("S9", "-", "P1"), ("-", "exp", "P1"), ("-", "exp,p0_ok", "P0")])
