@@ -7,11 +7,13 @@ keeps the plan small and survives lost executors.
 from __future__ import annotations
 
 import atexit
+import functools
 import re
 import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,3 +41,19 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     folder = context._jvm.org.apache.hadoop.fs.Path(own)
     folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def once(build):
+    """A function without arguments that makes columns: built once for each
+    application. Columns are names and operations, they hold no data; building some
+    thousands of them through the gateway takes seconds."""
+    made: dict = {}
+
+    @functools.wraps(build)
+    def columns():
+        context = SparkContext._active_spark_context
+        if made.get("context") is not context:
+            made.update(context=context, columns=build())
+        return made["columns"]
+
+    return columns

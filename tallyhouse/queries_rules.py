@@ -11,8 +11,15 @@ from .queries import _t, query
 from .rules import cases, engine, launch, launch_sql, payments, payments_sql, tracking, tracking_sql
 
 
+def _customers(spark: SparkSession, d: str) -> DataFrame:
+    """The customers, dealt evenly before each becomes a store of many pages: a
+    small file would leave all of them to one task."""
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _t(spark, d, "customer").repartition(parts, "c_custkey")
+
+
 def launch_facts(spark: SparkSession, d: str) -> DataFrame:
-    return launch.site_facts(*cases.stores(_t(spark, d, "customer")))
+    return launch.site_facts(*cases.stores(_customers(spark, d)))
 
 
 @query(launch_sql.findings_sql() + " SELECT site, rule_id, result, level, badge, note FROM findings")
@@ -50,7 +57,7 @@ _PAIRS = "CASE WHEN home AND NOT drawn AND alternates"
  UNION ALL SELECT site, 'missing_on_version', '{cases.HOME_URL}m/', NULL, '' FROM m WHERE NOT market_alternates""")
 def q52_hreflang_problems(spark, d):
     """What is wrong with the language annotations of every store's versions."""
-    _, pages, _ = cases.stores(_t(spark, d, "customer"))
+    _, pages, _ = cases.stores(_customers(spark, d))
     home = F.col("role") == "home"
     versions = pages.where("role in ('home', 'market_home') and html is not null").select("site", F.when(home, 0).otherwise(F.col("pos") + 1).alias("pos"), "url", html.hreflang("html").alias("pairs"))
     return markets.hreflang_problems(versions).select("site", "kind", "page", "code", "detail")
@@ -60,7 +67,7 @@ def q52_hreflang_problems(spark, d):
  CASE market_code WHEN 'de-DE' THEN 'EUR' WHEN 'en-GB' THEN 'GBP' END AS currency FROM f""")
 def q53_target_markets(spark, d):
     """Targeted countries, rule groups and missing languages of every store."""
-    p = cases.pieces(_t(spark, d, "customer")).selectExpr("*", f"{cases.home_html()} AS html")
+    p = cases.pieces(_customers(spark, d)).selectExpr("*", f"{cases.home_html()} AS html")
     pairs = F.coalesce(html.hreflang("html"), F.array().cast("array<struct<code:string,href:string>>"))
     p = p.withColumns({"pairs": pairs, "chosen": markets.default_markets(F.col("user_markets"), markets.offered("html"))})
     wanted = markets.language_markets(F.col("chosen"), markets.hreflang_countries(F.col("pairs")))
@@ -75,7 +82,7 @@ def q53_target_markets(spark, d):
 
 
 def payment_facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    stores, pages, products, raw = cases.pay_stores(_t(spark, d, "customer"))
+    stores, pages, products, raw = cases.pay_stores(_customers(spark, d))
     answers = cases.questionnaire(raw)
     return payments.facts(stores, pages, products, answers), answers
 
@@ -121,7 +128,7 @@ def q57_fee_totals(spark, d):
 @query(tracking_sql.findings_sql() + " SELECT * FROM findings")
 def q58_tracking_findings(spark, d):
     """All tracking checks for every store."""
-    return tracking.findings(tracking.facts(*cases.tag_stores(_t(spark, d, "customer"))))
+    return tracking.findings(tracking.facts(*cases.tag_stores(_customers(spark, d))))
 
 
 @query("WITH " + tracking_sql.facts_sql() + f""", t AS (SELECT site, 'ga4' AS platform, '{cases.GA}' AS id, list_filter([CASE WHEN app_g THEN 'app_pixel' END, CASE WHEN container THEN 'gtm_container' END, CASE WHEN home AND ga_script THEN 'theme_code' END], lambda x: x IS NOT NULL) AS install_via, 'on_page' AS badge FROM f WHERE s_ga4
@@ -131,7 +138,7 @@ def q58_tracking_findings(spark, d):
  UNION ALL SELECT site, 'meta', NULL, list_filter([CASE WHEN cust_m THEN 'custom_pixel' END, CASE WHEN container THEN 'gtm_container' END], lambda x: x IS NOT NULL), 'inferred' FROM f WHERE cust_m OR container) SELECT * FROM t""")
 def q59_tags(spark, d):
     """Every tag of every store: platform, id, install paths, badge."""
-    _, pages, containers, _, _ = cases.tag_stores(_t(spark, d, "customer"))
+    _, pages, containers, _, _ = cases.tag_stores(_customers(spark, d))
     hits, _ = tracking.hits_of(pages, containers)
     return tags.merge(hits).select("site", "platform", "id", "install_via", "badge")
 
@@ -144,7 +151,7 @@ def q59_tags(spark, d):
  CASE WHEN contains(said, 'customer is responsible') THEN 'customer' WHEN contains(said, 'Free returns') THEN 'store' END AS return_shipping_paid_by FROM t""")
 def q60_policy_terms(spark, d):
     """The terms that matter in every store's policies."""
-    p = cases.pieces(_t(spark, d, "customer")).selectExpr("site", "refund || shipping || faq AS said")
+    p = cases.pieces(_customers(spark, d)).selectExpr("site", "refund || shipping || faq AS said")
     terms = p.select("site", text.key_terms(text.long_sentences("said")).alias("t"))
     return terms.select("site", *[F.try_element_at("t", F.lit(k)).alias(k) for k in ("return_days", "free_shipping_over", "restocking_fee_pct", "return_shipping_paid_by")])
 
@@ -157,7 +164,7 @@ _DATED = "'Last updated: 2026-01-02' || chr(10) || '  ' || refund || '  as of 20
  SELECT site, sha256(array_to_string(ks, chr(10))) AS sha256 FROM k""")
 def q61_policy_digests(spark, d):
     """Digest of each policy without dates and formatting."""
-    p = cases.pieces(_t(spark, d, "customer")).selectExpr("site", f"{_DATED} AS said")
+    p = cases.pieces(_customers(spark, d)).selectExpr("site", f"{_DATED} AS said")
     return p.select("site", text.sha_text(text.policy_text("said")).alias("sha256"))
 
 
@@ -165,7 +172,7 @@ def q61_policy_digests(spark, d):
  array_to_string(list_concat(CASE WHEN contains(refund, 'Acme Trading Ltd') THEN ['acme trading'] ELSE []::VARCHAR[] END, CASE WHEN contains(contact, 'Zeta Goods') THEN ['zeta goods'] ELSE []::VARCHAR[] END), ';') AS plain FROM w""")
 def q62_company_names(spark, d):
     """Company names in every store's texts, as written and for comparison."""
-    p = cases.pieces(_t(spark, d, "customer")).selectExpr("site", "refund || contact AS said").withColumn("n", text.legal_names("said"))
+    p = cases.pieces(_customers(spark, d)).selectExpr("site", "refund || contact AS said").withColumn("n", text.legal_names("said"))
     return p.select("site", F.array_join("n", ";").alias("names"), F.array_join(F.transform("n", lambda n: text.norm_legal(n)), ";").alias("plain"))
 
 
@@ -182,6 +189,6 @@ def q63_next_snapshot_ids(spark, d):
  FROM (SELECT *, try_cast(regexp_extract(refund, 'within ([0-9]+) days of', 1) AS INT) AS main FROM w)) SELECT site, main AS days, claimed FROM m""")
 def q64_return_windows(spark, d):
     """The return window each policy states and those its pages promise."""
-    p = cases.pay_pieces(_t(spark, d, "customer"))
+    p = cases.pay_pieces(_customers(spark, d))
     claimed = F.concat(text.page_return_claims("home_said"), text.page_return_claims("faq"))
     return p.select("site", F.try_element_at(text.return_windows("refund"), F.lit(1)).alias("days"), claimed.alias("claimed"))

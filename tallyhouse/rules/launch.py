@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import html, text as T, urls
 from ..operators import claims as C
 from ..operators import markets as M
-from ..plans.staging import cut
+from ..plans.staging import cut, once
 from .engine import Verdict, choose, dimension, evaluate
 
 #: Id, level, markets, badge, sources, flags.
@@ -232,6 +232,11 @@ def parse(pages: DataFrame) -> DataFrame:
 
 def page_flags(p: DataFrame) -> DataFrame:
     """One row for each parsed page: its flags and short strings, no source text."""
+    return p.select("site", "pos", "role", "name", "url", "result", *flag_columns())
+
+
+@once
+def flag_columns() -> list[Column]:
     role, name = F.col("role"), F.col("name")
     t, src = F.coalesce("home_text", "said"), F.col("src")
     policy = lambda *n: (role == "policy") & name.isin(*n)
@@ -289,7 +294,7 @@ def page_flags(p: DataFrame) -> DataFrame:
         "product_map": (role == "sitemap") & has(t, "product"), "canonical": F.when(role == "market_home", html.canonical("html")), "money": F.when(role == "market_home", M.shown_currency("html")),
         "untranslated": (role == "market_home") & (src != "") & ~code_lang.isin("en", "x") & untranslated, "translatable": (role == "market_home") & (src != "") & ~code_lang.isin("en", "x"),
     }
-    return p.select("site", "pos", "role", "name", "url", "result", *[v.alias(k) for k, v in flags.items()])
+    return [v.alias(k) for k, v in flags.items()]
 
 
 def texts_of(p: DataFrame) -> DataFrame:
@@ -333,26 +338,19 @@ def product_facts(products: DataFrame) -> DataFrame:
     )
 
 
-def site_facts(sites: DataFrame, pages: DataFrame, products: DataFrame) -> DataFrame:
-    """One row for each site with all that the rules ask for, written to the
-    shared folder: findings, softening and status read it."""
-    parsed = parse(pages)
-    flags = page_flags(parsed)
-    # of several pages for one policy the longest counts, the first of equals
-    best = Window.partitionBy("site", "role", "name").orderBy(F.desc("n_chars"), "pos")
-    flags = flags.withColumn("best", F.when(F.col("role") == "policy", F.row_number().over(best)).otherwise(1)).where("best = 1")
+@once
+def gathered_columns() -> list[Column]:
+    """What the flags of a site's pages come to."""
     role, name = F.col("role"), F.col("name")
     any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     policy = lambda n: (role == "policy") & (name == n)
     pdp = (role == "pdp") & (F.coalesce("result", F.lit("ok")) != "js_rendered")
-    stock = products.select("site", F.col("handle").alias("name"), "in_stock").groupBy("site", "name").agg(F.bool_or("in_stock").alias("stocked"))
-    flags = flags.join(stock, ["site", "name"], "left")
     region = M.region_of(name)
     market = role.isin("market_home", "market_policy")
     want = M.currency(region)
     wrong_money = (role == "market_home") & F.col("money").isNotNull() & (F.col("money") != want)
     euro = M.groups(F.array(region))
-    agg = [
+    return [
         any_((role == "home") & F.col("has_html")).alias("has_home"), any_(F.col("has_text") | F.col("has_html")).alias("has_any"), F.max(F.when(role == "home", F.col("url"))).alias("home_url"),
         *[any_(policy(n) & F.col("has_text")).alias(f"text_{n}") for n in POLICIES], *[F.max(F.when(policy(n), F.col("url"))).alias(f"url_{n}") for n in POLICIES],
         *[F.max(F.when(policy(n), F.col("result"))).alias(f"result_{n}") for n in POLICIES], F.count_if(role == "policy").alias("n_policies"),
@@ -376,14 +374,28 @@ def site_facts(sites: DataFrame, pages: DataFrame, products: DataFrame) -> DataF
         any_((role == "robots") & F.col("has_text")).alias("robots_read"), F.max(F.when(role == "robots", F.col("result"))).alias("robots_result"),
         any_((role == "sitemap") & F.col("has_text")).alias("sitemap_read"), F.max(F.when(role == "sitemap", F.col("result"))).alias("sitemap_result"),
     ]
-    gathered = flags.groupBy("site").agg(*agg)
+
+
+def site_facts(sites: DataFrame, pages: DataFrame, products: DataFrame) -> DataFrame:
+    """One row for each site with all that the rules ask for, written to the
+    shared folder: findings, softening and status read it."""
+    parsed = parse(pages)
+    flags = cut(page_flags(parsed), "flags")
+    # of several pages for one policy the longest counts, the first of equals
+    best = Window.partitionBy("site", "role", "name").orderBy(F.desc("n_chars"), "pos")
+    flags = flags.withColumn("best", F.when(F.col("role") == "policy", F.row_number().over(best)).otherwise(1)).where("best = 1")
+    role = F.col("role")
+    stock = products.select("site", F.col("handle").alias("name"), "in_stock").groupBy("site", "name").agg(F.bool_or("in_stock").alias("stocked"))
+    flags = flags.join(stock, ["site", "name"], "left")
+    gathered = flags.groupBy("site").agg(*gathered_columns())
     versions = flags.where("role in ('home', 'market_home') and has_html").select("site", F.when(role == "home", 0).otherwise(F.col("pos") + 1).alias("pos"), "url", "pairs")
     wrong = M.hreflang_problems(versions).groupBy("site").agg(F.count(F.lit(1)).alias("n_hreflang_problems"))
     blocked = blocks_everything(pages)
-    claims = claim_facts(C.extract(texts_of(parsed).withColumnRenamed("ord", "o"), ("site", "o")).withColumnRenamed("o", "ord"))
+    claims = claim_facts(cut(C.extract(texts_of(parsed).withColumnRenamed("ord", "o"), ("site", "o")).withColumnRenamed("o", "ord"), "said"))
     out = sites
-    for part in (gathered, wrong, blocked, claims, product_facts(products)):
-        out = out.join(part, "site", "left")
+    # each part is written before they meet: plans of this width cost more to optimise anew after each shuffle than their few rows to write
+    for part, label in ((gathered, "gathered"), (wrong, "annotations"), (blocked, "robots"), (claims, "claims"), (product_facts(products), "products")):
+        out = out.join(cut(part, label), "site", "left")
     flagged = [f.name for f in out.schema if f.dataType.simpleString() == "boolean" and f.name not in ("https_redirect",)]
     out = out.withColumns({c: F.coalesce(c, F.lit(False)) for c in flagged})
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_products", "n_test", "n_hreflang_problems", "n_pdp", "n_live_pdp", "n_no_cart", "n_sold_out", "n_text_pdp", "n_markets", "n_policies")})
@@ -412,6 +424,7 @@ def blocks_everything(pages: DataFrame) -> DataFrame:
     return runs.blocks_all(runs.robots_rules(files, keys=("site",)), keys=("site",))
 
 
+@once
 def verdicts() -> dict[str, Verdict]:
     """The verdict of every rule over the columns of ``site_facts``."""
     c = F.col
