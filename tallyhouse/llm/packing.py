@@ -57,8 +57,9 @@ class Encoder:
     Where the tokenizer drops white space and never joins across it, the ids of a
     text are those of its pieces in turn. A column is split and
     dictionary-encoded by Arrow, each distinct piece is looked up or encoded
-    once, and one gather lays out the ids of all texts. Three things are probed
-    when the tokenizer is loaded: that it goes by pieces (else texts go whole);
+    once, and one gather lays out the ids of all texts. Four things are probed
+    when the tokenizer is loaded: that it lower-cases A-Z (else case is kept);
+    that it goes by pieces (else texts go whole);
     that it splits between an ASCII letter or digit and a mark (then these are
     split too, so that a word and its punctuation are known apart); and that
     words of plain lower-case letters, which normalisation leaves alone, can go
@@ -77,6 +78,11 @@ class Encoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # texts are lower-cased here only if the tokenizer does so itself, letter by letter
+        upper = "".join(map(chr, range(65, 91)))
+        same = [(upper, upper.lower()), *((c + d, (c + d).lower()) for c in upper for d in upper + upper.lower())]
+        norm = self.tokenizer.normalizer
+        self.by_case = norm is not None and all(norm.normalize_str(x) == norm.normalize_str(y) for x, y in same) and self._ids(f"{upper} a{upper}") == self._ids(f"{upper} a{upper}".lower())
         self.by_piece = all(
             self._ids(gap + gap.join(_PROBES) + gap) == [i for p in _PROBES for i in self._ids(p)] for gap in (" ", "\n", "\t ", "\r\n\x0b\x0c")
         )
@@ -208,6 +214,7 @@ class Encoder:
             whole = np.any([np.zeros(len(texts), bool), *special], axis=0)
         else:
             whole = np.ones(len(texts), bool)
+        low = low if self.by_case else texts
         if whole.any():
             low = pc.if_else(pa.array(whole), "", low)
         split = pc.ascii_split_whitespace(self._spread(low) if self.by_mark else low)

@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -94,3 +95,16 @@ def test_query_against_the_tokenizer(spark, tokenizer):
             assert (r.start, r.length, r.ids_crc32) == (at, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
             pieces += 1
     assert pieces == len(got)
+
+
+def test_case_is_kept_where_the_tokenizer_keeps_it(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    for normalizer, want in ((None, [2, 3]), (normalizers.Lowercase(), [3, 3])):
+        own = Tokenizer(models.WordLevel({"[UNK]": 0, "end": 1, "House": 2, "house": 3}, unk_token="[UNK]"))
+        own.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        if normalizer:
+            own.normalizer = normalizer
+        own.save(str(tmp_path / f"{want[0]}.json"))
+        got = packing.Encoder(str(tmp_path / f"{want[0]}.json")).encode(pa.array(["House house", None]))
+        assert [x.tolist() for x in got] == [[*want, packing.END_ID], [packing.END_ID]]
