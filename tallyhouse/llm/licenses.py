@@ -96,6 +96,8 @@ TEMPLATES = (
      distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
 )
 CONTAINMENT = 0.8
+#: Words of a text that are handled as one row.
+STRETCH = 2048
 #: Words of a block for each word of its template.
 SPREAD = 1.5
 BREAKS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -183,11 +185,15 @@ def template_links(kept: DataFrame, key_cols: list[str], templates: Templates) -
     sets = F.broadcast(spark.createDataFrame(templates.rows, "template int, label string, own array<string>, size int, need int, width int"))
     heads = F.broadcast(spark.createDataFrame(templates.heads, "word string, template int, at int"))
     wanted = F.array(*[F.lit(w) for w in templates.words()])
-    anchors = F.filter(F.transform("tokens", lambda w, i: F.struct(w.alias("word"), i.alias("pos"))), lambda x: F.array_contains(wanted, x["word"]))
-    rows = kept.where("tokens is not null").select(*key_cols, "tokens", F.explode(anchors).alias("a")).select(*key_cols, "tokens", "a.word", "a.pos")
+    # stretches of a text, each with what a block can reach beyond it: a row of an anchor carries no more than that
+    reach = max((r[5] for r in templates.rows), default=1)
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size("tokens") - 1, F.lit(0)), F.lit(STRETCH)), lambda b: F.struct(b.alias("core"), F.greatest(b - reach, F.lit(0)).alias("base")))
+    rows = kept.where("tokens is not null").select(*key_cols, F.explode(F.transform(cut, lambda c: F.struct(c["core"].alias("core"), c["base"].alias("base"), F.slice("tokens", c["base"] + 1, c["core"] - c["base"] + STRETCH + reach).alias("part")))).alias("s")).select(*key_cols, "s.*")
+    places = F.transform(F.slice("part", F.col("core") - F.col("base") + 1, STRETCH), lambda w, i: F.struct(w.alias("word"), (F.col("core") + i).alias("pos")))
+    rows = rows.select(*key_cols, "base", "part", F.explode(F.filter(places, lambda x: F.array_contains(wanted, x["word"]))).alias("a")).select(*key_cols, "base", "part", "a.word", "a.pos")
     rows = rows.join(heads, "word").join(sets, "template")
     begin = F.greatest(F.col("pos") - F.col("width") + 1, F.lit(0))
-    rows = rows.withColumn("begin", begin).withColumn("around", F.slice("tokens", F.col("begin") + 1, F.col("pos") - F.col("begin") + F.col("width"))).drop("tokens")
+    rows = rows.withColumn("begin", begin).withColumn("around", F.slice("part", F.col("begin") - F.col("base") + 1, F.col("pos") - F.col("begin") + F.col("width"))).drop("part")
     rows = rows.withColumn("present", F.array_intersect("own", "around")).where(F.size("present") >= F.col("need"))
     # the word that brought the block in is the rarest of those it holds
     rows = rows.where((F.col("word") == F.element_at("present", 1)) & (F.col("size") - F.col("at") >= F.col("need")))
@@ -216,7 +222,7 @@ def scan(
     base = stage(base.drop("_spaced").withColumn("_row", F.monotonically_increasing_id()), "licences")
     links = template_links(base.select("_row", "tokens"), ["_row"], table)
     place = lambda x: F.struct(x["containment"].alias("c"), x["block"].alias("b"), (x["block"] + x["n_block"]).alias("e"), x["label"].alias("l"))
-    spots = links.groupBy("_row", "template", (F.col("block") / F.col("n_block")).cast("int").alias("_region")).agg(F.max_by(F.struct("containment", "block", "n_block", "label"), "containment").alias("x"))
+    spots = links.groupBy("_row", "template", (F.col("block") / F.col("n_block")).cast("int").alias("_region")).agg(F.max_by(F.struct("containment", "block", "n_block", "label"), F.struct("containment", -F.col("block"))).alias("x"))
     spots = spots.groupBy("_row").agg(F.collect_list(place(F.col("x"))).alias("_all"))
     # where blocks of several templates meet, those held best name the place
     named = F.filter("_all", lambda x: ~F.exists("_all", lambda y: (y["c"] > x["c"]) & (y["b"] < x["e"]) & (x["b"] < y["e"])))

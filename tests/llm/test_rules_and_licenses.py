@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tallyhouse.llm import licenses, linerules, queries
 
 SF = "/root/testdata/sf0.001"
@@ -124,3 +126,14 @@ def test_places_inside_one_another_all_count(spark):
 def test_licenses_query_against_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     check_licenses(rows, queries.op8_license_set_join(spark, SF))
+
+
+def test_ties_and_long_texts_do_not_depend_on_the_order_of_rows(spark):
+    notice = licenses.TEMPLATES[0][1]
+    twice = f"{notice} and so on {notice}"
+    long = " ".join(f"w{i}" for i in range(5000)) + f" {notice} " + " ".join(f"x{i}" for i in range(3000))
+    rows = [(1, twice), (2, long), (3, twice), (4, " ".join(notice.split()[3:]) + " " + " ".join(notice.split()[:-3]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shown = [sorted(map(tuple, licenses.scan(d).collect())) for d in (df.coalesce(1), df.orderBy(F.desc("doc_id")).repartition(3), df.repartition(2))]
+    assert shown[0] == shown[1] == shown[2]
+    assert all(licenses.TEMPLATES[0][0] in r[6] for r in shown[0][:3])
