@@ -35,6 +35,8 @@ from .common import bound_batches, stage
 
 #: Turns of a conversation, or ids that end in a node, that are handled together.
 BLOCK = 4096
+#: A node with more than one in so many nodes right below it is met by a broadcast.
+HEAVY = 1000
 #: Words are runs of other characters than these.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -249,13 +251,17 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame | None = None, size:
     below = own.union(after).select("depth", "digest", F.sum("saved").over(down).alias("saved"), F.sum("leaves").over(down).alias("leaves")).where("digest is not null")
 
     tops = chains.where("top > 1").select(F.col("top").alias("depth"), "digest", F.expr("top - 1 up"), "parent")
-    over = nodes.select(F.col("depth").alias("up"), F.col("digest").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
+    over = nodes.where("n_children > 0").select(F.col("depth").alias("up"), F.col("digest").alias("parent"), F.col("conv_id").alias("parent_conv_id"), "n_children")
+    # nodes with over a thousandth of all nodes below them are fewer than a thousand: those are broadcast
+    often = F.col("n_children") * HEAVY > nodes.count()
+    heavy = F.broadcast(over.where(often).drop("n_children"))
+    up = tops.join(heavy, ["up", "parent"]).unionByName(tops.join(heavy, ["up", "parent"], "left_anti").join(over.where(~often).drop("n_children"), ["up", "parent"]))
     ends = rows.groupBy("conv_id").agg(F.max(F.struct("depth", "digest")).alias("end")).select("end.depth", "end.digest", "conv_id")
 
     facts = (
         _facts(nodes, conv_id="conv_id", n_convs="n_convs", n_children="n_children")
         .union(_facts(above, leaves="leaves", saved="saved")).union(_facts(below, leaves="leaves", saved="saved"))
-        .union(_facts(tops.join(over, ["up", "parent"]), parent_conv_id="parent_conv_id"))
+        .union(_facts(up, parent_conv_id="parent_conv_id"))
         .union(_facts(end_digests(ends, size), ends_sha256="ends_sha256"))
     )
     found = facts.groupBy("depth", "digest").agg(
