@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import catalogue, product_pages
+from .operators import catalogue, product_pages, store_signals
 from .queries import _t, query
 
 # -- product pages --------------------------------------------------------------
@@ -75,3 +75,70 @@ def q66_sampled_page_prices(spark, d):
         F.count(F.lit(1)).alias("n"), q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"), F.count_if("available").alias("available"),
         F.count_if(F.col("compare_at_price") > F.col("price")).alias("on_sale"),
     )
+
+
+# -- store signals ----------------------------------------------------------------
+
+#: (piece of source, page it stands on, condition over a customer's number).
+_SHOWN = (
+    ("<script src=\"//cdn.JudgeMe.example\"></script>", "home", "c_custkey % 3 = 0"), ("<a href=\"https://judge.me/x\">", "product", "c_custkey % 4 = 0"), ("loyalty.yotpo.com", "home", "c_custkey % 5 = 1"),
+    ("https://static.klaviyo.com/onsite/js/klaviyo.js", "product", "c_custkey % 2 = 0"), ("fbq(1)", "home", "c_custkey % 6 = 0"), ("<div id=\"__NEXT_DATA__\">", "home", "c_custkey % 7 = 0"),
+    ("<form action=\"/de/localization\">", "home", "c_custkey % 4 = 1"), ("bc-sf-filter and GTM-X1", "product", "c_custkey % 9 = 2"),
+)
+
+
+def _signal_pages(spark: SparkSession, d: str) -> DataFrame:
+    def page(name: str) -> str:
+        return " || ".join(["'<html>'", *(f"CASE WHEN {cond} THEN '{text}' ELSE '' END" for text, where, cond in _SHOWN if where == name)])
+
+    made = f"array(struct(0 AS pos, 'home' AS source, {page('home')} AS html), struct(1 AS pos, 'product' AS source, {page('product')} AS html), struct(2 AS pos, 'cart' AS source, CAST(NULL AS STRING) AS html))"
+    return _t(spark, d, "customer").selectExpr("c_custkey AS site", f"explode({made}) AS p").select("site", "p.*")
+
+
+@query("""WITH c AS (SELECT c_custkey AS site, c_custkey AS k FROM customer), s AS (
+ SELECT site, 'app' AS kind, 'Judge.me' AS name, CASE WHEN k % 3 = 0 THEN 'judgeme' ELSE 'judge.me' END AS pattern, CASE WHEN k % 3 = 0 THEN 'home' ELSE 'product' END AS source, CASE WHEN k % 3 = 0 THEN 0 ELSE 100 END AS o FROM c WHERE k % 3 = 0 OR k % 4 = 0
+ UNION ALL SELECT site, 'app', 'Yotpo', 'yotpo.com', 'home', 1 FROM c WHERE k % 5 = 1 UNION ALL SELECT site, 'app', 'Yotpo Loyalty (Swell)', 'loyalty.yotpo.com', 'home', 24 FROM c WHERE k % 5 = 1
+ UNION ALL SELECT site, 'app', 'Klaviyo', 'klaviyo.com', 'product', 107 FROM c WHERE k % 2 = 0 UNION ALL SELECT site, 'tracking', 'klaviyo', 'static.klaviyo.com', 'product', 107 FROM c WHERE k % 2 = 0
+ UNION ALL SELECT site, 'tracking', 'meta_pixel', 'fbq(', 'home', 0 FROM c WHERE k % 6 = 0 UNION ALL SELECT site, 'framework', 'next.js', '__next_data__', 'home', 0 FROM c WHERE k % 7 = 0
+ UNION ALL SELECT site, 'app', 'Boost Commerce', 'bc-sf-filter', 'product', 136 FROM c WHERE k % 9 = 2 UNION ALL SELECT site, 'tracking', 'gtm', 'gtm-', 'product', 104 FROM c WHERE k % 9 = 2)
+ SELECT site, kind, name, pattern, source, (row_number() OVER (PARTITION BY site, kind ORDER BY o))::INT AS ord FROM s""")
+def q67_store_signals(spark, d):
+    """Apps, tags and frameworks that every store's pages show, by first sight."""
+    return store_signals.store_signals(_signal_pages(spark, d))
+
+
+_THEME = """CASE c_custkey % 4 WHEN 0 THEN '<script>Shopify.theme = {"name":"Dawn","schema_name":"Dawn","schema_version":"15.0","theme_store_id":887,"role":"main","id":' || CAST(c_custkey AS VARCHAR(20)) || '};</script>'
+ WHEN 1 THEN '<script>Shopify.theme = {name: "Own", "role": "main", theme_store_id: null, id: ' || CAST(c_custkey AS VARCHAR(20)) || '};</script>' WHEN 2 THEN '<p>none</p>' END"""
+_META = """CASE WHEN c_custkey % 3 = 0 THEN '{"id":' || CAST(c_custkey AS VARCHAR(20)) || ',"name":"Shop","currency":"EUR","country":"","ships_to_countries":["DE","FR"],"published_products_count":12}' END"""
+_SHOP = """'Shopify.shop = "s' || CAST(c_custkey AS VARCHAR(20)) || '.myshopify.com"; Shopify.country = "CA"; Shopify.currency = {"active":"CAD","rate":"1.0"};'"""
+
+
+@query("""WITH c AS (SELECT c_custkey AS site, c_custkey % 4 AS t, c_custkey % 3 = 0 AS m, c_custkey % 4 <> 3 AS home FROM customer)
+ SELECT site, CASE t WHEN 0 THEN 'Dawn' WHEN 1 THEN 'Own' END AS theme_name, CASE WHEN t = 0 THEN '15.0' END AS schema_version, CASE WHEN t = 0 THEN 887 END::BIGINT AS theme_store_id, CASE WHEN t < 2 THEN site END AS theme_id,
+ CASE WHEN t < 2 THEN 'Shopify.theme' ELSE 'not_observed' END AS theme_source, CASE WHEN m THEN 'Shop' END AS shop_name, CASE WHEN home THEN 's' || site || '.myshopify.com' END AS domain, CASE WHEN m THEN 'EUR' WHEN home THEN 'CAD' END AS currency,
+ CASE WHEN home THEN 'CA' END AS country, CASE WHEN m THEN 2 END::INT AS ships_to_count, CASE WHEN m THEN 'meta.json' WHEN home THEN 'homepage' END AS shop_source, CASE WHEN NOT m AND home THEN 'homepage_Shopify.currency (may be localized)' END AS currency_source FROM c""")
+def q68_store_identity(spark, d):
+    """Theme and shop facts of every store, with where each comes from."""
+    home = f"{_THEME} || {_SHOP}".replace("VARCHAR(20)", "STRING")
+    rows = _t(spark, d, "customer").selectExpr("c_custkey AS site", f"{home} AS home", f"{_META.replace('VARCHAR(20)', 'STRING')} AS meta")
+    read = rows.select("site", store_signals.theme(F.col("home")).alias("t"), store_signals.shop(F.col("meta"), F.col("home")).alias("s"))
+    return read.select(
+        "site", F.col("t.name").alias("theme_name"), "t.schema_version", "t.theme_store_id", F.col("t.id").alias("theme_id"), F.col("t.source").alias("theme_source"), F.col("s.name").alias("shop_name"),
+        F.col("s.myshopify_domain").alias("domain"), "s.currency", "s.country", "s.ships_to_count", F.col("s.source").alias("shop_source"), "s.currency_source",
+    )
+
+
+@query("""WITH r AS (SELECT c_custkey AS site, (2000 + c_custkey % 20) || '-03-01' AS registered, CASE WHEN c_custkey % 2 = 0 THEN '2030-01-01' END AS expires, 'Names Inc' AS registrar FROM customer WHERE c_custkey % 3 <> 0),
+ a AS (SELECT o_custkey AS site, strftime(o_orderdate, '%Y%m%d') AS stamp FROM orders), y AS (SELECT site, stamp[1:4] AS year, count(*) AS n, min(stamp) AS first FROM a GROUP BY 1, 2),
+ w AS (SELECT site, min(first)[1:4] || '-' || min(first)[5:6] AS first_capture, string_agg(year || ':' || n, ',' ORDER BY year) AS by_year FROM y GROUP BY 1)
+ SELECT coalesce(r.site, w.site) AS site, registered, expires, registrar, first_capture, by_year, first_capture < registered[1:7] AS conflict FROM r FULL JOIN w ON r.site = w.site""")
+def q69_offsite(spark, d):
+    """What a registry and an archive say of every store, and where they clash."""
+    json = """concat('{"events":[{"eventAction":"Registration","eventDate":"', 2000 + c_custkey % 20, '-03-01T00:00:00Z"}', if(c_custkey % 2 = 0, ',{"eventAction":"expiration","eventDate":"2030-01-01"}', ''),
+      '],"entities":[{"roles":["abuse"]},{"roles":["registrar"],"vcardArray":["vcard",[["version",{},"text","4.0"],["fn",{},"text","Names Inc"]]]}]}')"""
+    rdap = _t(spark, d, "customer").where("c_custkey % 3 <> 0").selectExpr("c_custkey AS site", f"{json} AS content")
+    stamp = F.date_format("o_orderdate", "yyyyMMdd")
+    rows = _t(spark, d, "orders").select(F.col("o_custkey").alias("site"), F.to_json(F.array(F.array(F.lit("timestamp")), F.array(stamp, F.lit("200")))).alias("content"))
+    found = store_signals.offsite(rdap, rows)
+    by_year = F.array_join(F.transform(F.map_entries("captures_by_year"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return found.select("site", "registered", "expires", "registrar", "first_capture", by_year.alias("by_year"), "conflict")
