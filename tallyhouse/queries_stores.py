@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import catalogue, product_pages, store_signals
+from .operators import catalogue, fee_table, product_pages, store_signals
 from .queries import _t, query
 
 # -- product pages --------------------------------------------------------------
@@ -142,3 +142,45 @@ def q69_offsite(spark, d):
     found = store_signals.offsite(rdap, rows)
     by_year = F.array_join(F.transform(F.map_entries("captures_by_year"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
     return found.select("site", "registered", "expires", "registrar", "first_capture", by_year.alias("by_year"), "conflict")
+
+
+# -- published fees -----------------------------------------------------------------
+
+_ASKS = {
+    "key": "c_custkey", "provider": "CASE c_custkey % 6 WHEN 0 THEN 'shopify_payments' WHEN 1 THEN 'stripe' WHEN 2 THEN 'paypal_us' WHEN 3 THEN 'paypal_cn' WHEN 4 THEN 'paypal_eu' ELSE 'other' END",
+    "market": "CASE c_custkey % 5 WHEN 0 THEN 'EU-DE' WHEN 1 THEN 'CN' WHEN 2 THEN 'CA' ELSE 'US' END", "plan": "CASE c_custkey % 7 WHEN 0 THEN 'basic' WHEN 1 THEN 'grow' WHEN 2 THEN 'advanced' WHEN 3 THEN 'plus' WHEN 4 THEN 'custom' END",
+    "currency": "CASE WHEN c_custkey % 4 = 0 THEN 'EUR' ELSE 'USD' END", "days": "c_custkey % 300",
+}
+_ASKED = ", ".join(f"{sql} AS {name}" for name, sql in _ASKS.items())
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    asks = _t(spark, d, "customer").selectExpr(*[f"{sql} AS {name}" for name, sql in _ASKS.items()])
+    return asks.withColumn("day", F.expr("date_add(date'2026-10-20', int(days))"))
+
+
+@query(f"""WITH a AS (SELECT {_ASKED} FROM customer), b AS (SELECT *, days - 7 AS age, CASE WHEN plan IN ('grow', 'advanced', 'plus') THEN plan ELSE 'basic' END AS tier FROM a),
+ e AS (SELECT *, CASE WHEN days < 7 THEN NULL WHEN provider = 'shopify_payments' AND market = 'US' THEN 'shopify-payments-us-online-standard-' || tier WHEN provider = 'stripe' AND market = 'US' THEN 'stripe-us-domestic' WHEN provider = 'stripe' AND market = 'EU-DE' THEN 'stripe-ie-standard-eea'
+  WHEN provider = 'paypal_us' AND market = 'US' THEN 'paypal-us-checkout' WHEN provider = 'paypal_cn' THEN 'paypal-cn-cross-border' WHEN provider = 'paypal_eu' AND market = 'EU-DE' THEN 'paypal-de-checkout' END AS entry FROM b)
+ SELECT key, entry, (CASE provider WHEN 'shopify_payments' THEN CASE tier WHEN 'basic' THEN 2.9 WHEN 'grow' THEN 2.7 WHEN 'advanced' THEN 2.5 ELSE 2.25 END WHEN 'stripe' THEN CASE market WHEN 'US' THEN 2.9 ELSE 1.5 END WHEN 'paypal_us' THEN 3.49 WHEN 'paypal_cn' THEN 4.4 ELSE 2.99 END)::DECIMAL(9,4) AS pct,
+ (CASE entry WHEN 'stripe-ie-standard-eea' THEN 0.25 WHEN 'paypal-us-checkout' THEN 0.49 WHEN 'paypal-de-checkout' THEN 0.39 ELSE 0.3 END)::DECIMAL(12,2) AS fixed, CASE WHEN age > 180 THEN 'inferred' ELSE 'verified' END AS badge, CASE WHEN age > 180 THEN 'downgrade' WHEN age > 90 THEN 'warn' END AS stale
+ FROM e WHERE entry IS NOT NULL AND currency = CASE WHEN entry IN ('stripe-ie-standard-eea', 'paypal-de-checkout') THEN 'EUR' ELSE 'USD' END""")
+def q70_payment_fee_lookups(spark, d):
+    """The payment fee of every asked-for provider, market and plan on its day."""
+    return fee_table.payment_fees(_asked(spark, d), fee_table.fee_table(spark))
+
+
+@query(f"""WITH a AS (SELECT {_ASKED} FROM customer), p AS (SELECT key, (CASE WHEN market = 'US' THEN CASE plan WHEN 'basic' THEN 39 WHEN 'grow' THEN 105 WHEN 'advanced' THEN 399 WHEN 'plus' THEN 2300 END END)::DECIMAL(12,2) AS monthly,
+  (CASE plan WHEN 'basic' THEN 2 WHEN 'grow' THEN 1 WHEN 'advanced' THEN 0.6 WHEN 'plus' THEN 0.2 END)::DECIMAL(9,4) AS third_party_pct FROM a WHERE days >= 7 AND plan IN ('basic', 'grow', 'advanced', 'plus')),
+ h AS (SELECT key, CASE WHEN provider = 'shopify_payments' THEN 'fx:' || CASE market WHEN 'US' THEN '1.5' ELSE '2.0' END || ',international:1.0' WHEN provider = 'stripe' AND market = 'US' THEN 'fx:1.0,international:1.5' WHEN provider = 'paypal_us' THEN 'fx:3.0,international:1.5' WHEN provider = 'paypal_cn' THEN 'fx:3.5' END AS hints,
+  CASE provider WHEN 'shopify_payments' THEN 'refund-shopify-payments-card-fee' WHEN 'stripe' THEN 'refund-stripe-fee' WHEN 'paypal_us' THEN 'refund-paypal-us-fee' END AS rule FROM a WHERE days >= 7)
+ SELECT a.key, monthly, CASE WHEN monthly IS NOT NULL THEN 'USD' END AS plan_currency, third_party_pct, hints, rule FROM a LEFT JOIN p USING (key) LEFT JOIN h USING (key)""")
+def q71_plan_fees_and_hints(spark, d):
+    """Plan and third-party fees, surcharge hints and refund rules of every setup."""
+    asked, table = _asked(spark, d), fee_table.fee_table(spark)
+    said = F.concat_ws(":", "hint", F.format_string("%.1f", F.col("pct").cast("double")))
+    hints = fee_table.surcharge_hints(asked, table).groupBy("key").agg(F.array_join(F.array_sort(F.collect_list(said)), ",").alias("hints"))
+    out = asked.select("key")
+    for part in (fee_table.plan_fees(asked, table), hints, fee_table.refund_rules(asked, table)):
+        out = out.join(part, "key", "left")
+    return out
