@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import catalogue, fee_table, product_pages, store_signals
+from .operators import catalogue, fee_table, input_fields, links, product_pages, store_signals
 from .queries import _t, query
 
 # -- product pages --------------------------------------------------------------
@@ -184,3 +184,64 @@ def q71_plan_fees_and_hints(spark, d):
     for part in (fee_table.plan_fees(asked, table), hints, fee_table.refund_rules(asked, table)):
         out = out.join(part, "key", "left")
     return out
+
+
+# -- links and input sheets ---------------------------------------------------------
+
+_ANCHORS = (
+    ('<a href="https://www.shop.example/pages/returns">Returns &amp; conditions</a>', "k % 2 = 0"), ('<a href="/policies/terms">Terms</a>', "k % 3 = 0"), ('<a href="https://other.example/privacy">Privacy</a>', "k % 2 = 1"),
+    ('<a href="/legal#p">Our privacy</a>', "k % 5 = 0"), ('<a href="mailto:contact@shop.example">Contact</a>', "k % 2 = 1"), ('<a class="x" href="\\/help-center\\/">Questions</a>', "k % 4 = 1"), ("<a href='//shop.example/contact'>Write us</a>", "k % 7 = 0"),
+)
+
+
+@query("""WITH c AS (SELECT c_custkey AS site, c_custkey AS k FROM customer), l AS (SELECT site, 'refund-policy' AS name, 'https://www.shop.example/pages/returns' AS href FROM c WHERE k % 2 = 0
+ UNION ALL SELECT site, 'terms-of-service', '/policies/terms' FROM c WHERE k % 3 = 0 UNION ALL SELECT site, 'privacy-policy', '/legal#p' FROM c WHERE k % 5 = 0
+ UNION ALL SELECT site, 'faq', '/help-center/' FROM c WHERE k % 4 = 1 UNION ALL SELECT site, 'contact', 'https://shop.example/contact' FROM c WHERE k % 7 = 0) SELECT * FROM l""")
+def q72_discovered_links(spark, d):
+    """Where every store's home page links to its policies, contact and help."""
+    source = " || ".join("CASE WHEN " + cond + " THEN '" + text.replace("\\", "\\\\").replace("'", "\\'") + "' ELSE '' END" for text, cond in _ANCHORS)
+    pages = _t(spark, d, "customer").selectExpr("c_custkey AS site", "c_custkey AS k").selectExpr("site", f"{source} AS html")
+    return pages.select("site", F.explode(links.discovered(F.col("html"), F.lit("shop.example"))).alias("l")).select("site", "l.*")
+
+
+@query("""WITH RECURSIVE p AS (SELECT p_partkey % 20 AS site, p_partkey // 20 AS i FROM part), e AS (SELECT site, i, 2 * i + 1 AS j FROM p UNION SELECT site, i, 3 * i + 2 FROM p),
+ w(site, i, d) AS (SELECT site, 0::BIGINT, 0 FROM p WHERE i = 0 UNION SELECT w.site, e.j, d + 1 FROM w JOIN e ON e.site = w.site AND e.i = w.i WHERE d < 6)
+ SELECT site, '/p/' || i AS path, min(d)::INT AS depth FROM w GROUP BY ALL""")
+def q73_crawl_depths(spark, d):
+    """What is reached from every site's first page within six links."""
+    at = "CAST(p_partkey div 20 AS STRING)"
+    link = lambda sql: f"'<a href=\"' || {sql} || '\">x</a>'"
+    made = f"concat({link(chr(39) + '/p/' + chr(39) + ' || CAST(2 * (p_partkey div 20) + 1 AS STRING)')}, {link(chr(39) + 'https://www.s.example/p/' + chr(39) + ' || CAST(3 * (p_partkey div 20) + 2 AS STRING) || ' + chr(39) + '?x=1#y' + chr(39))})"
+    pages = _t(spark, d, "part").selectExpr("p_partkey % 20 AS site", f"'https://s.example/p/' || {at} AS url", f"{made} AS html")
+    graph = links.link_graph(pages)
+    seeds = pages.where("url = 'https://s.example/p/0'").select("site", F.lit("/p/0").alias("path"))
+    return links.reached(graph, seeds, 6)
+
+
+_FIELDS = (
+    ("price", "money", "price"), ("price", "money", "Selling price"), ("price", "money", "售价"), ("refund_pct", "pct", "Refund rate (%)"), ("refund_pct", "pct", "refund-rate%"), ("units", "count", "Units"), ("market", "market", "Market"),
+    ("currency", "currency", "Currency"), ("plan", "choice", "Plan"), ("note", "text", "Note"), ("units", "count", "price"),
+)
+_CHOICES = (("market", "US", "us"), ("market", "US", "United States"), ("market", "UK", "GB"), ("currency", "USD", "usd"), ("currency", "USD", "US dollar"), ("plan", "grow", "grow"), ("plan", "grow", "Shopify (middle)"))
+#: item, value, key, kind, number, choice, issue: one case for each remainder of the row's number.
+_CASES = (
+    ("Selling  Price", "1,234.50", "price", "money", "1234.50", None, None), ("售价：", "-3", "price", "money", "-3", None, "negative"), ("REFUND_RATE %", "120", "refund_pct", "pct", "120", None, "percent_range"), ("units", "2.5", "units", "count", "2.5", None, "not_whole"),
+    ("Market", "united states", "market", "market", None, "US", None), ("market", "eu-de", "market", "market", None, "EU-DE", None), ("Market", "Mars", "market", "market", None, None, "unknown_value"), ("Currency", "US-Dollar", "currency", "currency", None, "USD", None),
+    ("Plan", "shopify middle", "plan", "choice", None, "grow", None), ("Plan", None, "plan", "choice", None, None, None), ("Colour", "red", None, None, None, None, "unknown_field"), (None, "1", None, None, None, None, "unknown_field"), ("price", "many", "price", "money", None, None, "not_a_number"),
+    ("Note", "any text", "note", "text", None, None, None),
+)
+
+
+def _case(column: int, kind: str) -> str:
+    shown = lambda v: "NULL" if v is None else v if kind == "DECIMAL(18,6)" else "'" + v + "'"
+    return f"CAST(CASE l_orderkey % {len(_CASES)} " + " ".join(f"WHEN {i} THEN {shown(c[column])}" for i, c in enumerate(_CASES)) + f" END AS {kind})"
+
+
+@query("SELECT issue, key, kind, choice, number, count(*)::BIGINT AS n FROM (SELECT " + ", ".join(f"{_case(i, k)} AS {n}" for i, k, n in ((2, "VARCHAR", "key"), (3, "VARCHAR", "kind"), (4, "DECIMAL(18,6)", "number"), (5, "VARCHAR", "choice"), (6, "VARCHAR", "issue"))) + " FROM lineitem) GROUP BY ALL")
+def q74_input_fields(spark, d):
+    """Rows of input sheets by field, typed value and issue."""
+    rows = _t(spark, d, "lineitem").selectExpr("l_orderkey AS product", "l_linenumber AS line", f"{_case(0, 'STRING')} AS item", f"{_case(1, 'STRING')} AS value")
+    fields = spark.createDataFrame([(*f, i) for i, f in enumerate(_FIELDS)], "key string, kind string, name string, ord int")
+    choices = spark.createDataFrame([(*c, i) for i, c in enumerate(_CHOICES)], "field string, choice string, name string, ord int")
+    read = input_fields.read_fields(rows, fields, choices)
+    return read.groupBy("issue", "key", "kind", "choice", F.col("number").cast("decimal(18,6)").alias("number")).agg(F.count(F.lit(1)).alias("n"))
