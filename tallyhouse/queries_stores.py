@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import catalogue, fee_table, input_fields, links, product_pages, store_signals
 from .queries import _t, query
+from .sources import pasted
 
 # -- product pages --------------------------------------------------------------
 
@@ -245,3 +246,41 @@ def q74_input_fields(spark, d):
     choices = spark.createDataFrame([(*c, i) for i, c in enumerate(_CHOICES)], "field string, choice string, name string, ord int")
     read = input_fields.read_fields(rows, fields, choices)
     return read.groupBy("issue", "key", "kind", "choice", F.col("number").cast("decimal(18,6)").alias("number")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- pasted files and page roles ------------------------------------------------------
+
+#: name, text, role, handle; the file is there for customers whose number leaves no remainder by the last value.
+_PASTED = (
+    ("Our Refunds.txt", "Send it back", "policy", "refund-policy", 1), ("returns-old.md", "Send it back", "page", "other", 2), ("notes.txt", "We keep your personal data safe", "policy", "privacy-policy", 3), ("a.html", "<p>Delivery takes 5 business days</p>", "policy", "shipping-policy", 2),
+    ("export.csv", "Handle,Title,Variant Price", "products", None, 5), ("other.csv", "a,b", "skipped", None, 4), ("photo.png", "x", "skipped", None, 3), ("start-home.txt", "Welcome", "home", None, 1), ("hours.txt", "Open daily", "page", "other", 7), (".hidden.txt", "refund", None, None, 1),
+    ("faq.text", "Ask", "page", "faq", 6),
+)
+
+
+@query("WITH f AS (" + " UNION ALL ".join(f"SELECT c_custkey AS site, '{n}' AS name, {'NULL' if r is None else repr(r)} AS role, {'NULL' if h is None else repr(h)} AS handle, {len(t)} AS n FROM customer WHERE c_custkey % {m} = 0" for n, t, r, h, m in _PASTED) + """)
+ SELECT site, name, role, handle, CASE role WHEN 'policy' THEN 'policy:' || handle WHEN 'home' THEN 'homepage' WHEN 'page' THEN 'page:' || name ELSE role END AS key, CASE WHEN role = 'skipped' THEN 'skipped' ELSE 'ok' END AS result,
+ CASE WHEN role NOT IN ('products', 'skipped') THEN n END::BIGINT AS chars FROM f WHERE role IS NOT NULL""")
+def q75_pasted_files(spark, d):
+    """What every file that was pasted for a store is."""
+    made = ", ".join(f"CASE WHEN c_custkey % {m} = 0 THEN struct('{n}' AS name, encode('{t}', 'UTF-8') AS content) END" for n, t, _, _, m in _PASTED)
+    files = _t(spark, d, "customer").selectExpr("c_custkey AS site", f"explode(filter(array({made}), x -> x IS NOT NULL)) AS f").select("site", "f.*")
+    return pasted.pasted_files(files).select("site", "name", "role", "handle", "key", "result", F.length("text").cast("long").alias("chars"))
+
+
+_KEPT = (
+    ("policies/refund-policy.html", 10, 2), ("policies/refund-policy.page.html", 20, 3), ("pages/retour.html", 30, 1), ("pages/datenschutz.txt", 5, 4), ("policies/privacy-policy.txt", 0, 5), ("pages/agb.html", 0, 1), ("markets/de/policy.html", 9, 1), ("pages.json", 9, 1), ("_status.json", 9, 1),
+    ("homepage.html", 9, 1), ("pages/impressum.html", 7, 6),
+)
+
+
+@query("""WITH c AS (SELECT c_custkey AS site, c_custkey AS k FROM customer)
+ SELECT site, 'refund-policy' AS policy, CASE WHEN k % 3 = 0 THEN 'policies/refund-policy.page.html' WHEN k % 2 = 0 THEN 'policies/refund-policy.html' ELSE 'pages/retour.html' END AS path, CASE WHEN k % 3 = 0 THEN 20 WHEN k % 2 = 0 THEN 10 ELSE 30 END::BIGINT AS chars FROM c
+ UNION ALL SELECT site, 'privacy-policy', CASE WHEN k % 4 = 0 THEN 'pages/datenschutz.txt' ELSE 'policies/privacy-policy.txt' END, CASE WHEN k % 4 = 0 THEN 5 ELSE 0 END FROM c WHERE k % 4 = 0 OR k % 5 = 0
+ UNION ALL SELECT site, 'legal-notice', 'pages/impressum.html', 7 FROM c WHERE k % 6 = 0""")
+def q76_page_roles(spark, d):
+    """The file that stands for each policy of every store kept without an index."""
+    made = ", ".join(f"CASE WHEN c_custkey % {m} = 0 THEN struct('{p}' AS path, repeat('x', {n}) AS text) END" for p, n, m in _KEPT)
+    files = _t(spark, d, "customer").selectExpr("c_custkey AS site", f"explode(filter(array({made}), x -> x IS NOT NULL)) AS f").select("site", "f.*")
+    index = files.withColumn("r", pasted.file_role(F.col("path"))).where("r is not null").select("site", "path", "text", "r.*")
+    return pasted.assigned(index)
