@@ -127,47 +127,50 @@ def scenario_differences(inputs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return inputs.select(*keys, F.explode(F.array(*cells)).alias("c")).select(*keys, "c.*").where("value <> base")
 
 
-def price_root(columns: list[str], margin: Column, with_ads: bool = True) -> Column:
-    """Price at which the margin after advertising is the given share of net
-    takings. The model is linear in price, so two points give the root; null
-    when a higher price does not help or the root is not positive."""
+def price_block(inputs: DataFrame) -> DataFrame:
+    """Lowest price that loses nothing, price of the target margin, the charm
+    price above it, and the distance of the present price to the floor.
 
-    def f(p: int) -> Column:
-        e = order_economics(columns, F.lit(p).cast(D))
-        return _d((e["cm1"] if with_ads else e["cm0"]) - _d(margin.cast("decimal(18,8)") * e["N"].cast("decimal(18,8)")))
+    The model is linear in price: the margins at two prices, for which the formula
+    stands once, give both roots; null when a higher price does not help or the
+    root is not positive."""
 
-    f1, f2 = f(10), f(100)
-    slope = _d((f2 - f1).cast("decimal(18,8)") / F.lit(90).cast("decimal(18,8)"))
-    root = _d(F.lit(10).cast(D) - F.when(slope > 0, _d(f1.cast("decimal(18,8)") / slope.cast("decimal(18,8)"))))
-    return F.when((slope > 0) & (root > 0), root)
+    def at(price: Column) -> Column:
+        e = order_economics(inputs.columns, price)
+        return F.struct(_d(e["cm1"]).alias("cm1"), _d(e["N"]).alias("n"))
 
+    def root(margin: Column) -> Column:
+        left = lambda i: _d(F.col("_at")[i]["cm1"] - _d(margin.cast("decimal(18,8)") * F.col("_at")[i]["n"].cast("decimal(18,8)")))
+        slope = _d((left(1) - left(0)).cast("decimal(18,8)") / F.lit(90).cast("decimal(18,8)"))
+        found = _d(F.lit(10).cast(D) - F.when(slope > 0, _d(left(0).cast("decimal(18,8)") / slope.cast("decimal(18,8)"))))
+        return F.when((slope > 0) & (found > 0), found)
 
-def price_block(inputs: DataFrame) -> DataFrame:
-    """Lowest price that loses nothing, price of the target margin, the charm
-    price above it, and the distance of the present price to the floor."""
-    margin = number(inputs.columns, "target_margin_pct")
-    floor, target = price_root(inputs.columns, F.lit(0).cast(D)), price_root(inputs.columns, margin)
-    return inputs.withColumns({
-        "floor_raw": floor, "floor": cents_up(floor), "target": cents_up(target), "target_display": charm_price(cents_up(target)),
-        "gap_to_floor": cents_half_up(number(inputs.columns, "price") - cents_up(floor)),
-    })
+    two = inputs.withColumn("_at", F.transform(F.array(F.lit(10).cast(D), F.lit(100).cast(D)), at))
+    roots = two.withColumns({"floor_raw": root(F.lit(0).cast(D)), "_target": root(number(inputs.columns, "target_margin_pct"))})
+    return roots.withColumns({
+        "floor": cents_up("floor_raw"), "target": cents_up("_target"), "target_display": charm_price(cents_up("_target")),
+        "gap_to_floor": cents_half_up(number(inputs.columns, "price") - cents_up("floor_raw")),
+    }).drop("_at", "_target")
 
 
 def sensitivity(inputs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Every numeric input up and down by a tenth, the others as they are:
-    change of cm1, ranked by its larger side, then by field order."""
-    base = order_economics(inputs.columns)["cm1"]
-    cells = []
-    for i, (name, _) in enumerate(INPUTS):
-        if name not in inputs.columns:
-            continue
-        up = order_economics(inputs.columns, scale={name: F.lit("1.1").cast("decimal(4,2)")})["cm1"] - base
-        down = order_economics(inputs.columns, scale={name: F.lit("0.9").cast("decimal(4,2)")})["cm1"] - base
-        cells.append(F.when(F.coalesce(F.col(name).cast("decimal(18,6)"), F.lit(0)) != 0, F.struct(F.lit(name).alias("field"), F.lit(i).alias("ord"), _d(up).alias("up"), _d(down).alias("down"))))
-    rows = inputs.select(*keys, F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c")).select(*keys, "c.*")
-    rows = rows.withColumn("impact", F.greatest(F.abs("up"), F.abs("down"))).where("impact <> 0")
+    change of cm1, ranked by its larger side, then by field order.
+
+    Each trial is a row, so the formula stands once and is compiled once; the rows
+    of a key, two for each input and one for the base, meet once."""
+    names = [(i, n) for i, (n, _) in enumerate(INPUTS) if n in inputs.columns]
+    trial = lambda n, i, x: F.struct(F.lit(n).cast("string").alias("field"), F.lit(i).alias("ord"), F.lit(x).cast("decimal(4,2)").alias("factor"))
+    tried = [F.when(F.coalesce(F.col(n).cast("decimal(18,6)"), F.lit(0)) != 0, trial(n, i, x)) for i, n in names for x in ("1.1", "0.9")]
+    rows = inputs.withColumn("_t", F.explode(F.array_compact(F.array(trial(None, -1, "1"), *tried))))
+    scale = {n: F.when(F.col("_t.field") == n, F.col("_t.factor")).otherwise(F.lit("1").cast("decimal(4,2)")) for _, n in names}
+    rows = rows.select(*keys, "_t.*", _d(order_economics(inputs.columns, scale=scale)["cm1"]).alias("cm1"))
+    base = F.max(F.when(F.col("field").isNull(), F.col("cm1"))).over(Window.partitionBy(*keys))
+    change = lambda x: F.max(F.when(F.col("factor") == F.lit(x).cast("decimal(4,2)"), F.col("change")))
+    sides = rows.withColumn("change", F.col("cm1") - base).where("field is not null").groupBy(*keys, "field", "ord").agg(change("1.1").alias("up"), change("0.9").alias("down"))
+    sides = sides.withColumn("impact", F.greatest(F.abs("up"), F.abs("down"))).where("impact <> 0")
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("impact"), "ord"))
-    return rows.select(*keys, n.alias("rank"), "field", cents_half_up("up").alias("delta_up"), cents_half_up("down").alias("delta_down"), cents_half_up("impact").alias("impact"))
+    return sides.select(*keys, n.alias("rank"), "field", cents_half_up("up").alias("delta_up"), cents_half_up("down").alias("delta_down"), cents_half_up("impact").alias("impact"))
 
 
 def duty_effect(inputs: DataFrame) -> DataFrame:

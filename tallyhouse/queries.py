@@ -441,17 +441,39 @@ def q39_order_economics(spark, d):
     return e.select("p_partkey", money.cents_half_up("m_G").alias("g"), money.cents_half_up("m_V").alias("v"), F.when(F.col("m_cm1") > 0, "gain").otherwise("loss").alias("side"))
 
 
-@query()
+_SHEET = "s AS (SELECT p_partkey, p_retailprice::DECIMAL(18,2)::DOUBLE AS price, p_size * 2.5 AS v FROM part)"
+
+
+@query(f"""WITH {_SHEET}, k AS (SELECT *, 1 / 1.2 - 0.029 AS a, 0.9 / 1.2 - 0.029 AS b FROM s), r AS (SELECT *, (v + 15.5) / a - 5 AS floor_raw, (v + 15.5) / b - 5 AS target_raw FROM k),
+ c AS (SELECT p_partkey, price, (ceil(round(floor_raw * 100, 6)) / 100)::DECIMAL(18,2) AS floor, (ceil(round(target_raw * 100, 6)) / 100)::DECIMAL(18,2) AS target FROM r)
+ SELECT p_partkey, floor, target, (CASE WHEN floor(target) + 0.99 >= target THEN floor(target) + 0.99 ELSE floor(target) + 1.99 END)::DECIMAL(18,2) AS target_display, (price::DECIMAL(18,2) - floor)::DECIMAL(18,2) AS gap_to_floor FROM c""")
 def q40_price_solve(spark, d):
     return profit.price_block(cost_sheet(spark, d)).select("p_partkey", "floor", "target", "target_display", "gap_to_floor")
 
 
-@query()
+def _cm1(**scaled: str) -> str:
+    """The margin of an order of the cost sheet in SQL, some inputs scaled."""
+    x = {"price": "price", "shipping_charged": "5", "vat_pct": "0.2", "product_cost": "v", "fulfil_per_order": "3.2", "payment_pct": "0.029", "payment_fixed": "0.3", "cpa": "12"}
+    x |= {k: f"({x[k]} * {f})" for k, f in scaled.items()}
+    g = f"({x['price']} + {x['shipping_charged']})"
+    return f"{g} / (1 + {x['vat_pct']}) - {x['product_cost']} - {x['fulfil_per_order']} - {g} * {x['payment_pct']} - {x['payment_fixed']} - {x['cpa']}"
+
+
+_TRIED = " UNION ALL ".join(
+    f"SELECT p_partkey, '{n}' AS field, {i} AS o, (({_cm1(**{n: '1.1'})}) - ({_cm1()}))::DECIMAL(28,8) AS up, (({_cm1(**{n: '0.9'})}) - ({_cm1()}))::DECIMAL(28,8) AS down FROM s"
+    for i, n in enumerate(("price", "shipping_charged", "vat_pct", "product_cost", "fulfil_per_order", "payment_pct", "payment_fixed", "cpa"))
+)
+
+
+@query(f"""WITH {_SHEET}, t AS ({_TRIED}), i AS (SELECT *, greatest(abs(up), abs(down)) AS impact FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY impact DESC, o) AS rank FROM i WHERE impact <> 0)
+ SELECT p_partkey, rank::INT AS rank, field, round(up, 2)::DECIMAL(18,2) AS delta_up, round(down, 2)::DECIMAL(18,2) AS delta_down, round(impact, 2)::DECIMAL(18,2) AS impact FROM r WHERE rank <= 3""")
 def q41_sensitivity(spark, d):
     return profit.sensitivity(cost_sheet(spark, d), ("p_partkey",)).where("rank <= 3")
 
 
-@query()
+@query(f"""WITH {_SHEET}, m AS (SELECT p_partkey, (price + 5) / 1.2 - v - 3.5 - (price + 5) * 0.029 AS cm0 FROM s), t AS (SELECT p_partkey, cm0, 'user' AS tier, 12.0 AS cpa FROM m UNION ALL SELECT p_partkey, cm0, 'zero', 0 FROM m
+  UNION ALL SELECT p_partkey, cm0, 'half', cm0 / 2 FROM m WHERE cm0 > 0 UNION ALL SELECT p_partkey, cm0, 'full', cm0 FROM m WHERE cm0 > 0), c AS (SELECT *, cm0 - cpa AS cm1 FROM t)
+ SELECT p_partkey, tier, round(cpa::DECIMAL(28,8), 2)::DECIMAL(18,2) AS cpa, round(cm1::DECIMAL(28,8), 2)::DECIMAL(18,2) AS cm1, CASE WHEN cm1 > 0 THEN ceil(900 / cm1)::BIGINT END AS units FROM c""")
 def q42_break_even(spark, d):
     return profit.break_even(cost_sheet(spark, d), ("p_partkey",))
 
