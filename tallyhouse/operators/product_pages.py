@@ -93,10 +93,12 @@ def nodes(pages: DataFrame) -> DataFrame:
     decoded = F.when(F.try_parse_json("raw").isNull(), F.try_parse_json(html.unescape("raw")))
     rows = docs.withColumn("v", F.coalesce(F.try_parse_json("raw"), decoded)).where("v is not null").select("page", "doc", "v")
     none = F.lit(None).cast("string")
-    rows = rows.withColumn("l0", F.array(F.struct(F.lit("").alias("path"), none.alias("offers_of"), none.alias("variant_of"), F.col("v"))))
-    for depth in range(MAX_DEPTH):
-        rows = rows.withColumn(f"l{depth + 1}", F.flatten(F.transform(f"l{depth}", _below)))
-    objects = F.filter(F.concat(*[F.col(f"l{d}") for d in range(MAX_DEPTH + 1)]), lambda e: F.schema_of_variant(e["v"]).startswith("OBJECT"))
+    root = F.array(F.struct(F.lit("").alias("path"), none.alias("offers_of"), none.alias("variant_of"), F.col("v")))
+    rows = rows.select("page", "doc", F.array().cast(f"array<{_ITEM}>").alias("above"), root.alias("level"))
+    above, level = F.concat("above", "level").alias("above"), F.flatten(F.transform("level", _below)).alias("level")
+    for _ in range(MAX_DEPTH):
+        rows = rows.select("page", "doc", above, level)
+    objects = F.filter(F.concat("above", "level"), lambda e: F.schema_of_variant(e["v"]).startswith("OBJECT"))
     each = rows.select("page", "doc", F.posexplode(F.slice(objects, 1, MAX_NODES)).alias("pos", "e")).select("page", "doc", "pos", "e.*")
     v, at = F.col("v"), lambda c: F.concat(F.col("doc").cast("string"), F.lit(":"), c)
     prices = F.transform(_objects(_get(v, "priceSpecification", "variant")), lambda s: F.struct(F.coalesce(_get(s, "priceType"), F.lit("")).rlike(STRUCK).alias("struck"), money(s, "price").alias("price")))
