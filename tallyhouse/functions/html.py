@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from .text import _col, clean_line
+from .text import _col, clean_line, let
 
 #: Marks of the store platform in page source (lower case).
 PLATFORM_MARKERS = ("cdn.shopify.com", "shopify.theme", "shopify-section", ".myshopify.com", "window.shopify", "shopify-digital-wallet")
@@ -72,9 +72,8 @@ def attributes(tag) -> Column:
         F.zip_with(F.regexp_extract_all(t, F.lit(ATTRIBUTE), F.lit(2)), F.regexp_extract_all(t, F.lit(ATTRIBUTE), F.lit(3)), lambda a, b: F.concat(a, b)),
         F.regexp_extract_all(t, F.lit(ATTRIBUTE), F.lit(4)), lambda a, b: F.concat(a, b),
     )
-    pairs = F.zip_with(names, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    last = lambda pairs: F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(let(F.zip_with(names, values, lambda k, v: F.struct(k.alias("key"), v.alias("value"))), last))
 
 
 def tags(src, tag: str) -> Column:
@@ -111,8 +110,8 @@ def meta(src) -> Column:
     key = lambda a: F.lower(F.coalesce(F.try_element_at(a, F.lit("property")), F.try_element_at(a, F.lit("name"))))
     pairs = F.transform(tags(src, "meta"), lambda a: F.struct(key(a).alias("key"), F.try_element_at(a, F.lit("content")).alias("value")))
     named = F.filter(pairs, lambda p: p["key"].isNotNull() & p["value"].isNotNull())
-    first = F.filter(named, lambda p, i: ~F.exists(F.slice(named, F.lit(1), i), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(first)
+    first = lambda named: F.filter(named, lambda p, i: ~F.exists(F.slice(named, F.lit(1), i), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(let(named, first))
 
 
 def noindex(src) -> Column:

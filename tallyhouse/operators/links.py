@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import html, urls
+from ..functions import html, text, urls
 from ..plans.staging import cut
 
 #: What a link's address or text says of where it leads, in order.
@@ -31,15 +31,15 @@ def page_links(source: Column, host: Column) -> Column:
 def discovered(source: Column, host: Column) -> Column:
     """Array of struct(name, href): the first link of a page for each hint. A link
     on return conditions is none to the terms of service."""
-    found = page_links(source, host)
 
-    def first(name: str, pattern: str) -> Column:
+    def first(found: Column, name: str, pattern: str) -> Column:
         hay = lambda a: F.lower(F.concat_ws(" ", a["href"], a["text"]))
         other = lambda a: F.contains(hay(a), F.lit("condition")) & F.contains(hay(a), F.lit("return")) if name == "terms-of-service" else F.lit(False)
         hits = F.filter(found, lambda a: hay(a).rlike(pattern) & ~other(a))
         return F.struct(F.lit(name).alias("name"), F.try_element_at(hits, F.lit(1))["href"].alias("href"))
 
-    return F.filter(F.array(*[first(n, p) for n, p in LINK_HINTS]), lambda x: x["href"].isNotNull())
+    hinted = lambda found: F.array(*[first(found, n, p) for n, p in LINK_HINTS])
+    return F.filter(text.let(page_links(source, host), hinted), lambda x: x["href"].isNotNull())
 
 
 def link_graph(pages: DataFrame) -> DataFrame:

@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from .operators import fees, markets, sampling, tags
 from .functions import html, text
-from .queries import _t, query
+from .queries import _t, dealt, query
 from .rules import cases, engine, launch, launch_sql, payments, payments_sql, tracking, tracking_sql
 
 
 def _customers(spark: SparkSession, d: str) -> DataFrame:
-    """The customers, dealt evenly before each becomes a store of many pages: a
-    small file would leave all of them to one task."""
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return _t(spark, d, "customer").repartition(parts, "c_custkey")
+    """The customers, each of which becomes a store of many pages."""
+    return dealt(spark, d, "customer", "c_custkey")
 
 
 def launch_facts(spark: SparkSession, d: str) -> DataFrame:

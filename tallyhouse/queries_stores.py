@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import catalogue, fee_table, input_fields, links, product_pages, store_signals
-from .queries import _t, query
+from .queries import _t, dealt, query
 from .sources import pasted
 
 # -- product pages --------------------------------------------------------------
@@ -49,7 +49,7 @@ PRODUCT_PAGES = (
 def _product_pages(spark: SparkSession, d: str) -> DataFrame:
     n = len(PRODUCT_PAGES)
     html = "CASE p_partkey % " + str(n) + " " + " ".join(f"WHEN {i} THEN {_sql(page)}" for i, page in enumerate(PRODUCT_PAGES)) + " END"
-    return _t(spark, d, "part").selectExpr("p_partkey AS page", f"{_H} AS handle", f"{html.replace('VARCHAR(20)', 'STRING')} AS html")
+    return dealt(spark, d, "part", "p_partkey").selectExpr("p_partkey AS page", f"{_H} AS handle", f"{html.replace('VARCHAR(20)', 'STRING')} AS html")
 
 
 _PAGE_FACTS = f"""WITH b AS (SELECT p_partkey AS page, p_partkey % {len(PRODUCT_PAGES)} AS shape, {_H} AS handle, {_N} AS name, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) AS p FROM part),
@@ -201,7 +201,7 @@ _ANCHORS = (
 def q72_discovered_links(spark, d):
     """Where every store's home page links to its policies, contact and help."""
     source = " || ".join("CASE WHEN " + cond + " THEN '" + text.replace("\\", "\\\\").replace("'", "\\'") + "' ELSE '' END" for text, cond in _ANCHORS)
-    pages = _t(spark, d, "customer").selectExpr("c_custkey AS site", "c_custkey AS k").selectExpr("site", f"{source} AS html")
+    pages = dealt(spark, d, "customer", "c_custkey").selectExpr("c_custkey AS site", "c_custkey AS k").selectExpr("site", f"{source} AS html")
     return pages.select("site", F.explode(links.discovered(F.col("html"), F.lit("shop.example"))).alias("l")).select("site", "l.*")
 
 
@@ -213,7 +213,7 @@ def q73_crawl_depths(spark, d):
     at = "CAST(p_partkey div 20 AS STRING)"
     link = lambda sql: f"'<a href=\"' || {sql} || '\">x</a>'"
     made = f"concat({link(chr(39) + '/p/' + chr(39) + ' || CAST(2 * (p_partkey div 20) + 1 AS STRING)')}, {link(chr(39) + 'https://www.s.example/p/' + chr(39) + ' || CAST(3 * (p_partkey div 20) + 2 AS STRING) || ' + chr(39) + '?x=1#y' + chr(39))})"
-    pages = _t(spark, d, "part").selectExpr("p_partkey % 20 AS site", f"'https://s.example/p/' || {at} AS url", f"{made} AS html")
+    pages = dealt(spark, d, "part", "p_partkey").selectExpr("p_partkey % 20 AS site", f"'https://s.example/p/' || {at} AS url", f"{made} AS html")
     graph = links.link_graph(pages)
     seeds = pages.where("url = 'https://s.example/p/0'").select("site", F.lit("/p/0").alias("path"))
     return links.reached(graph, seeds, 6)
