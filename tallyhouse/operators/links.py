@@ -55,10 +55,12 @@ def reached(graph: DataFrame, seeds: DataFrame, rounds: int = 10) -> DataFrame:
     """site, path, depth of every path within ``rounds`` links of the ``seeds`` (site,
     path), by the shortest way.
 
-    One join, one distinct and one anti join a round, each round written once, so
-    the plan stays small and a lost executor costs a round at most; it ends with
-    the first round that finds nothing new.
+    One join, one distinct and one anti join a round, each round and the graph
+    written once, so no round reads pages again, the plan stays small and a lost
+    executor costs a round at most; it ends with the first round that finds nothing
+    new.
     """
+    graph = cut(graph, "graph")
     front = cut(seeds.select("site", "path").distinct().withColumn("depth", F.lit(0)), "round")
     seen = front
     for depth in range(1, rounds + 1):

@@ -17,3 +17,12 @@ def test_links_are_read_once_for_all_hints(spark):
 
 def test_attributes_are_read_once(spark):
     assert expression(spark, html.attributes(F.col("html"))).count("[a-zA-Z_:\\-]+") == 4
+
+
+def test_a_walk_reads_pages_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(links, "cut", lambda df, name: written.append(name) or df)
+    graph = spark.createDataFrame([(1, "/a", "/b"), (1, "/b", "/c")], "site int, path string, target string")
+    seeds = spark.createDataFrame([(1, "/a")], "site int, path string")
+    assert sorted(r.depth for r in links.reached(graph, seeds, 3).collect()) == [0, 1, 2]
+    assert written.count("graph") == 1
