@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, urls
+from ..plans.staging import cut
 
 #: Country, main languages, currency, in the EU.
 COUNTRIES = """
@@ -142,6 +143,8 @@ def hreflang_problems(versions: DataFrame, keys: tuple[str, ...] = ("site",)) ->
     versions of a site (keys, pos, url, pairs; the home page has pos 0). A site
     whose home page has none gives no row."""
     k = list(keys)
+    # every kind of problem reads them: written once, or pages would be made and searched for each
+    versions = cut(versions, "versions")
     home = versions.where("pos = 0").select(*k, urls.norm_url("url").alias("home_url"), "pairs").where(F.size("pairs") > 0)
     v = versions.join(home.select(*k, "home_url"), k).withColumn("page", F.col("url"))
     none = v.where(F.size("pairs") == 0).select(*k, F.lit("missing_on_version").alias("kind"), "page", F.lit(None).cast("string").alias("code"), F.lit("").alias("detail"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import html
-from tallyhouse.operators import links
+from tallyhouse.operators import links, markets
 
 
 def expression(spark, column):
@@ -26,3 +26,11 @@ def test_a_walk_reads_pages_once(spark, monkeypatch):
     seeds = spark.createDataFrame([(1, "/a")], "site int, path string")
     assert sorted(r.depth for r in links.reached(graph, seeds, 3).collect()) == [0, 1, 2]
     assert written.count("graph") == 1
+
+
+def test_versions_are_made_once_for_all_problems(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(markets, "cut", lambda df, name: written.append(name) or df, raising=False)
+    rows = spark.createDataFrame([(1, 0, "https://a.com/", [("jp", "https://a.com/")])], "site int, pos int, url string, pairs array<struct<code:string,href:string>>")
+    assert {r.kind for r in markets.hreflang_problems(rows).collect()} == {"invalid_code", "no_x_default"}
+    assert written == ["versions"]
