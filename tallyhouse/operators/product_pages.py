@@ -155,7 +155,7 @@ def structured_facts(pages: DataFrame) -> DataFrame:
     variant_urls = own.select("page", "owner").join(variants, ["page", "owner"]).join(every.select("page", F.col("node").alias("source"), "urls"), ["page", "source"]).select("page", "owner", "urls")
     seen = own.select("page", "owner", "urls").union(sold.select("page", "owner", "urls")).union(variant_urls)
     want = urls.handle_key("handle")
-    hits = seen.join(pages.select("page", "handle"), "page").where((want != "") & F.exists("urls", lambda u: urls.handle_key(urls.product_handle(u)) == want))
+    hits = seen.join(pages.select("page", "handle").hint("merge"), "page").where((want != "") & F.exists("urls", lambda u: urls.handle_key(urls.product_handle(u)) == want))
     priced = own.select("page", "owner", "pos", "title").join(facts, ["page", "owner"]).join(hits.select("page", "owner").distinct().withColumn("hit", F.lit(True)), ["page", "owner"], "left")
     counts = own.groupBy("page").agg(F.count(F.lit(1)).alias("n_products"))
     each = priced.groupBy("page").agg(F.count(F.lit(1)).alias("n_priced"), F.count("hit").alias("n_hits")).join(counts, "page")

@@ -33,14 +33,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` written once and read from there; it goes when the application ends."""
+    """``df`` written once and read from there; it goes when the application ends.
+
+    Joins with it are dealt by key: Spark judges a written table by the size of its
+    files, and a file of repeated texts is a hundred times as large once a
+    broadcast has it in the driver's memory. A broadcast asked for on the other
+    side, and one that runtime sizes allow elsewhere, still holds."""
     context = df.sparkSession.sparkContext
     own = f"{shared_folder(df.sparkSession)}/tallyhouse-{context.applicationId}"
     path = f"{own}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     folder = context._jvm.org.apache.hadoop.fs.Path(own)
     folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
 
 
 def once(build):

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import html
-from tallyhouse.operators import links, markets
+from tallyhouse.operators import links, markets, product_pages
+from tallyhouse.plans import staging
 
 
 def expression(spark, column):
@@ -34,3 +35,18 @@ def test_versions_are_made_once_for_all_problems(spark, monkeypatch):
     rows = spark.createDataFrame([(1, 0, "https://a.com/", [("jp", "https://a.com/")])], "site int, pos int, url string, pairs array<struct<code:string,href:string>>")
     assert {r.kind for r in markets.hreflang_problems(rows).collect()} == {"invalid_code", "no_x_default"}
     assert written == ["versions"]
+
+
+def test_facts_of_product_pages_are_never_broadcast(spark, monkeypatch):
+    plans = []
+
+    def recorded(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staging.cut(df, name)
+
+    monkeypatch.setattr(product_pages, "cut", recorded)
+    ld = '<script type="application/ld+json">{"@type":"Product","name":"A","offers":{"price":"5"}}</script>'
+    found = product_pages.structured_facts(spark.createDataFrame([(1, "a", ld)], "page int, handle string, html string"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert [r.price for r in found.collect()] == [5.0]
+    assert not [p for p in plans if "Broadcast" in p]
