@@ -56,12 +56,18 @@ TOPICS = ("return_days", "return_start", "refund_days", "delivery_days", "free_t
 def _claim(topic: str, value: Column, kind: Column | None = None) -> Column:
     kind = kind if kind is not None else F.lit(None)
     said = value.cast("string")
-    return F.when(said.isNotNull() & (said != ""), F.struct(F.lit(topic).alias("topic"), said.alias("value"), kind.cast("string").alias("kind")))
+    return T.let(said, lambda x: F.when(x.isNotNull() & (x != ""), F.struct(F.lit(topic).alias("topic"), x.alias("value"), kind.cast("string").alias("kind"))))
 
 
 def sentence_claims(s: Column) -> Column:
     """Array of struct(topic, value, kind) of one sentence."""
-    ret, ref, warranty, processing = s.rlike(RETURN), s.rlike(REFUND), s.rlike(WARRANTY), s.rlike(PROCESS)
+    told = F.struct(s.rlike(RETURN).alias("ret"), s.rlike(REFUND).alias("ref"), s.rlike(WARRANTY).alias("warranty"), s.rlike(PROCESS).alias("processing"))
+    return F.filter(T.let(told, lambda w: _all_claims(s, w)), lambda c: c.isNotNull())
+
+
+def _all_claims(s: Column, told: Column) -> Column:
+    """The claims of each topic, null for none; ``told``: which words are there."""
+    ret, ref, warranty, processing = told["ret"], told["ref"], told["warranty"], told["processing"]
     about = (ret | (ref & ~processing)) & ~(warranty & ~ret)
     day = rf"(?i)(\d{{1,3}})\s*[- ]?\s*(?:calendar\s+)?{DAY}(?!.{{0,12}}(?:business|working|werktag))"
     counts = F.transform(F.regexp_extract_all(s, F.lit(day), F.lit(1)), lambda n: n.cast("int"))
@@ -86,7 +92,7 @@ def sentence_claims(s: Column) -> Column:
         _claim("currency_word", F.when(s.rlike(CNY_WORD), F.lit("CNY"))),
     )
     firms = F.transform(T.legal_names(s), lambda n: _claim("entity", n))
-    return F.filter(F.concat(one, firms), lambda c: c.isNotNull())
+    return F.concat(one, firms)
 
 
 def _plain(amount: Column) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import html
-from tallyhouse.operators import links, markets, product_pages
+from tallyhouse.operators import claims, links, markets, product_pages
 from tallyhouse.plans import staging
 
 
@@ -50,3 +50,8 @@ def test_facts_of_product_pages_are_never_broadcast(spark, monkeypatch):
     plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert [r.price for r in found.collect()] == [5.0]
     assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_a_sentence_is_searched_once_for_its_words(spark):
+    plan = expression(spark, claims.sentence_claims(F.col("html")))
+    assert plan.count("(?i)warrant") == 1 and plan.count("no restocking fee") == 1
