@@ -26,6 +26,9 @@ from .launch import has
 GROUPS, SEVERITIES, RESULTS = "SPMTE", ("P0", "P1", "P2", "P3", "info"), ("issue", "unknown", "ok", "skip")
 POLICIES = ("refund-policy", "shipping-policy", "privacy-policy", "terms-of-service", "contact-information")
 POLICY_MIN = 200
+POLICY_BODY = "shopify-policy__body"
+#: Fixed value: the characters outside ASCII that are another case of an ASCII letter.
+ODD_CASE = "[\u0130\u0131\u017f\u212a]"
 MARKERS = ("cdn.shopify.com", "shopify.theme", "myshopify.com", "shopify-section")
 #: Traces of payment services in page source (lower case).
 PAYMENT_TRACES = {
@@ -79,12 +82,24 @@ PHONE = r"(?:\+\d{1,3}[\s\-.]?)?\(?\d{2,4}\)?[\s\-.]\d{3,4}[\s\-.]\d{3,4}(?!\d)"
 STREET = r"\b\d{1,5}\s+[A-Z][A-Za-z ]+(?:Street|St\.|Road|Rd\.|Avenue|Ave\.?|Boulevard|Blvd|Lane|Drive|Way|Suite)\b|\b(?:Room|Rm\.|Unit|Flat|Floor)\s*\d+|[一-鿿]{2,}(?:路|街|大道)\d+号"
 
 
-def main_text(src) -> Column:
-    """Text of a page: the policy body, else main, else article, else all; plain
-    text as it is."""
+def main_source(src: Column) -> Column:
+    """Source of a page's main part: the policy body, else main, else article, else
+    all; null for plain text. Only pages with the body's name go to Python."""
     marked = has(src, r"<html|<body|<div|<p\b")
     block = lambda tag: F.nullif(F.regexp_extract(src, rf"(?is)<{tag}\b.*?</{tag}>", 0), F.lit(""))
-    return F.when(marked, html.to_text(F.coalesce(html.balanced_div(src, F.lit("shopify-policy__body")), block("main"), block("article"), src))).otherwise(F.trim(src))
+    body = html.balanced_div(F.when(marked & F.contains(src, F.lit(POLICY_BODY)), src), F.lit(POLICY_BODY))
+    return F.when(marked, F.coalesce(body, block("main"), block("article"), src))
+
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """``pages`` (role, src) with what each says: all of a home page, the main part
+    of others, plain text as it is; ``plain``: all of a product page. Functions in
+    Python take every row, whatever the condition around them, so the parts come
+    first and each goes through them once."""
+    role, src = F.col("role"), F.col("src")
+    parts = pages.withColumns({"part": F.when(role == "home", src).otherwise(main_source(src)), "whole": F.when(role == "product", src)})
+    said = F.when(F.col("part").isNull(), F.trim(src)).otherwise(html.to_text("part"))
+    return parts.withColumns({"said": said, "plain": F.when(F.col("whole").isNotNull(), html.to_text("whole"))}).drop("part", "whole")
 
 
 def shop_name(meta_name: Column, src: Column) -> Column:
@@ -124,34 +139,71 @@ def identity(markers: Column, home: Column, meta: Column, products: Column, src:
     return F.when(F.size(markers) >= 2, "confirmed").when(F.size(markers) == 1, "probable").when(other, "not_shopify").otherwise("unconfirmed")
 
 
+def home_marks(src: Column, low: Column) -> list[Column]:
+    """What a home page shows of its platform: markers, markup."""
+    return [F.filter(F.array(*[F.lit(m) for m in MARKERS]), lambda m: F.contains(low, m)).alias("markers"), has(src, r"<(?:html|head|script|div)\b").alias("markup")]
+
+
+def home_state() -> Column:
+    return F.when(F.col("has_home"), "ok").otherwise(F.coalesce(F.nullif("home_result", F.lit("ok")), F.lit("missing")))
+
+
+def told_identity() -> Column:
+    """Identity of a site by mode, its results and what its home pages show."""
+    seen = identity(F.col("markers"), home_state(), F.col("meta_result"), F.col("products_result"), F.when(F.col("markup"), "<html").otherwise(""))
+    return F.when(F.col("mode") == "offline", "unknown").otherwise(seen)
+
+
+def identities(stores: DataFrame, pages: DataFrame) -> DataFrame:
+    """site, identity as in ``facts``, from home pages alone, written once."""
+    home = pages.where("role = 'home'").select("site", F.coalesce("text", "html", F.lit("")).alias("src")).withColumn("low", F.lower("src"))
+    marks = home.select("site", (F.col("src") != "").alias("has_src"), *home_marks(F.col("src"), F.col("low")))
+    seen = marks.groupBy("site").agg(F.bool_or("has_src").alias("has_home"), F.bool_or("markup").alias("markup"), F.flatten(F.collect_list("markers")).alias("markers"))
+    return cut(stores.join(seen, "site", "left").select("site", told_identity().alias("identity")), "pay-identity")
+
+
 def page_flags(pages: DataFrame) -> DataFrame:
-    """One row for each page: flags, names, day counts; no source text."""
-    role = F.col("role")
-    p = pages.withColumn("src", F.coalesce("text", "html", F.lit("")))
-    p = cut(p.withColumn("said", F.when(role == "home", html.to_text("src")).otherwise(main_text(F.col("src")))), "pay-pages")
-    src, said, low = F.col("src"), F.col("said"), F.lower("src")
-    shown = role.isin("home", "product", "cart")
-    reach = role.isin("home", "contact") | ((role == "policy") & (F.col("name") != "shipping-policy"))
-    mails = F.array_union(F.transform(F.regexp_extract_all(src, F.lit("mailto:([^\"'?>\\s]+)"), F.lit(1)), F.lower), F.filter(F.transform(F.regexp_extract_all(said, F.lit(T.EMAIL), F.lit(0)), F.lower), lambda m: ~m.rlike(NOT_MAIL)))
-    phones = (F.size(F.regexp_extract_all(src, F.lit(r"tel:([+\d\-\s().]{7,})"), F.lit(1))) > 0) | (has(said, r"phone|call us|tel[:.]|电话") & said.rlike(PHONE))
-    plain_product = F.when(role == "product", html.to_text("src"))
+    """One row for each page: flags, names, day counts; no source text. A flag is
+    null on pages whose kind the rules do not ask for it: patterns search only
+    the pages that count."""
+    role, name = F.col("role"), F.col("name")
+    p = cut(main_text(pages.withColumn("src", F.coalesce("text", "html", F.lit("")))), "pay-pages")
+    p = p.withColumns({"low": F.lower("src"), "odd": F.coalesce(F.concat_ws("", "src", "said", "plain").rlike(ODD_CASE), F.lit(False))})
+    src, said, low, plain = F.col("src"), F.col("said"), F.col("low"), F.col("plain")
+    # patterns of ASCII letters: the slow comparison is only needed where a text has an odd letter
+    seen = lambda x, pattern: F.coalesce(F.when(F.col("odd"), x.rlike("(?iu)" + pattern)).otherwise(x.rlike("(?i)" + pattern)), F.lit(False))
+    home, cart, product = role == "home", role == "cart", role == "product"
+    policy = lambda *n: (role == "policy") & name.isin(*n)
+    refund, shipping, terms = policy("refund-policy"), policy("shipping-policy"), policy("terms-of-service")
+    shown, told = role.isin("home", "product", "cart"), role.isin("home", "product", "faq")
+    reach = role.isin("home", "contact") | ((role == "policy") & (name != "shipping-policy"))
+    mails = F.array_union(F.transform(F.regexp_extract_all(src, F.lit("mailto:([^\"'?>\\s]+)"), F.lit(1)), F.lower), F.filter(F.transform(F.regexp_extract_all(F.when(F.contains(said, F.lit("@")), said).otherwise(""), F.lit(T.EMAIL), F.lit(0)), F.lower), lambda m: ~m.rlike(NOT_MAIL)))
+    phones = (F.size(F.regexp_extract_all(src, F.lit(r"tel:([+\d\-\s().]{7,})"), F.lit(1))) > 0) | (seen(said, r"phone|call us|tel[:.]|电话") & said.rlike(PHONE))
     drawn = (role == "policy") & looks_js_rendered(src, said)
     state = F.when(drawn, "js_rendered").when(src != "", "ok").otherwise(F.coalesce("result", F.lit("missing")))
     # contact pages count as names and addresses; the home page does not
-    named = reach & (role != "home")
-    return p.select(
-        "site", "pos", "role", "name", state.alias("state"), F.length("said").alias("chars"), (src != "").alias("has_src"), F.when(shown, payment_icons(src)).alias("icons"), F.when(shown, traces(low, PAYMENT_TRACES)).alias("services"),
-        F.when(shown, traces(low, APP_TRACES)).alias("apps"), F.when(role == "home", F.filter(F.array(*[F.lit(m) for m in MARKERS]), lambda m: F.contains(low, m))).alias("markers"), has(src, r"<(?:html|head|script|div)\b").alias("markup"),
-        F.when(role == "home", M.shown_currency("src")).alias("shown_currency"), F.when(role == "home", shop_name(F.lit(None).cast("string"), src)).alias("shop"), F.when(role == "home", F.size(html.hreflang("src"))).alias("n_hreflang"),
-        has(low, r"id=[\"']localization_form|action=[\"'][^\"']*/localization[\"']").alias("localization"), has(low, r"name=[\"']checkout[\"']|href=[\"'][^\"']*/checkout|action=[\"'][^\"']*/checkout").alias("checkout"),
-        has(low, r"cart is empty|cart--empty|is-empty|empty-cart|your bag is empty|cart-empty").alias("empty"), has(src, r"shopify-payment-button|data-shopify=[\"']payment-button").alias("express"), has(said, PAYMENT_DATA).alias("payment_data"),
-        has(said, STUB).alias("stub"), *[has(said, v).alias(f"refund_{k}") for k, v in REFUND_ITEMS.items()], *[has(said, v).alias(f"shipping_{k}") for k, v in SHIPPING_ITEMS.items()], has(said, US_ONLY).alias("us_only"), has(said, WORLDWIDE).alias("worldwide"),
-        F.when((role == "policy") & (F.col("name") == "refund-policy"), T.return_windows(said)).alias("windows"), F.when(role.isin("home", "product", "faq"), T.page_return_claims(said)).alias("claimed"), has(said, BUYER_PAYS).alias("buyer_pays"),
-        has(said, "free returns?").alias("free_returns"), has(said, "cancel").alias("cancel"), has(said, "pre-?order").alias("preorder_text"), has(plain_product, "pre-?order").alias("preorder_page"), has(said, STATEMENT).alias("statement"),
-        F.when(named, T.legal_names(said)).alias("names"), (named & said.rlike(STREET)).alias("street"), has(said, PROMOTION).alias("promotion"), has(said, PROMOTION_TERMS).alias("promotion_terms"), has(said, TRUST).alias("trust"),
-        F.coalesce(plain_product.rlike(r"\$\s?\d"), F.lit(False)).alias("dollar"), F.coalesce(plain_product.rlike(CURRENCY_CODE), F.lit(False)).alias("code"), F.when(reach, mails).alias("mails"), (reach & phones).alias("phone"),
-        (reach & has(src, r"contact\[email\]|<form[^>]+contact|id=[\"']contact")).alias("form"),
-    )
+    named = reach & ~home
+    on = lambda kind, flags: [F.when(kind, x).alias(k) for k, x in flags.items()]
+    flags = [
+        *on(shown, {"icons": payment_icons(src), "services": traces(low, PAYMENT_TRACES), "apps": traces(low, APP_TRACES)}),
+        *on(home, {
+            "shown_currency": M.shown_currency("src"), "shop": shop_name(F.lit(None).cast("string"), src), "n_hreflang": F.size(html.hreflang("src")),
+            "localization": seen(low, r"id=[\"']localization_form|action=[\"'][^\"']*/localization[\"']"), "promotion": seen(said, PROMOTION), "trust": seen(said, TRUST),
+        }),
+        *on(cart, {"checkout": seen(low, r"name=[\"']checkout[\"']|href=[\"'][^\"']*/checkout|action=[\"'][^\"']*/checkout"), "empty": seen(low, r"cart is empty|cart--empty|is-empty|empty-cart|your bag is empty|cart-empty")}),
+        *on(product, {
+            "express": seen(src, r"shopify-payment-button|data-shopify=[\"']payment-button"), "preorder_page": seen(plain, "pre-?order"),
+            "dollar": F.coalesce(plain.rlike(r"\$\s?\d"), F.lit(False)), "code": F.coalesce(plain.rlike(CURRENCY_CODE), F.lit(False)),
+        }),
+        *on(refund, {**{f"refund_{k}": seen(said, v) for k, v in REFUND_ITEMS.items()}, "windows": T.return_windows(said), "buyer_pays": seen(said, BUYER_PAYS)}),
+        *on(shipping, {**{f"shipping_{k}": seen(said, v) for k, v in SHIPPING_ITEMS.items()}, "us_only": seen(said, US_ONLY), "worldwide": seen(said, WORLDWIDE)}),
+        *on(policy("privacy-policy", "terms-of-service"), {"payment_data": seen(said, PAYMENT_DATA)}), *on(policy(*POLICIES), {"stub": seen(said, STUB)}),
+        *on(terms | refund | shipping, {"cancel": seen(said, "cancel"), "preorder_text": seen(said, "pre-?order")}), *on(policy(*POLICIES) | (role == "faq"), {"statement": seen(said, STATEMENT)}),
+        *on(home | terms, {"promotion_terms": seen(said, PROMOTION_TERMS)}), *on(told, {"claimed": T.page_return_claims(said), "free_returns": seen(said, "free returns?")}),
+        *on(named, {"names": T.legal_names(said), "street": said.rlike(STREET)}), *on(reach, {"mails": mails, "phone": phones, "form": seen(src, r"contact\[email\]|<form[^>]+contact|id=[\"']contact")}),
+    ]
+    marks = [F.when(home, m).alias(k) for m, k in zip(home_marks(src, low), ("markers", "markup"))]
+    return p.select("site", "pos", "role", "name", state.alias("state"), F.length("said").alias("chars"), (src != "").alias("has_src"), *marks, *flags)
 
 
 def facts(stores: DataFrame, pages: DataFrame, products: DataFrame, answers: DataFrame) -> DataFrame:
@@ -184,10 +236,8 @@ def facts(stores: DataFrame, pages: DataFrame, products: DataFrame, answers: Dat
     out = out.withColumns({c: F.coalesce(c, none) for c in ("markers", "icons", "services", "apps", "short", "stubs", "policy_names", "names", "mails")})
     routes = F.coalesce(F.transform("gateways", lambda g: g["provider"]), none)
     mix = F.coalesce(F.map_keys("market_mix"), none)
-    home = F.when(F.col("has_home"), "ok").otherwise(F.coalesce(F.nullif("home_result", F.lit("ok")), F.lit("missing")))
-    out = out.withColumns({"routes": routes, "sold_in": mix, "home": home, "shop": F.coalesce(F.nullif(F.trim("meta_name"), F.lit("")), "shop")})
-    status = F.when(F.col("mode") == "offline", "unknown").otherwise(identity(F.col("markers"), F.col("home"), F.col("meta_result"), F.col("products_result"), F.when(F.col("markup"), "<html").otherwise("")))
-    return cut(out.withColumn("identity", status), "pay-facts")
+    out = out.withColumns({"routes": routes, "sold_in": mix, "home": home_state(), "shop": F.coalesce(F.nullif(F.trim("meta_name"), F.lit("")), "shop")})
+    return cut(out.withColumn("identity", told_identity()), "pay-facts")
 
 
 def _say(rid: str, cases: list[tuple[Column, str, str, str, Column | str | None]]) -> Column:

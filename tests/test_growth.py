@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import html
 from tallyhouse.operators import claims, links, markets, product_pages
 from tallyhouse.plans import staging
+from tallyhouse.rules import payments
 
 
 def expression(spark, column):
@@ -55,3 +56,22 @@ def test_facts_of_product_pages_are_never_broadcast(spark, monkeypatch):
 def test_a_sentence_is_searched_once_for_its_words(spark):
     plan = expression(spark, claims.sentence_claims(F.col("html")))
     assert plan.count("(?i)warrant") == 1 and plan.count("no restocking fee") == 1
+
+
+def test_payment_patterns_search_only_the_pages_that_count(spark):
+    text = "You may cancel. We \u017fhip to Canada, \u017fecure checkout, dispatch in 2 days of delivery. Write to a@b.com"
+    rows = [(1, i, role, name, "ok", None, text) for i, (role, name) in enumerate([("home", "home"), ("faq", "faq"), ("policy", "terms-of-service"), ("policy", "shipping-policy"), ("contact", "contact")])]
+    pages = spark.createDataFrame(rows, "site int, pos int, role string, name string, result string, html string, text string")
+    got = {r["name"]: r for r in payments.page_flags(pages).collect()}
+    kinds = ("home", "faq", "terms-of-service", "shipping-policy", "contact")
+    assert [got[k].cancel for k in kinds] == [None, None, True, True, None]
+    assert [got[k].shipping_destinations for k in kinds] == [None, None, None, True, None]
+    assert [got[k].trust for k in kinds] == [True, None, None, None, None]
+    assert [got[k].mails for k in kinds] == [["a@b.com"], None, ["a@b.com"], None, ["a@b.com"]]
+
+
+def test_parts_of_pages(spark):
+    rows = [("policy", "<body><div class='shopify-policy__body'>A<div>b</div></div>c</body>"), ("product", "<main>x</main><p>y</p>"), ("home", "<main>x</main><p>y</p>"), ("faq", " a  b ")]
+    got = payments.main_text(spark.createDataFrame(rows, "role string, src string")).collect()
+    assert [" ".join((r.said or "").split()) if r.role != "faq" else r.said for r in got] == ["A b", "x", "x y", "a  b"]
+    assert [r.plain and r.plain.split() for r in got] == [None, ["x", "y"], None, None]
