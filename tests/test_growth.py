@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallyhouse import queries_rules
 from tallyhouse.functions import html
 from tallyhouse.operators import claims, links, markets, product_pages
 from tallyhouse.plans import staging
@@ -75,3 +76,18 @@ def test_parts_of_pages(spark):
     got = payments.main_text(spark.createDataFrame(rows, "role string, src string")).collect()
     assert [" ".join((r.said or "").split()) if r.role != "faq" else r.said for r in got] == ["A b", "x", "x y", "a  b"]
     assert [r.plain and r.plain.split() for r in got] == [None, ["x", "y"], None, None]
+
+
+def test_costs_ask_home_pages_alone(spark, monkeypatch, tmp_path):
+    written = []
+
+    def recorded(df, name):
+        written.append(name)
+        return staging.cut(df, name)
+
+    monkeypatch.setattr(payments, "cut", recorded)
+    monkeypatch.setattr(queries_rules, "cut", recorded, raising=False)
+    spark.range(1, 60).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    assert queries_rules.q57_fee_totals(spark, str(tmp_path)).count() == 54
+    assert queries_rules.q56_fee_items(spark, str(tmp_path)).count() > 0
+    assert written == ["pay-identity", "pay-setups"] * 2
