@@ -12,11 +12,14 @@ held in one place:
    entry for each task, not one for each document.
 2. *Suffix arrays.* What is left are anchors with different runs of different
    documents: the edges of copied passages. Their bytes are cut out of the texts;
-   the runs of an anchor, at most ``TOGETHER`` in one string, get a suffix array
-   (see ``suffixarray``), in which windows with equal bytes are neighbours. Those
-   of larger ids are removed. The anchor itself, alike in all, is one symbol.
-   Where an anchor has more runs than that, the windows that its parts leave meet
-   once more, by their bytes: a shuffle with one row for each.
+   the runs of an anchor get a suffix array (see ``suffixarray``), in which windows
+   with equal bytes are neighbours. Those of larger ids are removed. The anchor
+   itself, alike in all, is one symbol. An anchor with more than ``TOGETHER`` runs
+   is told apart by what lies beside it: each window holds the ``SIDE`` bytes before
+   the anchor or those after it, so a run becomes two at most, each compared with
+   those that have the same bytes there. Only where even such a group exceeds
+   ``MOST`` runs, the windows that its parts leave meet once more, by their bytes:
+   a shuffle with one row for each.
 3. The removed windows of a document come together as ranges and are cut out.
 
 Bytes decide in the end: hashes only bring together what may be equal, but for
@@ -32,6 +35,7 @@ for no other; columns that the result does not name are left out.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +50,9 @@ WINDOW = 50
 CORE = 24
 REACH = WINDOW - CORE + 1  # cores in a window, and its symbols with the core as one
 WIDE = -(-REACH // 4) * 4
-#: Different runs of one anchor in one suffix array.
-TOGETHER = 128
+#: Different runs of one anchor in one suffix array; of an anchor with more, the
+#: bytes on either side that tell its runs apart, and the runs alike in them.
+TOGETHER, SIDE, MOST = 128, REACH // 2, 40_000
 #: Bytes of text hashed at a time, runs packed at a time, symbols sorted at a time.
 HASHED, PACKED, SORTED = 1 << 20, 1 << 20, 1 << 21
 #: Bytes of text whose runs one bucket gets, on average.
@@ -283,26 +288,41 @@ def _meet(together: int):
     return run
 
 
+def _sides(runs: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Runs of hot anchors in two: windows that hold the bytes before the anchor
+    (side 1), the rest those after it (side 2); other runs as they are (side 0)."""
+    before = np.where(runs["hot"], np.clip(runs["off"] - SIDE + 1, 0, runs["n"]), runs["n"])
+    after = runs["n"] - before
+    one, two = np.flatnonzero(before), np.flatnonzero(after)
+    first, second = _take({**runs, "n": before}, one), _take({**runs, "at": runs["at"] + before, "n": after, "off": runs["off"] - before}, two)
+    return {k: np.concatenate([first[k], second[k]]) for k in runs}, np.r_[runs["hot"][one].astype(np.int64), np.full(len(two), 2)]
+
+
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the runs to compare, one row for each."""
+    """The bytes of the runs to compare, one row for each, two at most for one of a
+    hot anchor, whose part is a hash of the bytes on that side of the anchor."""
     settle(__name__)
     for batch in (part for whole in batches for part in cut(whole)):
         wanted = batch.column("runs")
-        owner = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy(zero_copy_only=False))
         fields = wanted.flatten()
-        columns = {k: fields.field(k) for k in ("at", "n", "off", "anchor", "part", "hot")}
+        columns = {k: fields.field(k).to_numpy(zero_copy_only=False) for k in ("at", "n", "off", "anchor", "part", "hot")}
+        columns["owner"] = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy(zero_copy_only=False))
+        columns, side = _sides({k: v.astype(bool if k == "hot" else np.int64) for k, v in columns.items()})
         texts = utf8(batch.column("text"))
-        pieces = [texts[o][a : a + n + WINDOW - 1] for o, a, n in zip(owner.tolist(), columns["at"].to_pylist(), columns["n"].to_pylist())]
+        beside = columns["at"] + columns["off"] + np.where(side == 1, -SIDE, CORE)
+        for i in np.flatnonzero(side).tolist():
+            at = int(beside[i])
+            columns["part"][i] = zlib.crc32(texts[columns["owner"][i]][at : at + SIDE], int(side[i])) >> 1
+        pieces = [texts[o][a : a + n + WINDOW - 1] for o, a, n in zip(columns["owner"].tolist(), columns["at"].tolist(), columns["n"].tolist())]
         for i in range(0, len(pieces), 20_000):
-            part = {k: v.slice(i, 20_000) for k, v in columns.items()}
-            ids = {k: batch.column(k).take(pa.array(owner[i : i + 20_000])) for k in ("doc_id", "version")}
-            both = {**ids, **part, "bytes": pa.array(pieces[i : i + 20_000], pa.binary())}
-            yield pa.RecordBatch.from_arrays(list(both.values()), list(both))
+            part = {k: v[i : i + 20_000] for k, v in columns.items()}
+            ids = {k: batch.column(k).take(pa.array(part["owner"])) for k in ("doc_id", "version")}
+            yield _batch(PIECES, {**ids, **{k: part[k] for k in ("at", "n", "off", "anchor", "part")}, "bytes": pieces[i : i + 20_000]})
 
 
 #: A text's removed ranges, or (window not null) a window that other parts may have.
 FOUND = "doc_id long, version int, ranges binary, at long, window binary"
-PIECES = "doc_id long, version int, at long, n int, off int, anchor long, part int, hot boolean, bytes binary"
+PIECES = "doc_id long, version int, at long, n int, off int, anchor long, part int, bytes binary"
 
 
 def compare(runs: dict[str, np.ndarray], data: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
@@ -360,17 +380,19 @@ def compare(runs: dict[str, np.ndarray], data: np.ndarray) -> tuple[dict[str, np
     return removed, {"run": by[run[hot]], "skip": (stay - start[run])[hot]}
 
 
-def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted runs, in portions of whole groups."""
-    settle(__name__)
+def _sort_suffixes(most: int):
+    """Sorted runs, in portions of whole groups; a group of more than ``most`` runs
+    in parts, whose windows may have equals in another one."""
 
     def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(parts).combine_chunks()
-        c = {k: whole[k].to_numpy() for k in ("doc_id", "version", "at", "n", "off", "anchor", "part", "hot")}
+        c = {k: whole[k].to_numpy() for k in ("doc_id", "version", "at", "n", "off", "anchor", "part", "chunk")}
         data = np.frombuffer(b"".join(whole["bytes"].to_pylist()), np.uint8)
-        new = np.r_[True, (c["anchor"][1:] != c["anchor"][:-1]) | (c["part"][1:] != c["part"][:-1])]
+        new = np.r_[True, (c["anchor"][1:] != c["anchor"][:-1]) | (c["part"][1:] != c["part"][:-1]) | (c["chunk"][1:] != c["chunk"][:-1])]
+        group = np.cumsum(new)
+        hot = (np.bincount(group)[group] >= most) | (c["chunk"] > 0)
         n = c["n"].astype(np.int64)
-        removed, left = compare({"n": n, "off": c["off"].astype(np.int64), "doc": c["doc_id"], "group": np.cumsum(new), "hot": c["hot"]}, data)
+        removed, left = compare({"n": n, "off": c["off"].astype(np.int64), "doc": c["doc_id"], "group": group, "hot": hot}, data)
         begin = np.cumsum(n + WINDOW - 1) - (n + WINDOW - 1)
         run = removed["run"]
         yield from _removed(FOUND, c["doc_id"][run], c["version"][run], c["at"][run] + removed["skip"], removed["n"])
@@ -379,24 +401,33 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             windows = [data[a : a + WINDOW].tobytes() for a in (begin[run] + skip).tolist()]
             yield _batch(FOUND, {"doc_id": c["doc_id"][run], "version": c["version"][run], "at": c["at"][run] + skip, "window": windows})
 
-    held, size, key = [], 0, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        anchor, part = batch.column("anchor").to_numpy(), batch.column("part").to_numpy()
-        heads = np.flatnonzero(np.r_[(anchor[0], part[0]) != key, (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])])
-        key, done = (anchor[-1], part[-1]), 0
-        ends = np.cumsum(batch.column("n").to_numpy() + WINDOW - CORE + 2)
-        for head in heads.tolist():
-            before = int(ends[head - 1]) if head else 0
-            if size + before - (int(ends[done - 1]) if done else 0) >= SORTED:
-                held.append(batch.slice(done, head - done))
-                yield from solve(held)
-                held, size, done = [], 0, head
-        held.append(batch.slice(done))
-        size += int(ends[-1]) - (int(ends[done - 1]) if done else 0)
-    if held:
-        yield from solve(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle(__name__)
+        held, size, key, seen = [], 0, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            anchor, part = batch.column("anchor").to_numpy(), batch.column("part").to_numpy()
+            row = np.arange(len(anchor))
+            new = np.r_[(anchor[0], part[0]) != key, (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])]
+            begin = np.maximum.accumulate(np.where(new, row, -1))
+            place = np.where(begin < 0, row + seen, row - begin)
+            heads = np.flatnonzero(place % most == 0)
+            batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(place // most)], [*batch.schema.names, "chunk"])
+            key, seen, done = (anchor[-1], part[-1]), int(place[-1]) + 1, 0
+            ends = np.cumsum(batch.column("n").to_numpy() + WINDOW - CORE + 2)
+            for head in heads.tolist():
+                before = int(ends[head - 1]) if head else 0
+                if size + before - (int(ends[done - 1]) if done else 0) >= SORTED:
+                    held.append(batch.slice(done, head - done))
+                    yield from solve(held)
+                    held, size, done = [], 0, head
+            held.append(batch.slice(done))
+            size += int(ends[-1]) - (int(ends[done - 1]) if done else 0)
+        if held:
+            yield from solve(held)
+
+    return run
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
@@ -443,7 +474,7 @@ def _versioned(docs: DataFrame) -> tuple[DataFrame, int]:
     return joined.select("doc_id", "text", F.coalesce("version", F.lit(0)).alias("version")), total
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = True, together: int = TOGETHER, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = True, together: int = TOGETHER, most: int = MOST, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) for each row;
     ``kept`` holds the bytes that are left (null without ``keep_text``)."""
     spark = docs.sparkSession
@@ -459,9 +490,9 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True, together: int = TOGE
     wanted = shared.where("part is not null").groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "n", "off", "anchor", "part", "hot")).alias("runs"))
     pieces = named.join(wanted, ["doc_id", "version"]).mapInArrow(_cut_out, PIECES)
     grouped = pieces.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    found = stage(grouped.mapInArrow(_sort_suffixes, FOUND), "found")
+    found = stage(grouped.mapInArrow(_sort_suffixes(most), FOUND), "found")
 
-    # what the parts of a hot anchor leave meets by its bytes
+    # what the parts of a group leave meets by its bytes
     left = found.where("window is not null")
     first = left.groupBy("window").agg(F.min("doc_id").alias("smallest"))
     late = left.join(first, "window").where("doc_id > smallest")

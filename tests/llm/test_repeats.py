@@ -110,3 +110,18 @@ def test_query_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     got = queries.op13_suffix_array_dedup(spark, "/root/testdata/sf0.001").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=repr) == brute([tuple(r) for r in docs])
+
+
+def test_runs_of_a_hot_anchor_are_told_apart_by_what_is_beside_it(spark, monkeypatch):
+    rows, staged = cases(), {}
+    df = spark.createDataFrame([(*r, "own", "own") for r in rows], SCHEMA).repartition(5)
+    monkeypatch.setattr(repeats, "stage", lambda df, name, real=repeats.stage: staged.setdefault(name, real(df, name)))
+    assert run(df, together=2) == brute(rows)
+    assert staged["shared-runs"].where("hot").count() > 100 and staged["found"].where("window is not null").isEmpty()
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_groups_beyond_one_portion_meet_by_their_windows(spark, most):
+    rows = cases(5)
+    df = spark.createDataFrame([(*r, "own", "own") for r in rows], SCHEMA).repartition(5)
+    assert run(df, together=2, most=most) == brute(rows)
