@@ -76,9 +76,14 @@ def attributes(tag) -> Column:
     return F.map_from_entries(let(F.zip_with(names, values, lambda k, v: F.struct(k.alias("key"), v.alias("value"))), last))
 
 
+def start_tags(src, tag: str) -> Column:
+    """Array of the sources of each start tag."""
+    return F.regexp_extract_all(_src(src), F.lit(rf"(?is)<{tag}\b[^>]*>"), F.lit(0))
+
+
 def tags(src, tag: str) -> Column:
     """Array of attribute maps of each start tag."""
-    return F.transform(F.regexp_extract_all(_src(src), F.lit(rf"(?is)<{tag}\b[^>]*>"), F.lit(0)), attributes)
+    return F.transform(start_tags(src, tag), attributes)
 
 
 def html_lang(src) -> Column:
@@ -90,8 +95,10 @@ def _rels(a) -> Column:
 
 
 def hreflang(src) -> Column:
-    """Array of struct(code, href) of alternate links in order, distinct."""
-    found = F.filter(tags(src, "link"), lambda a: F.array_contains(_rels(a), "alternate") & F.try_element_at(a, F.lit("hreflang")).isNotNull())
+    """Array of struct(code, href) of alternate links in order, distinct. Attributes
+    are read of links alone that name the one asked for."""
+    named = F.filter(start_tags(src, "link"), lambda t: t.rlike("(?i)hreflang"))
+    found = F.filter(F.transform(named, attributes), lambda a: F.array_contains(_rels(a), "alternate") & F.try_element_at(a, F.lit("hreflang")).isNotNull())
     pair = lambda a: F.struct(F.trim(F.try_element_at(a, F.lit("hreflang"))).alias("code"), F.trim(F.coalesce(F.try_element_at(a, F.lit("href")), F.lit(""))).alias("href"))
     return F.array_distinct(F.transform(found, pair))
 

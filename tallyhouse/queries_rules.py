@@ -142,8 +142,7 @@ def q58_tracking_findings(spark, d):
 def q59_tags(spark, d):
     """Every tag of every store: platform, id, install paths, badge."""
     _, pages, containers, _, _ = cases.tag_stores(_customers(spark, d))
-    hits, _ = tracking.hits_of(pages, containers)
-    return tags.merge(hits).select("site", "platform", "id", "install_via", "badge")
+    return tags.merge(tracking.hits_of(pages, containers)).select("site", "platform", "id", "install_via", "badge")
 
 
 # -- policy wording, names, snapshot ids ----------------------------------------

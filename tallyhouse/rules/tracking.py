@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import html
+from ..functions import html, text
 from ..operators import tags as T
 from ..plans.staging import cut
 from .engine import choose
@@ -31,58 +31,72 @@ MULTI = ("meta", "ga4", "google_ads", "tiktok", "pinterest", "snap", "gtm")
 NAMED = ("meta", "ga4", "google_ads", "tiktok", "pinterest", "snap", "klaviyo", "microsoft", "reddit")
 
 
-def hits_of(pages: DataFrame, containers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All hits of pages and containers, and the pages with their scan, each
-    page scanned once (written to the shared folder)."""
-    seen = cut(T.scanned(pages), "scans")
-    return T.page_hits(seen).unionByName(T.container_hits(containers)), seen
+KEYS = ("homepage", "collection", "product", "cart", "privacy")
+ADVERTISING, OPT_OUT_SAID = r"(?i)advertis|interest-based|targeted ads|remarketing", r"(?i)opt[- ]?out|do not sell|your privacy choices"
 
 
-def duplicates(hits: DataFrame) -> DataFrame:
-    """site, platform, id, vias of ids that are loaded by two paths, or twice by
-    calls in one page."""
-    good = hits.where("problem is null and id is not null and platform <> 'gtm'")
+def hits_of(pages: DataFrame, containers: DataFrame) -> DataFrame:
+    """All hits of pages and containers, each page scanned once (written to the
+    shared folder)."""
+    seen = cut(T.scanned(pages).select("site", "key", "hits"), "scans")
+    return T.page_hits(seen).unionByName(T.container_hits(containers))
+
+
+def page_flags(pages: DataFrame) -> DataFrame:
+    """One row for each page with its hits and what the checks ask of its source,
+    each pattern searched only in the pages that count for it; the source itself
+    goes no further."""
+    key, src = F.col("key"), F.coalesce("html", F.lit(""))
+    home, private = key == "homepage", key == "privacy"
+    rows = T.scanned(pages).withColumn("_plain", html.strip_tags(F.when(private, src)))
+    said = lambda p: F.col("_plain").rlike(p)
+    markers = F.array_compact(F.array(*[F.when(F.contains(src, F.lit(m)), F.lit(m)) for m in T.MARKERS]))
+    named = F.array_compact(F.array(*[F.when(said(p), F.lit(n)) for n, p in T.PLATFORM_WORDS.items()]))
+    return rows.select(
+        "site", "key", "result", "hits", "pixels", "list", (src != "").alias("filled"), F.when(home, T.blocked(src)).alias("home_blocked"), F.when(home, markers).alias("markers"), F.when(home, T.other_platform(src)).alias("other"), F.when(home, T.regions(src)).alias("regions"),
+        F.when(private, said(ADVERTISING)).alias("advertising"), F.when(private, said(OPT_OUT_SAID)).alias("opt_out_said"), F.when(private, named).alias("named"), T.consent_marks(src).alias("marks"),
+    )
+
+
+def by_id(hits: DataFrame) -> DataFrame:
+    """One row for each site, platform, id and problem: install paths, confirmed,
+    badge, whether it is ``doubled`` (a good id that is loaded by two paths, or twice
+    by calls in one page), whether a container holds it."""
     counted = F.when(~((F.col("via") == "google_tag_script") | ((F.col("platform") == "klaviyo") & (F.col("via") == "app_pixel"))), F.col("via"))
     twice = (F.col("n") > 1) & (F.col("via") == "theme_code") & F.col("kind").isin("inline_call", "inline_snippet")
-    out = good.groupBy("site", "platform", "id").agg(F.array_sort(F.collect_set(counted)).alias("vias"), F.bool_or(twice).alias("repeated"))
-    return out.where((F.size("vias") >= 2) | F.col("repeated"))
+    out = hits.groupBy("site", "platform", "id", "problem").agg(
+        F.array_sort(F.collect_set("via")).alias("install_via"), F.bool_or("calibrated").alias("calibrated"), F.collect_set(counted).alias("vias"), F.bool_or(twice).alias("repeated"),
+        F.max(F.col("via").isin("gtm_container", "google_tag_script")).alias("inside"),
+    )
+    good = F.col("problem").isNull() & F.col("id").isNotNull() & (F.col("platform") != "gtm")
+    return out.select("*", F.when(F.col("calibrated"), "on_page").otherwise("inferred").alias("badge"), (good & ((F.size("vias") >= 2) | F.col("repeated"))).alias("doubled"))
 
 
 def facts(sites: DataFrame, pages: DataFrame, containers: DataFrame, answers: DataFrame, proofs: DataFrame) -> DataFrame:
     """One row for each site with what the checks ask for, written once."""
-    hits, seen = hits_of(pages, containers)
-    hits = cut(hits, "hits")
-    merged = T.merge(hits)
-    key = F.col("key")
+    seen = cut(page_flags(pages), "scans")
+    key, result = F.col("key"), F.col("result")
     home = key == "homepage"
-    src = F.coalesce("html", F.lit(""))
-    plain = F.when(key == "privacy", html.strip_tags(src))
     any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    consent = lambda df: df.select(
-        "site", src.rlike(T.CONSENT_DEFAULT).alias("d"), src.rlike(T.CONSENT_V2).alias("v2"), F.array_compact(F.array(*[F.when(src.rlike("(?i)" + p), F.lit(n)) for n, p in T.CONSENT_TOOLS.items()])).alias("tools"), src.rlike(T.OPT_OUT).alias("out"),
-        F.size(T.legacy_ids(src)).alias("old"),
-    )
-    by_site = seen.groupBy("site").agg(
-        any_(home & (src != "")).alias("has_home"), any_(home & T.blocked(src)).alias("home_blocked"), F.first(F.when(home, F.filter(F.array(*[F.lit(m) for m in T.MARKERS]), lambda m: F.contains(src, m))), ignorenulls=True).alias("markers"),
-        F.max(F.when(home, T.other_platform(src))).alias("other"), F.array_sort(F.collect_set(F.when(F.col("result") == "blocked", key))).alias("blocked"), F.first(F.when(home, T.regions(src)), ignorenulls=True).alias("regions"),
-        any_((key == "privacy") & (src != "")).alias("has_privacy"), any_((key == "product") & (src != "")).alias("has_product"), F.max(F.when(home, F.col("result"))).alias("home_result"),
-        any_(plain.rlike(r"(?i)advertis|interest-based|targeted ads|remarketing")).alias("advertising"), any_(plain.rlike(r"(?i)opt[- ]?out|do not sell|your privacy choices")).alias("opt_out_said"),
-        F.flatten(F.collect_list(F.array_compact(F.array(*[F.when(plain.rlike(p), F.lit(n)) for n, p in T.PLATFORM_WORDS.items()])))).alias("named"),
-        F.min_by("pixels", F.when(F.size("pixels") > 0, F.array_position(F.array(*[F.lit(k) for k in ("homepage", "collection", "product", "cart", "privacy")]), key))).alias("pixels"), any_(F.col("list") != "not_observed").alias("pixel_list"),
+    inside = containers.select("site", T.consent_marks(F.coalesce("text", F.lit(""))).alias("marks"))
+    marked = ("consent_default", "consent_v2", "opt_out", "legacy")
+    by_site = seen.drop("hits").unionByName(inside, allowMissingColumns=True).groupBy("site").agg(
+        any_(home & F.col("filled")).alias("has_home"), any_(F.col("home_blocked")).alias("home_blocked"), F.first("markers", ignorenulls=True).alias("markers"),
+        F.max("other").alias("other"), F.array_sort(F.collect_set(F.when(result == "blocked", key))).alias("blocked"), F.first("regions", ignorenulls=True).alias("regions"),
+        any_((key == "privacy") & F.col("filled")).alias("has_privacy"), any_((key == "product") & F.col("filled")).alias("has_product"), F.max(F.when(home, result)).alias("home_result"),
+        any_(F.col("advertising")).alias("advertising"), any_(F.col("opt_out_said")).alias("opt_out_said"), F.flatten(F.collect_list("named")).alias("named"),
+        F.min_by("pixels", F.when(F.size("pixels") > 0, F.array_position(F.array(*[F.lit(k) for k in KEYS]), key))).alias("pixels"), any_(F.col("list") != "not_observed").alias("pixel_list"),
+        *[any_(F.col(f"marks.{m}")).alias(m) for m in marked], F.array_distinct(F.flatten(F.collect_list("marks.tools"))).alias("tools"),
     )
-    marks = consent(pages.select("site", "html")).unionByName(consent(containers.select("site", F.col("text").alias("html")))).groupBy("site").agg(
-        any_(F.col("d")).alias("consent_default"), any_(F.col("v2")).alias("consent_v2"), F.array_distinct(F.flatten(F.collect_list("tools"))).alias("tools"), any_(F.col("out")).alias("opt_out"), (F.sum("old") > 0).alias("legacy"),
+    good = F.col("problem").isNull()
+    twice = (F.col("platform") == "ga4") & F.array_contains("install_via", "gtm_container") & F.arrays_overlap("install_via", F.array(*[F.lit(v) for v in ("theme_code", "app_pixel", "google_tag_script")]))
+    per_tag = by_id(T.page_hits(seen).unionByName(T.container_hits(containers))).groupBy("site").agg(
+        F.collect_list(F.when(good, F.struct("platform", "id", "install_via", "calibrated", "badge"))).alias("tags"), any_(good & twice).alias("ga4_twice"),
+        F.array_sort(F.collect_list(F.when(F.col("doubled"), F.concat_ws(":", "platform", "id")))).alias("doubled"), F.collect_list(F.when(~good, F.struct("platform", "id", "problem", "inside"))).alias("malformed"),
     )
-    per_tag = merged.groupBy("site").agg(
-        F.collect_list(F.struct("platform", "id", "install_via", "calibrated", "badge")).alias("tags"),
-        any_((F.col("platform") == "ga4") & F.array_contains("install_via", "gtm_container") & F.arrays_overlap("install_via", F.array(*[F.lit(v) for v in ("theme_code", "app_pixel", "google_tag_script")]))).alias("ga4_twice"),
-    )
-    doubled = duplicates(hits).groupBy("site").agg(F.array_sort(F.collect_list(F.concat_ws(":", "platform", "id"))).alias("doubled"))
-    bad = hits.where("problem is not null").groupBy("site", "platform", "id", "problem").agg(F.max(F.col("via").isin("gtm_container", "google_tag_script")).alias("inside"))
-    bad = bad.groupBy("site").agg(F.collect_list(F.struct("platform", "id", "problem", "inside")).alias("malformed"))
     told = proofs.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("item", F.struct("source", "ok", "ids")))).alias("proofs"))
     out = sites
-    for part in (by_site, marks, per_tag, doubled, bad, answers, told):
+    for part in (by_site, per_tag, answers, told):
         out = out.join(part, "site", "left")
     flags = [f.name for f in out.schema if f.dataType.simpleString() == "boolean"]
     return cut(out.withColumns({c: F.coalesce(c, F.lit(False)) for c in flags}), "tag-facts")
@@ -94,21 +108,49 @@ def _row(cid: str, cond: Column, result, badge, severity, platform="all", note=N
     return F.when(F.coalesce(cond, F.lit(False)), made)
 
 
+NONE = "array<string>"
+PER_PLATFORM = tuple(dict.fromkeys((*TAG_CHECKS.values(), *MULTI)))
+PROOF_ITEMS = tuple(dict.fromkeys((*PROOF.values(), *PURCHASE_PROOF.values())))
+
+
+def _shared(c) -> Column:
+    """What many checks ask of a site's facts, as one struct, worked out once."""
+    none = F.array().cast(NONE)
+    tags = F.coalesce("tags", F.array().cast("array<struct<platform:string,id:string,install_via:array<string>,calibrated:boolean,badge:string>>"))
+    seen = F.array_distinct(F.transform(tags, lambda t: t["platform"]))
+    markers = F.size(F.coalesce("markers", none))
+    ident = choose((~c("has_home") | c("home_blocked"), "unknown"), (markers >= 2, "confirmed"), (markers == 1, "probable"), otherwise="not_shopify")
+    pixels = F.filter(F.coalesce("pixels", F.array().cast("array<struct<type:string,app:string,name:string,platform:string>>")), lambda x: ~x["platform"].eqNullSafe(F.lit("shopify")))
+
+    def own(t: Column) -> Column:
+        ids = F.array_compact(F.transform(t, lambda x: x["id"]))
+        return F.struct((F.size(t) > 0).alias("found"), F.exists(t, lambda x: x["calibrated"]).alias("sure"), F.forall(t, lambda x: x["calibrated"]).alias("all_sure"), ids.alias("ids"))
+
+    of = [text.let(F.filter(tags, lambda t: t["platform"] == p), own).alias(p) for p in PER_PLATFORM]  # noqa: B023
+    proof = [F.try_element_at("proofs", F.lit(i)).alias(i) for i in PROOF_ITEMS]
+    return F.struct(
+        seen.alias("seen"), F.array_union(seen, F.coalesce("ad_platforms", none)).alias("named"), ident.alias("ident"), pixels.alias("pixels"), F.struct(*of).alias("of"), F.struct(*proof).alias("proof"),
+    )
+
+
 def findings(f: DataFrame) -> DataFrame:
     """site, check, platform, result, badge, severity, note."""
+    # every site has at least the row of G02; an inner explode would work all of them out twice, to drop sites without
+    return f.select("site", F.explode_outer(text.let(_shared(F.col), _findings)).alias("x")).select("site", "x.*")
+
+
+def _findings(v: Column) -> Column:
+    """The array of a site's findings, by its facts and what is shared of them."""
     c, true = F.col, F.lit(True)
-    none = F.array().cast("array<string>")
-    tags = F.coalesce("tags", F.array().cast("array<struct<platform:string,id:string,install_via:array<string>,calibrated:boolean,badge:string>>"))
-    of = lambda p: F.filter(tags, lambda t: t["platform"] == p)
-    seen = F.array_distinct(F.transform(tags, lambda t: t["platform"]))
+    none = F.array().cast(NONE)
+    seen, ident, pixels = v["seen"], v["ident"], v["pixels"]
+    of = lambda p: v["of"][p]
     has = lambda *p: F.arrays_overlap(seen, F.array(*[F.lit(x) for x in p]))
     ads = c("ad_platforms")
     asked = ads.isNotNull()
-    markers = F.size(F.coalesce("markers", none))
-    ident = choose((~c("has_home") | c("home_blocked"), "unknown"), (markers >= 2, "confirmed"), (markers == 1, "probable"), otherwise="not_shopify")
     store = ident.isin("confirmed", "probable")
     own = c("mode") == "own"
-    proof = lambda item: F.try_element_at("proofs", F.lit(item))
+    proof = lambda item: v["proof"][item]
 
     def told(item, platform=None):
         """(given, result, badge) of a proof; ids of a screenshot that none of the
@@ -119,7 +161,7 @@ def findings(f: DataFrame) -> DataFrame:
         clash = F.lit(False)
         if platform:
             shown = F.coalesce(F.flatten(F.map_values(p["ids"])), none)
-            mine = F.array_compact(F.transform(of(platform), lambda t: t["id"]))
+            mine = of(platform)["ids"]
             clash = (F.size(shown) > 0) & (F.size(mine) > 0) & ~F.arrays_overlap(shown, mine)
         return given, result, F.when(p["source"] == "said", "self_claim").when(clash, "conflicting").otherwise("verified")
 
@@ -128,25 +170,23 @@ def findings(f: DataFrame) -> DataFrame:
         _row("G02", true, F.when(F.size(F.coalesce("blocked", none)) > 0, "issue").otherwise("pass"), F.when(F.size(F.coalesce("blocked", none)) > 0, "not_found").otherwise("on_page"), F.when(F.size(F.coalesce("blocked", none)) > 0, "medium").otherwise("none"), note=F.nullif(F.array_join(F.coalesce("blocked", none), ","), F.lit(""))),
     ]
     for cid, p in TAG_CHECKS.items():
-        found = F.size(of(p)) > 0
+        found = of(p)["found"]
         by_google = has("google_tag") if p in ("ga4", "google_ads") else F.lit(False)
-        sure = F.exists(of(p), lambda t: t["calibrated"])
         # a screenshot that shows this platform's ids settles the badge
         shows = lambda k: (F.try_element_at("proofs", k)["source"] == "screenshot") & (F.size(F.coalesce(F.try_element_at(F.try_element_at("proofs", k)["ids"], F.lit(p)), none)) > 0)  # noqa: B023, E731
         shot = F.try_element_at("proofs", F.try_element_at(F.array_sort(F.filter(F.coalesce(F.map_keys("proofs"), none), shows)), F.lit(1)))
-        mine = F.array_compact(F.transform(of(p), lambda t: t["id"]))
-        unlike = (F.size(mine) > 0) & ~F.arrays_overlap(F.flatten(F.map_values(shot["ids"])), mine)
-        badge = F.when(shot.isNotNull(), F.when(unlike, "conflicting").otherwise("verified")).when(sure, "on_page").otherwise("inferred")
+        mine = of(p)["ids"]
+        unlike = lambda t, mine=mine: (F.size(mine) > 0) & ~F.arrays_overlap(F.flatten(F.map_values(t["ids"])), mine)
+        badge = text.let(shot, lambda t: F.when(t.isNotNull(), F.when(unlike(t), "conflicting").otherwise("verified")).when(of(p)["sure"], "on_page").otherwise("inferred"))  # noqa: B023
         advertised = F.array_contains(ads, p)
         weight = choose((F.lit(p == "klaviyo") & asked & c("uses_klaviyo"), "medium"), (~asked, "low" if cid in HIGH else "none"), (advertised, "high" if cid in HIGH else "medium"), otherwise="none")
         rows += [_row(cid, found, "pass", badge, "none", p), _row(cid, ~found & by_google, "pass", "inferred", "none", p, "google_tag"), _row(cid, ~found & ~by_google, "not_seen", "not_found", weight, p)]
-    n_gtm = F.size(F.array_compact(F.transform(of("gtm"), lambda t: t["id"])))
-    pixels = F.filter(F.coalesce("pixels", F.array().cast("array<struct<type:string,app:string,name:string,platform:string>>")), lambda x: ~x["platform"].eqNullSafe(F.lit("shopify")))
+    n_gtm = F.size(of("gtm")["ids"])
     count = lambda kind: F.size(F.filter(pixels, lambda x: x["type"] == kind)).cast("string")
     given_a, result_a, badge_a = told("U1-a")
     shown_a = F.coalesce(proof("U1-a")["source"].isin("screenshot", "said"), F.lit(False))
     rows += [
-        _row("T03", F.size(of("gtm")) == 0, "not_seen", "not_found", "none", "gtm"), _row("T03", F.size(of("gtm")) > 0, F.when(n_gtm > 1, "issue").otherwise("pass"), "on_page", F.when(n_gtm > 1, "low").otherwise("none"), "gtm", n_gtm),
+        _row("T03", ~of("gtm")["found"], "not_seen", "not_found", "none", "gtm"), _row("T03", of("gtm")["found"], F.when(n_gtm > 1, "issue").otherwise("pass"), "on_page", F.when(n_gtm > 1, "low").otherwise("none"), "gtm", n_gtm),
         _row("T09", ~store, "na", None, "none", "shopify"), _row("T09", store & ~c("pixel_list"), "not_seen", "not_found", "none", "shopify"), _row("T09", store & c("pixel_list"), "pass", F.when(shown_a, badge_a).otherwise("on_page"), "none", "shopify", F.concat_ws("+", count("APP"), count("CUSTOM"))),
     ]
     malformed = F.coalesce("malformed", F.array().cast("array<struct<platform:string,id:string,problem:string,inside:boolean>>"))
@@ -158,8 +198,8 @@ def findings(f: DataFrame) -> DataFrame:
         _row("T11", ~asked & own, "needs_input", "not_found", "none"), _row("T11", asked & (F.size(gap) > 0), "issue", "inferred", "high", note=F.array_join(F.array_sort(gap), ",")), _row("T11", asked & (F.size(gap) == 0), "pass", "inferred", "none"),
         _row("D01", F.size(doubled) == 0, "pass", "on_page", "none"),
     ]
-    several = [(p, F.size(F.array_distinct(F.array_compact(F.transform(of(p), lambda t: t["id"]))))) for p in MULTI]
-    rows += [_row("D02", n >= 2, "issue", F.when(F.forall(of(p), lambda t: t["calibrated"]), "on_page").otherwise("inferred"), "medium", p, n) for p, n in several]
+    several = [(p, F.size(F.array_distinct(of(p)["ids"]))) for p in MULTI]
+    rows += [_row("D02", n >= 2, "issue", F.when(of(p)["all_sure"], "on_page").otherwise("inferred"), "medium", p, n) for p, n in several]
     given_g, result_g, badge_g = told("U1-g")
     apps = F.array_compact(F.transform(F.filter(pixels, lambda x: x["type"] == "APP"), lambda x: x["platform"]))
     overlap = F.filter(pixels, lambda x: (x["type"] == "CUSTOM") & (x["platform"] != "klaviyo") & F.array_contains(apps, x["platform"]))
@@ -171,7 +211,7 @@ def findings(f: DataFrame) -> DataFrame:
         _row("D06", store & settled, result_a, badge_a, F.when(result_a == "issue", "high").otherwise("none")), _row("D06", store & ~F.coalesce(settled, F.lit(False)) & (F.size(overlap) > 0), "issue", "inferred", "high"),
         _row("D06", store & own & ~F.coalesce(settled, F.lit(False)) & (F.size(overlap) == 0), "needs_input", "not_found", "none"),
     ]
-    relevant = lambda *p: F.arrays_overlap(F.array_union(seen, F.coalesce(ads, none)), F.array(*[F.lit(x) for x in p]))
+    relevant = lambda *p: F.arrays_overlap(v["named"], F.array(*[F.lit(x) for x in p]))
     for p, item in PURCHASE_PROOF.items():
         given, result, badge = told(item, p)
         here = relevant(p, "google_ads", "google_tag") if p == "ga4" else relevant(p)
@@ -191,12 +231,11 @@ def findings(f: DataFrame) -> DataFrame:
         _row("P06", ~c("has_privacy"), "not_seen", "not_found", "info"), _row("P06", c("has_privacy") & (F.size(used) == 0), "na", None, "none"),
         _row("P06", c("has_privacy") & (F.size(unnamed) > 0), "issue", "on_page", "info", note=F.array_join(F.array_sort(unnamed), ",")), _row("P06", c("has_privacy") & (F.size(used) > 0) & (F.size(unnamed) == 0), "pass", "on_page", "info"),
     ]
-    many = F.concat(
+    return F.concat(
         F.array_compact(F.array(*rows)),
         F.transform(malformed, lambda m: F.struct(F.lit("T10").alias("check"), m["platform"].alias("platform"), F.lit("issue").alias("result"), F.lit("verified").alias("badge"), F.when(m["inside"], "medium").otherwise("high").alias("severity"), m["problem"].alias("note"))),
         F.transform(doubled, lambda d: F.struct(F.lit("D01").alias("check"), F.substring_index(d, ":", 1).alias("platform"), F.lit("issue").alias("result"), F.lit("inferred").alias("badge"), F.lit("high").alias("severity"), F.lit(None).cast("string").alias("note"))),
     )
-    return f.select("site", F.explode(many).alias("x")).select("site", "x.*")
 
 
 def run_status(f: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from tallyhouse import queries, queries_rules
 from tallyhouse.functions import html
-from tallyhouse.operators import claims, links, markets, product_pages
+from tallyhouse.operators import claims, links, markets, product_pages, tags
 from tallyhouse.plans import staging
-from tallyhouse.rules import payments
+from tallyhouse.rules import cases, payments, tracking
 
 
 def expression(spark, column):
@@ -107,3 +107,36 @@ def test_parts_are_dealt_before_they_become_trials(spark, tmp_path):
     spark.createDataFrame([(1, 100.0, 4), (2, 50.0, 2)], "p_partkey long, p_retailprice double, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     plan = queries.q41_sensitivity(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
+def test_a_page_is_scanned_once_for_tags(spark):
+    pages = spark.createDataFrame([(1, "homepage", "ok", "<p>x</p>")], "site long, key string, result string, html string")
+    plan = tags.scanned(pages)._jdf.queryExecution().optimizedPlan().toString()
+    # the source with its list blanked out, the list, its entries and their settings
+    assert plan.count("repeat(") == 1 and plan.count("from_json(") == 3
+
+
+def test_tracking_facts_write_scans_without_sources(spark, monkeypatch):
+    written = {}
+
+    def recorded(df, name):
+        written[name] = df.columns
+        return staging.cut(df, name)
+
+    monkeypatch.setattr(tracking, "cut", recorded)
+    stores = cases.tag_stores(spark.range(1, 60).withColumnRenamed("id", "c_custkey"))
+    facts = tracking.facts(*stores)
+    assert list(written) == ["scans", "tag-facts"] and "html" not in written["scans"]
+    assert facts.count() == 59
+    plan = tracking.findings(facts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(coalesce(tags#") == len(tracking.PER_PLATFORM)
+
+
+def test_words_before_patterns_change_no_match(spark):
+    said = ["KetchCDN DO NOT SELL", "\u212aetchcdn do not \u017fell", "cdn.cookielaw.org otsdkstub", "cdnXcookielaw.org", "", "gtag('consent', 'default') ad_personalization 'UA-12345-1'"]
+    rows = spark.createDataFrame(list(enumerate(said)), "i int, html string").select("i", tags.consent_marks(F.col("html")).alias("m")).orderBy("i").collect()
+    assert [r.m.tools for r in rows] == [["Ketch"], [], ["OneTrust"], [], [], []]
+    assert [r.m.opt_out for r in rows] == [True, False, False, False, False, False]
+    assert [(r.m.consent_default, r.m.consent_v2, r.m.legacy) for r in rows] == [(False, False, False)] * 5 + [(True, True, True)]
+    link = "<LINK REL='alternate' HREFLANG='de' href='/d'><link rel=alternate title=hreflang href=/e>"
+    assert [tuple(p) for p in spark.createDataFrame([(link,)], "h string").select(html.hreflang("h")).first()[0]] == [("de", "/d")]
