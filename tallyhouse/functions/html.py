@@ -40,7 +40,10 @@ def to_text(src) -> Column:
     t = drop_blocks(src, ("script", "style", "noscript", "svg", "template"))
     t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?i)<br\s*/?>|</p>|</li>|</h\d>|</div>|</tr>|</td>|</dt>|</dd>", "\n")
-    t = unescape(F.regexp_replace(t, r"(?s)<[^>]+>", " "))
+    t = F.regexp_replace(t, r"(?s)<[^>]+>", " ")
+    # only what may hold a reference goes through Python
+    coded = F.contains(_src(src), F.lit("&"))
+    t = F.when(coded, unescape(F.when(coded, t).otherwise(""))).otherwise(t)
     t = F.regexp_replace(t, r"[ \t\r\f\x0B\x{A0}]+", " ")
     t = F.trim(F.regexp_replace(t, r" *\n[ \n]*", "\n"), F.lit(" \n"))
     plain = F.trim(F.regexp_replace(_src(src), r"[ \t\r\f\x0B]+", " "))
@@ -164,8 +167,14 @@ def main_block(src) -> Column:
     return F.coalesce(longest, drop_blocks(body, ("header", "footer", "nav")))
 
 
+def main_part(src) -> Column:
+    """Source of a page's own text: the platform's policy block, else the main block."""
+    marked = F.when(F.contains(_src(src), F.lit("shopify-policy__body")), _src(src)).otherwise("")
+    return F.coalesce(balanced_div(marked, F.lit("shopify-policy__body")), main_block(src))
+
+
 def page_text(src) -> Column:
-    return to_text(F.coalesce(balanced_div(_src(src), F.lit("shopify-policy__body")), main_block(src)))
+    return to_text(main_part(src))
 
 
 def is_platform(text) -> Column:
@@ -184,12 +193,17 @@ def is_password_page(src, final_url) -> Column:
     return path.rlike("/password/?$") | form | F.contains(low, F.lit("template-password")) | F.contains(low, F.lit('id="password-page'))
 
 
-def js_rendered(src) -> Column:
-    """Almost no text without scripts."""
-    words = F.size(F.filter(F.split(to_text(src), r"\s+"), lambda w: w != ""))
+def scripted(src) -> Column:
+    """The source of a page that scripts may draw, null of any other."""
     scripts = F.regexp_count(_src(src), F.lit(r"(?i)<script\b"))
     root = _src(src).rlike(r"(?i)id=[\"'](?:app|root|__next|__nuxt)[\"']")
-    return (_src(src) != "") & (words < 25) & ((scripts >= 3) | ((scripts >= 1) & root))
+    return F.when((scripts >= 3) | ((scripts >= 1) & root), _src(src))
+
+
+def js_rendered(drawn) -> Column:
+    """Almost no text without scripts, of a source by ``scripted``."""
+    words = F.size(F.filter(F.split(to_text(drawn), r"\s+"), lambda w: w != ""))
+    return _col(drawn).isNotNull() & (words < 25)
 
 
 @F.pandas_udf(StringType())

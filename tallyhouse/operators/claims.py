@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import wording as W
 
 #: Wording of the topics, in several languages.
 DAY = r"(?:days?|tage[n]?|jours?|d[ií]as|giorni|dagen|天)"
@@ -99,15 +100,23 @@ def _plain(amount: Column) -> Column:
     return F.when(F.contains(amount, F.lit(".")), F.regexp_replace(amount, r"\.?0+$", "")).otherwise(amount)
 
 
+#: One of these is in each sentence that makes a claim: all counts of days have a digit.
+CLAIMING = (r"\d", FREE_SHIPPING, FREE_SHIPPING_ZH, BUYER_PAYS, SELLER_PAYS, RESTOCKING, NO_RESTOCKING, CNY_WORD, T.LEGAL_ENDS, T.LEGAL_CHINESE)
+
+
 def extract(texts: DataFrame, keys: tuple[str, ...] = ("site",)) -> DataFrame:
     """Claims of texts (keys, source, url, text) in order of appearance; e-mail
-    addresses of a text come after its sentences."""
-    t = reduce(lambda c, kv: F.regexp_replace(c, rf"(?i)\b{kv[0]}\b", kv[1]), NUMBER_WORDS.items(), F.coalesce("text", F.lit("")))
-    rows = texts.withColumn("_t", t)
-    sent = rows.select(*keys, "source", "url", F.posexplode(T.sentences("_t")).alias("sp", "s")).withColumn("s", F.substring("s", 1, MAX_SENTENCE))
-    found = sent.select(*keys, "source", "url", "sp", "s", F.posexplode(sentence_claims(F.col("s"))).alias("cp", "c"))
+    addresses of a text come after its sentences. Only texts and sentences that hold
+    a literal of some topic are searched for all of them."""
+    numbered = W.may("_low", *NUMBER_WORDS)
+    t = reduce(lambda c, kv: F.regexp_replace(c, rf"(?i)\b{kv[0]}\b", kv[1]), NUMBER_WORDS.items(), F.col("_raw"))
+    rows = texts.withColumn("_raw", F.coalesce("text", F.lit(""))).withColumn("_low", W.folded("_raw")).withColumn("_t", F.when(numbered, t).otherwise(F.col("_raw")))
+    # chosen by flags of an outer explosion: a filter would be pushed to where each mention folds the text anew
+    some = F.when(numbered | W.may("_low", *CLAIMING), T.sentences("_t"))
+    sent = rows.select(*keys, "source", "url", F.posexplode_outer(some).alias("sp", "s")).withColumn("s", F.substring("s", 1, MAX_SENTENCE)).withColumn("_low", W.folded("s"))
+    found = sent.select(*keys, "source", "url", "sp", "s", F.posexplode(F.when(W.may("_low", *CLAIMING), sentence_claims(F.col("s")))).alias("cp", "c"))
     found = found.select(*keys, "source", "url", "sp", "cp", "c.topic", "c.kind", "c.value", F.substring("s", 1, MAX_SNIPPET).alias("snippet"))
-    mail = rows.select(*keys, "source", "url", F.posexplode(T.emails("_t")).alias("cp", "value"))
+    mail = rows.where(F.contains("_raw", F.lit("@"))).select(*keys, "source", "url", F.posexplode(T.emails("_t")).alias("cp", "value"))
     mail = mail.select(*keys, "source", "url", F.lit(1 << 30).alias("sp"), "cp", F.lit("email").alias("topic"), F.lit(None).cast("string").alias("kind"), "value", F.col("value").alias("snippet"))
     out = found.unionByName(mail)
     return out.withColumn("value_num", F.regexp_extract("value", r"(\d+(?:\.\d+)?)", 1).try_cast("double"))

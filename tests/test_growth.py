@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from tallyhouse import queries, queries_rules
-from tallyhouse.functions import html
+from tallyhouse.functions import html, wording
 from tallyhouse.operators import claims, links, markets, product_pages, tags
 from tallyhouse.plans import staging
-from tallyhouse.rules import cases, payments, tracking
+from tallyhouse.rules import cases, launch, payments, tracking
 
 
 def expression(spark, column):
@@ -140,3 +140,48 @@ def test_words_before_patterns_change_no_match(spark):
     assert [(r.m.consent_default, r.m.consent_v2, r.m.legacy) for r in rows] == [(False, False, False)] * 5 + [(True, True, True)]
     link = "<LINK REL='alternate' HREFLANG='de' href='/d'><link rel=alternate title=hreflang href=/e>"
     assert [tuple(p) for p in spark.createDataFrame([(link,)], "h string").select(html.hreflang("h")).first()[0]] == [("de", "/d")]
+
+
+def test_literals_of_a_pattern_are_in_each_match(spark):
+    found = {p: wording.literals(p) for p in (r"refunds?\b|\bno (?:returns?|way)", r"(?s)(ab|c).{0,9}withdraw", r"a*", r"x?", r"\x{4E00}", r"\b\d{5}\s", r"id=[\"']root")}
+    assert found == {
+        r"refunds?\b|\bno (?:returns?|way)": {"refund", "no return", "no way"}, r"(?s)(ab|c).{0,9}withdraw": {"withdraw"}, r"a*": None, r"x?": None, r"\x{4E00}": None,
+        r"\b\d{5}\s": {wording.DIGIT}, r"id=[\"']root": {"id='root", 'id="root'},
+    }
+    said = ["WE SHIP WITHIN 3", "ſhİps wıthin 9 days", "\u212aLARO", "", None, "cookie-bot", "10115 Berlin", "lorem", "[INSERT name]", "'quoted' \\ back"]
+    rows = spark.createDataFrame(list(enumerate(said)), "i int, x string").withColumn("x_low", wording.folded("x"))
+    patterns = [launch.SHIP_TIME, launch.CONSENT, launch.ADDRESS, launch.PLACEHOLDER, "'quoted' \\\\ b", launch.TAX]
+    got = rows.select(*[(wording.has("x", p) == launch.has(F.col("x"), p)).alias(f"c{i}") for i, p in enumerate(patterns)], wording.has("x", launch.SHIP_TIME).alias("s"), wording.has("x", launch.CONSENT).alias("k")).collect()
+    assert all(all(r[f"c{i}"] for i in range(len(patterns))) for r in got)
+    assert [r.s for r in got[:3]] == [True, True, False] and [r.k for r in got[:3]] == [False, False, True]
+
+
+def test_only_sentences_with_a_topic_are_searched_for_claims(spark, monkeypatch):
+    said = ["Return items within thirty days of delivery. Nothing here. No restocking fee.", "We sell lamps. Write to seven@acme.com", "Prices in RMB", "Sold by Acme Trading Ltd. Free returns.", "深圳市灯具有限公司", "退货 30天", None]
+    texts = spark.createDataFrame([(i, "home", "u", x) for i, x in enumerate(said)], "site int, source string, url string, text string")
+    read = lambda: sorted((r.site, r.sp, r.cp, r.topic, r.value) for r in claims.extract(texts).collect())
+    got = read()
+    plan = claims.extract(texts)._jdf.queryExecution().executedPlan().toString()
+    assert "Contains" in plan
+    monkeypatch.setattr(claims.W, "may", lambda low, *patterns: F.lit(True))
+    assert got == read() and {r[3] for r in got} == {"return_days", "return_start", "restocking_fee", "email", "currency_word", "entity", "return_payer"}
+
+
+def test_launch_findings_are_softened_without_a_join(spark):
+    plans = []
+    facts = launch.site_facts(*cases.stores(spark.range(1, 75).withColumnRenamed("id", "c_custkey")))
+    found = launch.audit(facts)
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    assert plans[0].count("Join") == 1  # the rules, broadcast
+    assert found.count() == 74 * 71 and found.where("note = 'js_home'").count() > 0
+    # shapes the made-up stores lack: two texts for one policy, sold out, a drawn product page
+    rows = [
+        (1, 0, "home", "home", "u", "ok", "<html><body><main>x</main><footer><p>A &amp; B a&#64;b.com</p></footer></body></html>", None), (1, 1, "policy", "refund-policy", "u1", "ok", None, "No refunds."),
+        (1, 2, "policy", "refund-policy", "u2", "ok", None, "Return within 30 days of delivery, contact us. " * 9), (1, 3, "pdp", "a", "u3", "ok", "<main>lamp</main>", None),
+        (1, 4, "pdp", "b", "u4", "ok", "<body><script></script><div id='root'></div></body>", None),
+    ]
+    pages = spark.createDataFrame(rows, "site long, pos int, role string, name string, url string, result string, html string, text string")
+    sites = spark.range(1, 2).selectExpr("id AS site", "'online' AS mode", "cast(null as string) AS platform", "false AS password", "true AS https_redirect", "'US' AS user_markets", "true AS ads", "'USD' AS currency", "'A' AS name", "date'2026-11-01' AS today")
+    products = spark.createDataFrame([(1, "a", "t", "y", "", 1.0, False, False, False, False), (1, "b", "t", "y", "", 1.0, False, False, False, False)], "site long, handle string, title string, product_type string, tags string, price double, in_stock boolean, virtual boolean, has_plan boolean, on_sale boolean")
+    f = launch.site_facts(sites, pages, products).first()
+    assert (f["url_refund-policy"], f.n_sold_out, f.n_pdp, f.n_live_pdp, f.visible_contact, f.refund_final) == ("u2", 1, 1, 1, True, False)
